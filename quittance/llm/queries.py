@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quittance.llm import chat, line_rules, mixing, quality_qda, warc
+from quittance.llm import chat, line_rules, mixing, near_dup, quality_qda, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,12 +39,17 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(rows))
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_qda": op1_quality_qda,
     "op2_line_rules": op2_line_rules,
     "op3_systematic_mix": op3_systematic_mix,
     "op5_warc_index": op5_warc_index,
     "op8_chat_format": op8_chat_format,
+    "op9_near_dup": op9_near_dup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
