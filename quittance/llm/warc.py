@@ -140,9 +140,13 @@ def ranges(rows: list[tuple[str, int, int]], gap: int = 64 << 10, most: int = 4
         yield group
 
 
-def read(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records that the index rows name, from their archives; without payloads only their digests."""
-    picked = index.select("file", "offset", "length").repartitionByRange(F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
+def read(index: DataFrame, payloads: bool = True, task_bytes: int = 16 << 20) -> DataFrame:
+    """The records that the index rows name, from their archives; without payloads only their digests.
+
+    A task gets about task_bytes of compressed records, whatever little room their index rows take.
+    """
+    total = index.agg(F.sum("length")).first()[0] or 0
+    picked = index.select("file", "offset", "length").repartitionByRange(max(1, -(-total // task_bytes)), F.col("file"), F.col("offset")).sortWithinPartitions("file", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
