@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quittance.llm import chat, line_rules, mixing, near_dup, quality_qda, suffix_dedup, warc
+from quittance.llm import chat, decontam, line_rules, mixing, near_dup, quality_qda, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,11 +27,19 @@ def op3_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.selectExpr("doc_id", "size", "source_size", "target", "copies * size as taken", "copies")
 
 
+def op4_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(_table(spark, sf_dir, "pages"))
     return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), token_counts.pieces_of(token_counts.VOCABULARY))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -52,7 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_qda": op1_quality_qda,
     "op2_line_rules": op2_line_rules,
     "op3_systematic_mix": op3_systematic_mix,
+    "op4_latent_leaks": op4_latent_leaks,
     "op5_warc_index": op5_warc_index,
+    "op7_token_counts": op7_token_counts,
     "op8_chat_format": op8_chat_format,
     "op9_near_dup": op9_near_dup,
     "op10_suffix_dedup": op10_suffix_dedup,
