@@ -11,9 +11,10 @@
    hub, hubs with many partners split by salt.
 3. Links so far are joined to components.  In buckets that still hold more than one
    component, members of different components are compared, in blocks of bounded
-   size, again by signature batches and then on full sets.  So no candidate link
-   between different components is skipped, and members of one component are never
-   paired.
+   size: first by an exact bound (shingles that no other open text has cannot be
+   shared, so an edited copy that misses its original misses the other copies too),
+   then by signature batches, last on full sets.  So no candidate link between
+   different components is skipped, and members of one component are never paired.
 4. Components are closed again and handed to all documents.
 
 A pair at the threshold shares no bucket with probability (1 - t**5)**25: 4e-7 at
@@ -201,26 +202,26 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _cross_candidates(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs of different components within a bucket, from mixed(key, size, rep, label, n, sig).
+    """Pairs of different components within a bucket, from mixed(key, size, rep, label, n, shared, sig).
 
     A bucket is dealt to tasks as pairs of blocks of about BLOCK members.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "n", "sig")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "n", "shared", "sig")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
     limits = fewest_matches(percent / 100, miss)
 
     def compare(rows: list[tuple]) -> tuple[list, list]:
         i, j = rows[0][1], rows[0][2]
-        own, rep, label, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, HASHES)
+        own, rep, label, n, shared = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6, 7))
+        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(-1, HASHES)
         found: tuple[list, list] = ([], [])
         right = np.flatnonzero(own == j)
         for x in np.flatnonzero(own == i):
             y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) | (i != j))]
-            y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
+            y = y[(100 + percent) * np.minimum(shared[y], shared[x]) >= percent * (n[y] + n[x])]
             if len(y):
                 y = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], limits)]
                 found[0].extend(np.minimum(rep[y], rep[x]).tolist())
@@ -241,6 +242,24 @@ def _cross_candidates(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
+def _lonely(nodes: DataFrame, body: DataFrame) -> DataFrame:
+    """(rep, a, lonely): of nodes(rep, a), how many shingles of the set stand in no other node's set."""
+    texts = join_small(body.select(F.col("doc_id").alias("rep"), "text"), nodes, "rep", "inner", 32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            named = b.column("a").to_numpy()
+            for lo, hi, data, offsets in bk.chunks(b.column("text")):
+                sets = shingle_sets(data, offsets)
+                own = [s if s.sum(dtype=np.uint64).view(np.int64) == named[k] else s[:0] for k, s in enumerate(sets, lo)]
+                at = pa.array(np.repeat(np.arange(lo, hi), [len(s) for s in own]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), b.column("rep").take(at), b.column("a").take(at)], ["h", "rep", "a"])
+
+    who = F.struct("rep", "a")
+    seen = texts.select("rep", "a", "text").mapInArrow(run, "h long, rep long, a long").groupBy("h").agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
+    return seen.filter("lo = hi").groupBy("lo.rep", "lo.a").agg(F.count("*").alias("lonely"))
+
+
 def _pairs(found: tuple[list, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["u", "v"])
 
@@ -252,7 +271,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     usable = sig.filter("n > 0 and doc_id is not null")
     classes = save(usable.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")), "near-classes")
     picked = classes.select(F.col("rep").alias("doc_id"), "a", "b")
-    reps = save(usable.join(picked, ["doc_id", "a", "b"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "bands", "sig"), "near-reps")
+    reps = save(usable.join(picked, ["doc_id", "a", "b"], "left_semi").select(F.col("doc_id").alias("rep"), "a", "n", "bands", "sig"), "near-reps")
 
     rows = reps.select("rep", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("size")).filter("pivot < last")
@@ -265,7 +284,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labelled = live.join(first, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("label"))
     labelled = save(labelled, "near-labelled")
     open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    mixed = labelled.join(open_, "key").join(reps.select("rep", "n", "sig"), "rep").select("key", "size", "rep", "label", "n", "sig")
+    mixed = save(labelled.join(open_, "key"), "near-open")
+    nodes = save(reps.select("rep", "a").join(mixed.select("rep").distinct(), "rep", "left_semi"), "near-nodes")
+    lonely = save(_lonely(nodes, body), "near-lonely")
+    facts = reps.select("rep", "a", "n", "sig").join(nodes, ["rep", "a"], "left_semi").join(lonely, ["rep", "a"], "left")
+    facts = facts.select("rep", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("shared"), "sig")
+    mixed = mixed.join(facts, "rep").select("key", "size", "rep", "label", "n", "shared", "sig")
     cross = save(_cross_candidates(mixed, percent, miss), "near-cross")
     more = save(_verified(cross, body, percent), "near-links")
     named = first.select(F.col("component").alias("u"), F.col("rep").alias("v"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quittance.llm import chat, decontam, line_rules, mixing, near_dup, quality_qda, suffix_dedup, token_counts, warc
+from quittance.llm import chat, decontam, html_gbt, line_rules, mixing, near_dup, quality_qda, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,10 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_html_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_gbt.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), token_counts.pieces_of(token_counts.VOCABULARY))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_systematic_mix": op3_systematic_mix,
     "op4_latent_leaks": op4_latent_leaks,
     "op5_warc_index": op5_warc_index,
+    "op6_html_gbt": op6_html_gbt,
     "op7_token_counts": op7_token_counts,
     "op8_chat_format": op8_chat_format,
     "op9_near_dup": op9_near_dup,
