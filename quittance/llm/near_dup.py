@@ -11,10 +11,11 @@
    hub, hubs with many partners split by salt.
 3. Links so far are joined to components.  In buckets that still hold more than one
    component, members of different components are compared, in blocks of bounded
-   size: first by an exact bound (shingles that no other open text has cannot be
-   shared, so an edited copy that misses its original misses the other copies too),
-   then by signature batches, last on full sets.  So no candidate link between
-   different components is skipped, and members of one component are never paired.
+   size: first by an exact bound (in an order that puts rare shingles first, linked
+   sets meet within a prefix, so an edited copy that misses its original meets only
+   copies with an edit of its own), then by signature batches, last on full sets.  So
+   no candidate link between different components is skipped, and members of one
+   component are never paired.
 4. Components are closed again and handed to all documents.
 
 A pair at the threshold shares no bucket with probability (1 - t**5)**25: 4e-7 at
@@ -45,6 +46,7 @@ HASHES = BANDS * ROWS
 STEP = 25
 BLOCK = 1024
 HUB = 256
+COUNTERS = 20
 _seeds = np.random.Generator(np.random.PCG64(77))
 _XOR = _seeds.integers(0, 2**32, HASHES, dtype=np.uint32)
 _MUL = _seeds.integers(0, 2**31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -202,26 +204,46 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _cross_candidates(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs of different components within a bucket, from mixed(key, size, rep, label, n, shared, sig).
+    """Pairs of different components within a bucket, from mixed(key, size, rep, label, n, sig, prefix).
 
     A bucket is dealt to tasks as pairs of blocks of about BLOCK members.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "n", "shared", "sig")
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "n", "sig", "prefix")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
     limits = fewest_matches(percent / 100, miss)
 
     def compare(rows: list[tuple]) -> tuple[list, list]:
         i, j = rows[0][1], rows[0][2]
-        own, rep, label, n, shared = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6, 7))
-        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(-1, HASHES)
+        own, rep, label, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
+        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, HASHES)
+        held = [np.frombuffer(r[8], np.uint32) for r in rows]
+        size = np.array([len(x) for x in held])
+        ids = np.concatenate(held)
+        row = np.repeat(np.arange(len(rows)), size)
+        rank = np.arange(len(ids)) - np.repeat(np.cumsum(size) - size, size)
+        order = np.argsort(ids, kind="stable")
+        ids, row, rank = ids[order], row[order], rank[order]
+
+        def meets(x: int) -> np.ndarray:
+            """Rows that meet x early enough in both prefixes for the overlap that the threshold asks."""
+            lo, hi = np.searchsorted(ids, held[x], "left"), np.searchsorted(ids, held[x], "right")
+            at = np.concatenate([np.arange(i, j) for i, j in zip(lo.tolist(), hi.tolist(), strict=True)])
+            mine = np.repeat(np.arange(len(lo)), hi - lo)
+            y = row[at]
+            asked = -(-percent * (n[x] + n[y]) // (100 + percent))
+            hit = np.zeros(len(rows), bool)
+            hit[y[(mine <= n[x] - asked) & (rank[at] <= n[y] - asked)]] = True
+            return hit
+
         found: tuple[list, list] = ([], [])
         right = np.flatnonzero(own == j)
         for x in np.flatnonzero(own == i):
             y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) | (i != j))]
-            y = y[(100 + percent) * np.minimum(shared[y], shared[x]) >= percent * (n[y] + n[x])]
+            if len(y):
+                y = y[meets(x)[y]]
             if len(y):
                 y = y[survivors(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], limits)]
                 found[0].extend(np.minimum(rep[y], rep[x]).tolist())
@@ -242,22 +264,68 @@ def _cross_candidates(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def _lonely(nodes: DataFrame, body: DataFrame) -> DataFrame:
-    """(rep, a, lonely): of nodes(rep, a), how many shingles of the set stand in no other node's set."""
-    texts = join_small(body.select(F.col("doc_id").alias("rep"), "text"), nodes, "rep", "inner", 32)
+def _own_sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, set) of the rows of a batch (rep, a, text) whose text is the one that the name a stands for."""
+    named = b.column("a").to_numpy()
+    for lo, _, data, offsets in bk.chunks(b.column("text")):
+        for k, s in enumerate(shingle_sets(data, offsets), lo):
+            if len(s) and s.sum(dtype=np.uint64).view(np.int64) == named[k]:
+                yield k, s
+
+
+def _place(s: np.ndarray) -> np.ndarray:
+    return (s >> bk.U(64 - COUNTERS)).astype(np.int64)
+
+
+def _rarity(texts: DataFrame) -> np.ndarray:
+    """How many shingles of all texts fall on each of 2**COUNTERS places: rare shingles fall on low counts.
+
+    The table's size is fixed; a fuller table orders worse but never wrongly.
+    """
+    block = 1 << 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << COUNTERS, np.int32)
+        for b in batches:
+            for _, s in _own_sets(b):
+                np.add.at(total, _place(s), 1)
+        for k in range(0, len(total), block):
+            if total[k : k + block].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([total[k : k + block].tobytes()])], ["first", "part"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, part in zip(b.column("first").to_pylist(), b.column("part").to_pylist(), strict=True):
+                x = np.frombuffer(part, np.int32).astype(np.int64)
+                total[k] = total[k] + x if k in total else x
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes()])], ["first", "part"])
+
+    out = np.zeros(1 << COUNTERS, np.int32)
+    summed = texts.mapInArrow(count, "first long, part binary").repartition("first").mapInArrow(add, "first long, part binary")
+    for r in summed.toLocalIterator():  # one table of fixed size
+        out[r["first"] : r["first"] + block] = np.frombuffer(r["part"], np.int32)
+    return out
+
+
+def _prefixes(nodes: DataFrame, body: DataFrame, percent: int) -> DataFrame:
+    """(rep, a, prefix) of nodes(rep, a): the rarest shingles, so many that a linked set must hold one of them."""
+    texts = join_small(body.select(F.col("doc_id").alias("rep"), "text"), nodes, "rep", "inner", 32).select("rep", "a", "text")
+    rare = texts.sparkSession.sparkContext.broadcast(_rarity(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            named = b.column("a").to_numpy()
-            for lo, hi, data, offsets in bk.chunks(b.column("text")):
-                sets = shingle_sets(data, offsets)
-                own = [s if s.sum(dtype=np.uint64).view(np.int64) == named[k] else s[:0] for k, s in enumerate(sets, lo)]
-                at = pa.array(np.repeat(np.arange(lo, hi), [len(s) for s in own]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), b.column("rep").take(at), b.column("a").take(at)], ["h", "rep", "a"])
+            rows, out = [], []
+            for k, s in _own_sets(b):
+                n = len(s) - (-(-percent * len(s) // 100)) + 1
+                order = np.lexsort((s, rare.value[_place(s)]))[:n]
+                rows.append(k)
+                out.append(s[order].astype(np.uint32).tobytes())  # low halves: a false meeting only costs a comparison
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("rep").take(at), b.column("a").take(at), pa.array(out, pa.binary())], ["rep", "a", "prefix"])
 
-    who = F.struct("rep", "a")
-    seen = texts.select("rep", "a", "text").mapInArrow(run, "h long, rep long, a long").groupBy("h").agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
-    return seen.filter("lo = hi").groupBy("lo.rep", "lo.a").agg(F.count("*").alias("lonely"))
+    return texts.mapInArrow(run, "rep long, a long, prefix binary").dropDuplicates(["rep", "a"])
 
 
 def _pairs(found: tuple[list, list]) -> pa.RecordBatch:
@@ -286,10 +354,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
     mixed = save(labelled.join(open_, "key"), "near-open")
     nodes = save(reps.select("rep", "a").join(mixed.select("rep").distinct(), "rep", "left_semi"), "near-nodes")
-    lonely = save(_lonely(nodes, body), "near-lonely")
-    facts = reps.select("rep", "a", "n", "sig").join(nodes, ["rep", "a"], "left_semi").join(lonely, ["rep", "a"], "left")
-    facts = facts.select("rep", "n", (F.col("n") - F.coalesce("lonely", F.lit(0))).alias("shared"), "sig")
-    mixed = mixed.join(facts, "rep").select("key", "size", "rep", "label", "n", "shared", "sig")
+    prefixes = save(_prefixes(nodes, body, percent), "near-prefixes")
+    facts = reps.select("rep", "a", "n", "sig").join(prefixes, ["rep", "a"])
+    mixed = mixed.join(facts.drop("a"), "rep").select("key", "size", "rep", "label", "n", "sig", "prefix")
     cross = save(_cross_candidates(mixed, percent, miss), "near-cross")
     more = save(_verified(cross, body, percent), "near-links")
     named = first.select(F.col("component").alias("u"), F.col("rep").alias("v"))
