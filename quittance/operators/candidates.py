@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quittance.functions.confidence import headline_of, points_of
 from quittance.functions.money import MONEY, cents, fee_tolerance, from_cents
 from quittance.plans.policy import Policy
+from quittance.plans.scratch import written
 
 #: pairs need payment_id, paid, amount, invoice_id, issue_date, balance, hit, customer (bool).
 
@@ -105,9 +106,9 @@ def apportioned(amount: Column, weights: Column) -> Column:
 
 def combinations(counted: DataFrame, policy: Policy) -> DataFrame:
     """Candidates of several invoices: exact sums or, for payments without any, sums within the fee tolerance."""
-    width = ranked_width(counted, policy)
+    width = written(ranked_width(counted, policy), "width")  # read once per level below
     amount = F.col("amount")
-    exact = subsets(width, policy, amount.cast("decimal(20,2)"))
+    exact = written(subsets(width, policy, amount.cast("decimal(20,2)")), "sums")
     pct = F.floor((amount * 100).cast("decimal(20,0)") / F.lit(1 - policy.fee_tolerance_pct)).cast("decimal(20,0)") / 100
     upper = F.greatest(pct, amount + F.lit(policy.fee_tolerance_abs))
     if policy.fee_tolerance_cap is not None:
