@@ -36,7 +36,7 @@ class Boosted:
         return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.25, bins: int = 32, l2: float = 1.0, least: float = 2.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 90, depth: int = 5, rate: float = 0.25, bins: int = 32, l2: float = 1.0, least: float = 2.0) -> Boosted:
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(x.shape[1])]
     p = min(max(y.mean(), 1e-3), 1 - 1e-3)
     model = Boosted(cuts, [], float(np.log(p / (1 - p))), depth)

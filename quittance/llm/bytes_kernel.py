@@ -6,7 +6,8 @@ bounded by the chunk (or by the longest single text).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -111,3 +112,22 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     if span < w:
         x = np.minimum(x[: len(x) - (w - span)], x[w - span :])
     return x
+
+
+def tidy() -> None:
+    """Give freed memory back to the system, so that a worker kept for later tasks stays small."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, with tidy() at its end."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        tidy()
+
+    return whole

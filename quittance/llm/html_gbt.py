@@ -141,13 +141,13 @@ def node_features(f: Forest) -> np.ndarray:
 def decode(f: Forest, odds: np.ndarray) -> np.ndarray:
     """Which nodes are kept: the likeliest labels in which a kept node's parent is kept and a kept element has a kept child.
 
-    Text blocks weigh by a root of their length, elements by a fixed weight.
+    A block's leaf and the elements around it weigh alike, so each corrects the other.
     """
     n, parent = len(f.nodes), f.parent
     leaf = f.chars > 0
-    weight = np.where(leaf, (1 + f.chars) ** 0.25, 1.0)
-    odds = np.clip(odds, -8, 8)
-    take, leave = -np.logaddexp(0, -odds) * weight, -np.logaddexp(0, odds) * weight
+    whole = np.fromiter((x.tag in ("#root", "html", "body") for x in f.nodes), bool, n)
+    odds = np.where(whole, 0.0, np.clip(odds, -8, 8))  # that a page has a body tells nothing
+    take, leave = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
     take[~leaf & (f.end == np.arange(n) + 1)] = -1e9  # an element without text holds nothing
     best = np.full(n, -np.inf)  # of the children, what keeping one gains
     for at in f.levels[::-1]:
@@ -256,6 +256,8 @@ def training_page(seed: int) -> str:
     body = f"<{tag}{name}>{f'<h1>{title}</h1>' if title else ''}{''.join(parts)}</{tag}>"
     if r.random() < 0.3:
         body = f"<div{_class(r, 'wrapper', 'container', 'page', 'layout')}>{body}{side() if r.random() < 0.5 else ''}</div>"
+    if r.random() < 0.08:
+        body = ""  # nothing but what surrounds a text
     before = [menu() if r.random() < 0.85 else ""]
     before += [f() for f, c in ((advert, 0.5), (notice, 0.2), (form, 0.2), (menu, 0.2), (side, 0.1)) if r.random() < c]
     if r.random() < 0.3:

@@ -66,45 +66,55 @@ def offset_of(src: Column, seed: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(src, F.lit("\x00")))), 1, 5), 16, 10).cast("double") / F.lit(1048576.0)
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", weights: Sequence[float] = WEIGHTS, share: float = 1.5, max_copies: float = 2.0, carry: Sequence[str] | None = None) -> DataFrame:
-    """The rows of docs (or its columns in carry) with size, source_size, target, copies."""
-    carry = list(docs.columns if carry is None else carry)
-    src, key, cls, tie, n_cls, salt, pos, blk, before = fresh(docs, "src", "k_", "cls", "tie", "n_cls", "salt", "pos", "blk", "before")
-
-    def measured(columns: list) -> DataFrame:
-        return docs.select(*columns, F.col(source).alias(src), F.col(doc_id).alias(key), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias(tie)).withColumn(cls, size_class(F.col("size")))
-
-    light = save(measured([]), "mix-sizes")
+def mixed_rows(docs: DataFrame, carry: Sequence[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", weights: Sequence[float] = WEIGHTS, share: float = 1.5, max_copies: float = 2.0) -> DataFrame:
+    """row (a struct of the columns in carry), size, source_size, target, copies."""
+    slim = [F.col(source).cast("string").alias("src"), F.col(doc_id).cast("long").alias("key"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text).cast("string")).alias("tie")]
+    light = docs.select(*slim)
+    light = save(light.withColumn("cls", size_class(F.col("size"))), "mix-sizes")
     if set(carry) <= {doc_id, source}:
-        d = light.select(*[F.col({doc_id: key, source: src}[c]).alias(c) for c in carry], *light.columns)
+        d = light.withColumn("row", F.struct(*[F.col({doc_id: "key", source: "src"}[c]).alias(c) for c in carry]))
     else:
-        d = measured([F.col(c) for c in carry])
-    classes = light.groupBy(src, cls).agg(F.count("*").alias(n_cls), F.sum("size").alias("class_size"))
-    classes = classes.withColumn(blk, F.ceil(F.sqrt(F.col(n_cls).cast("double"))).cast("long"))
-    sized = targets(classes.groupBy(F.col(src).alias("src")).agg(F.sum("class_size").cast("long").alias("source_size")), weights, share, max_copies)
-    known = classes.join(sized, classes[src].eqNullSafe(sized["src"])).select(
-        classes[src].alias("s_"), classes[cls].alias("c_"), blk, "source_size", "target", offset_of(classes[src], seed).alias("u_"),
-        F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate_"),
-    )
-    d = d.join(known, d[src].eqNullSafe(F.col("s_")) & (d[cls] == F.col("c_")))
-    d = d.withColumn(salt, salt_of(F.col(key), F.col(blk)))
-    inside = W.partitionBy(src, cls, salt).orderBy("size", F.col(key).asc_nulls_last(), tie)
-    d = d.withColumn(pos, F.row_number().over(inside))
-    small = light.join(known.select("s_", "c_", blk), light[src].eqNullSafe(F.col("s_")) & (light[cls] == F.col("c_")))
-    blocks = small.withColumn(salt, salt_of(F.col(key), F.col(blk))).groupBy(src, cls, salt).agg(F.count("*").alias(n_cls))
-    ahead = W.partitionBy(src).orderBy(cls, salt).rowsBetween(W.unboundedPreceding, -1)
-    blocks = blocks.withColumn(before, F.coalesce(F.sum(n_cls).over(ahead), F.lit(0))).select(F.col(src).alias("bs_"), F.col(cls).alias("bc_"), F.col(salt).alias("bt_"), before)
-    d = d.join(blocks, d[src].eqNullSafe(F.col("bs_")) & (d[cls] == F.col("bc_")) & (d[salt] == F.col("bt_")))
-    rank = F.col(before) + F.col(pos)
-    crossed = F.floor(rank * F.col("rate_") + F.col("u_")) - F.floor((rank - 1) * F.col("rate_") + F.col("u_"))
-    return d.withColumn("copies", crossed.cast("long")).select(*carry, "size", "source_size", "target", "copies")
+        d = docs.select(F.struct(*[F.col(c) for c in carry]).alias("row"), *slim).withColumn("cls", size_class(F.col("size")))
+    classes = light.groupBy("src", "cls").agg(F.count("*").alias("n"), F.sum("size").alias("class_size"))
+    classes = classes.withColumn("blocks", F.ceil(F.sqrt(F.col("n").cast("double"))).cast("long"))
+    sized = targets(classes.groupBy("src").agg(F.sum("class_size").cast("long").alias("source_size")), weights, share, max_copies)
+    sized = sized.select(F.col("src").alias("s2"), "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
+    known = classes.join(sized, F.col("src").eqNullSafe(F.col("s2"))).select(F.col("src").alias("s1"), F.col("cls").alias("c1"), "blocks", "source_size", "target", "rate", offset_of(F.col("src"), seed).alias("start"))
+
+    def salted(df: DataFrame) -> DataFrame:
+        joined = df.join(known, F.col("src").eqNullSafe(F.col("s1")) & (F.col("cls") == F.col("c1"))).drop("s1", "c1")
+        return joined.withColumn("salt", salt_of(F.col("key"), F.col("blocks")))
+
+    d = salted(d).withColumn("pos", F.row_number().over(W.partitionBy("src", "cls", "salt").orderBy("size", F.col("key").asc_nulls_last(), "tie")))
+    blocks = salted(light).groupBy("src", "cls", "salt").agg(F.count("*").alias("n"))
+    ahead = W.partitionBy("src").orderBy("cls", "salt").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("src").alias("s3"), F.col("cls").alias("c3"), F.col("salt").alias("t3"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    d = d.join(blocks, F.col("src").eqNullSafe(F.col("s3")) & (F.col("cls") == F.col("c3")) & (F.col("salt") == F.col("t3")))
+    rank = F.col("before") + F.col("pos")
+    crossed = F.floor(rank * F.col("rate") + F.col("start")) - F.floor((rank - 1) * F.col("rate") + F.col("start"))
+    return d.select("row", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+
+
+OWN = ("size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, carry: Sequence[str] | None = None, **options) -> DataFrame:
+    """The columns in carry (all, if not given) with size, source_size, target, copies; columns of docs with these names give way."""
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in OWN]
+    return mixed_rows(docs, carry, **options).select(*[F.col("row")[c].alias(c) for c in carry], *OWN)
+
+
+def _copied(mixed: DataFrame, name: str) -> DataFrame:
+    return mixed.filter("copies > 0").withColumn(name, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
 
 
 def emit(mixed: DataFrame) -> DataFrame:
-    """One row per copy, with copy_no from 1."""
-    return mixed.filter("copies > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    """One row per copy of mix()'s rows, with copy_no from 1."""
+    return _copied(mixed, "copy_no")
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix itself, a document once per copy; copy_no counts them."""
-    return emit(mix(docs)).select(*docs.columns, "copy_no")
+    """Pipeline stage: the mix itself, a document once per copy; copy_no counts them (with _ before it if docs has that name)."""
+    (number,) = fresh(docs, "copy_no")
+    out = _copied(mixed_rows(docs, docs.columns), number)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], number)

@@ -109,7 +109,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     ["doc_id", "n", "a", "b", "bands", "sig"],
                 )
 
-    return d.mapInArrow(run, "doc_id long, n long, a long, b long, bands array<long>, sig binary")
+    return d.mapInArrow(bk.tidied(run), "doc_id long, n long, a long, b long, bands array<long>, sig binary")
 
 
 def fewest_matches(threshold: float, miss: float) -> list[int]:
@@ -158,7 +158,7 @@ def _star_candidates(pairs: DataFrame, reps: DataFrame, percent: int, miss: floa
                 keep = pa.array(survivors(_matrix(b.column("su")), _matrix(b.column("sv")), limits))
                 yield pa.RecordBatch.from_arrays([b.column("u").take(keep), b.column("v").take(keep)], ["u", "v"])
 
-    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long").distinct()
+    return both.select("u", "v", "su", "sv").mapInArrow(bk.tidied(run), "u long, v long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                         found[1].append(vs[k])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["u", "v"])
 
-    return stream.mapInArrow(run, "u long, v long")
+    return stream.mapInArrow(bk.tidied(run), "u long, v long")
 
 
 def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -261,7 +261,7 @@ def _cross_candidates(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
         if group:
             yield _pairs(compare(group))
 
-    return dealt.mapInArrow(run, "u long, v long").distinct()
+    return dealt.mapInArrow(bk.tidied(run), "u long, v long").distinct()
 
 
 def _own_sets(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -303,7 +303,7 @@ def _rarity(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes()])], ["first", "part"])
 
     out = np.zeros(1 << COUNTERS, np.int32)
-    summed = texts.mapInArrow(count, "first long, part binary").repartition("first").mapInArrow(add, "first long, part binary")
+    summed = texts.mapInArrow(bk.tidied(count), "first long, part binary").repartition("first").mapInArrow(bk.tidied(add), "first long, part binary")
     for r in summed.toLocalIterator():  # one table of fixed size
         out[r["first"] : r["first"] + block] = np.frombuffer(r["part"], np.int32)
     return out
@@ -325,7 +325,7 @@ def _prefixes(nodes: DataFrame, body: DataFrame, percent: int) -> DataFrame:
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("rep").take(at), b.column("a").take(at), pa.array(out, pa.binary())], ["rep", "a", "prefix"])
 
-    return texts.mapInArrow(run, "rep long, a long, prefix binary").dropDuplicates(["rep", "a"])
+    return texts.mapInArrow(bk.tidied(run), "rep long, a long, prefix binary").dropDuplicates(["rep", "a"])
 
 
 def _pairs(found: tuple[list, list]) -> pa.RecordBatch:

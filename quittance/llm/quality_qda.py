@@ -125,7 +125,7 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             flat = pa.array(x.ravel())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, D), pa.int32()), flat)], ["doc_id", "x"])
 
-    return d.mapInArrow(run, "doc_id long, x array<double>")
+    return d.mapInArrow(bk.tidied(run), "doc_id long, x array<double>")
 
 
 def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
@@ -142,7 +142,7 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
         k, place = np.divmod(np.arange(total.size), total.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(place, pa.int32()), pa.array(total.ravel())], ["k", "place", "v"])
 
-    sums = rows.mapInArrow(partial, "k int, place int, v double").groupBy("k", "place").agg(F.sum("v").alias("v"))
+    sums = rows.mapInArrow(bk.tidied(partial), "k int, place int, v double").groupBy("k", "place").agg(F.sum("v").alias("v"))
     flat = np.zeros((2, 1 + D + D * D))
     for r in sums.toLocalIterator():  # 2 * (1 + D + D * D) rows, whatever the input
         flat[r["k"], r["place"]] = r["v"]
@@ -206,5 +206,5 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
             x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], ["doc_id", "score"])
 
-    scored = seen.mapInArrow(run, "doc_id long, score double")
+    scored = seen.mapInArrow(bk.tidied(run), "doc_id long, score double")
     return scored.select("doc_id", F.coalesce(fold, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
