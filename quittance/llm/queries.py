@@ -73,4 +73,54 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+_GAP = r"[\x20\x09-\x0D]+"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_rules": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORD}') AS ws FROM d),
+p AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS run FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+g AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS times FROM p) WHERE times > 1),
+c AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM g) GROUP BY doc_id),
+l0 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+l1 AS (SELECT doc_id, line, len(regexp_replace(line, '{_GAP}', '', 'g')) AS solid, len(regexp_extract_all(line, '{_WORD}')) AS n, len(line) - len(regexp_replace(line, '[#*$%&<>]+', '', 'g')) AS sym,
+       len(line) - len(regexp_replace(line, '[!?]+', '', 'g')) AS mark, len(line) - len(regexp_replace(line, '[|\x{{2022}}\x{{00BB}}]+', '', 'g')) AS bar FROM l0),
+l2 AS (SELECT *, solid > 0 AND (sym > 0.5 * n OR (mark > 0.5 * n AND n > 3) OR (bar >= 1 AND bar > 0.25 * n) OR (n <= 25 AND regexp_matches(lower(line), '{"|".join(line_rules.BOILERPLATE)}'))) AS bad FROM l1),
+s AS (SELECT doc_id, coalesce(sum(solid) FILTER (bad), 0) AS lost, count(*) FILTER (solid > 0) - count(DISTINCT line) FILTER (solid > 0) AS dup FROM l2 GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(ws)::bigint AS n_words, len(regexp_replace(t, '{_GAP}', '', 'g'))::bigint AS word_chars, (len(t) - len(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::bigint AS n_symbols,
+      s.dup::bigint AS n_dup_lines, coalesce(c.n, 0)::bigint AS n_repeat_words, s.lost FROM w JOIN s USING (doc_id) LEFT JOIN c USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND lost <= 0.5 * word_chars AS kept FROM m""",
+    "op3_systematic_mix": rf"""
+WITH d0 AS (SELECT doc_id, source AS src, len(regexp_extract_all(coalesce(text, ''), '{_WORD}'))::bigint AS size FROM documents),
+d AS (SELECT *, (len(bin(size + 4)) * 4 + (((size + 4) >> (len(bin(size + 4)) - 3)) & 3))::int AS cls FROM d0),
+k AS (SELECT src, cls, count(*) AS n, ceil(sqrt(count(*)::double))::bigint AS blocks FROM d GROUP BY ALL),
+s0 AS (SELECT src, sum(size)::bigint AS source_size FROM d GROUP BY src),
+s1 AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY src ASC NULLS LAST) - 1) % 3 + 1)::int]::double AS w, source_size * 2.0::double AS cap, sum(source_size) OVER () * 1.5::double AS budget FROM s0),
+s2 AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY cap / w, src NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
+s3 AS (SELECT *, first(CASE WHEN level * w <= cap THEN level END IGNORE NULLS) OVER (ORDER BY cap / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lam FROM s2),
+s AS (SELECT src, source_size, least(cap, coalesce(lam * w, cap)) AS target, CASE WHEN source_size > 0 THEN least(cap, coalesce(lam * w, cap)) / source_size ELSE 0.0 END AS rate,
+      ('0x' || substr(md5('mix' || coalesce(src, '')), 1, 5))::int::double / 1048576.0::double AS start FROM s3),
+e AS (SELECT d.*, s.source_size, s.target, s.rate, s.start, ((coalesce(doc_id, 0) % 1000003) * 7919 % 1000003) % k.blocks AS salt
+      FROM d JOIN k ON d.cls = k.cls AND d.src IS NOT DISTINCT FROM k.src JOIN s ON d.src IS NOT DISTINCT FROM s.src),
+f AS (SELECT *, row_number() OVER (PARTITION BY src, cls, salt ORDER BY size, doc_id) AS pos FROM e),
+b AS (SELECT src, cls, salt, coalesce(sum(n) OVER (PARTITION BY src ORDER BY cls, salt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS before FROM (SELECT src, cls, salt, count(*) AS n FROM e GROUP BY ALL)),
+r AS (SELECT f.*, (floor((before + pos) * rate + start) - floor((before + pos - 1) * rate + start))::bigint AS copies FROM f JOIN b ON f.cls = b.cls AND f.salt = b.salt AND f.src IS NOT DISTINCT FROM b.src)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM r""",
+    "op5_warc_index": """
+WITH d AS (SELECT page_id, strlen(coalesce(html, ''))::bigint AS n, sha256(coalesce(html, '')) AS g FROM pages),
+m AS (SELECT g, min(page_id) AS f FROM d WHERE n >= 100 GROUP BY g)
+SELECT page_id, n AS payload_bytes, g AS payload_digest, CASE WHEN n >= 100 AND f < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN n >= 100 AND f < page_id THEN f END AS refers_to
+FROM d LEFT JOIN m USING (g)""",
+    "op8_chat_format": r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+o AS (SELECT *, row_number() OVER w AS nth, coalesce(lag(role) OVER w, '') AS was FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t)),
+x AS (SELECT *, len('### ') + len(CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '?' || role END) + len(': ')
+             + len(regexp_replace(t, '(\\|###|</turn>)', '\\\1', 'g')) + len('</turn>') + 1 AS size,
+             (was || '>' || role) IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS fits FROM o)
+SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY nth)) AS turns_sha256, coalesce(sum(len(t)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::bigint AS formatted_chars, bool_and(fits) AS valid
+FROM x GROUP BY conv_id""",
+}
