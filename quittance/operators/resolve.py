@@ -37,7 +37,12 @@ def pieces_of_needle(key, percent: int):
 
 def substrings_of(key, widths: list[int]):
     """All substrings of those widths."""
-    parts = [F.when(F.length(key) >= w, F.transform(F.sequence(F.lit(1), F.length(key) - (w - 1)), lambda i, w=w: F.substring(key, i, w))).otherwise(F.array().cast("array<string>")) for w in widths]
+
+    def of(w: int):
+        cut = F.transform(F.sequence(F.lit(1), F.length(key) - (w - 1)), lambda i: F.substring(key, i, F.lit(w)))
+        return F.when(F.length(key) >= w, cut).otherwise(F.array().cast("array<string>"))
+
+    parts = [of(w) for w in widths]
     return F.array_distinct(F.concat(*parts))
 
 
