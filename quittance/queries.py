@@ -48,6 +48,12 @@ one AS (
 """
 
 
+#: The same with repeated amounts and fewer references, so that payments tie or score low.
+_COLLIDED = _LEDGER.replace("inv AS (", "in0 AS (", 1).replace(
+    "nx AS (", "inv AS (SELECT * REPLACE (CASE WHEN k % 7 = 0 THEN coalesce(lag(amount) OVER (PARTITION BY customer_id ORDER BY issue_date, k), amount) ELSE amount END AS amount) FROM in0),\nnx AS (", 1
+).replace("CASE WHEN k % 10 = 3 THEN ''", "CASE WHEN k % 10 IN (1, 3, 4, 5) THEN ''")
+
+
 def _sql_tol(face: str) -> str:
     """Fee tolerance in SQL: halves of a cent go to the even cent."""
     cents_ = f"greatest(({face} * 3)::decimal(28,2), 100.00)"
@@ -151,13 +157,13 @@ rs AS (
   FROM dc)"""
 
 
-def query(name: str, sql: str | None = None, parts: tuple[str, ...] = ()) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, parts: tuple[str, ...] = (), ledger: str = _LEDGER) -> Callable[[Query], Query]:
     """Register a query, and its SQL over the derived tables and parts."""
 
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLE_SQL[name] = "WITH " + ",\n".join((_LEDGER, *parts)) + "\n" + sql
+            ORACLE_SQL[name] = "WITH " + ",\n".join((ledger, *parts)) + "\n" + sql
         return f
 
     return keep
@@ -167,10 +173,10 @@ def _ledger(spark: SparkSession, d: str) -> DataFrame:
     return derived.invoices(spark, d)
 
 
-def _counted(spark: SparkSession, d: str, policy: Policy, single: bool = False) -> DataFrame:
+def _counted(spark: SparkSession, d: str, policy: Policy, single: bool = False, collide: bool = False) -> DataFrame:
     """Counted pairs of payments with a known customer.  References name their invoices exactly, so no fuzzy tier is needed."""
-    p = derived.single_payments(spark, d) if single else derived.payments(spark, d)
-    i = _ledger(spark, d)
+    p = derived.single_payments(spark, d, collide) if single else derived.payments(spark, d)
+    i = derived.invoices(spark, d, collide)
     known = resolve.resolve(pairs.with_refs(p), i, policy.fuzzy_ref_threshold, fuzzy=False)
     found = pairs.evidence(pairs.by_customer(known, pairs.with_token(i), policy), policy, fuzzy=False)
     return candidates.with_counts(found.withColumn("customer", F.lit(True)), policy)
@@ -347,10 +353,11 @@ def apportion_fee(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = _SINGLES.replace("cd AS (", "c1 AS (") + ",\ncd AS (SELECT * FROM c1 UNION ALL SELECT * FROM cb)"
 _SNAPSHOT = (_sql_pairs("one", 120, 5), _COMBOS.lstrip(), _ALL, _SCORED)
+_WIDE_SNAPSHOT = (_sql_pairs("one", 900, 5), _COMBOS.lstrip(), _ALL, _SCORED)
 
 
-def _ranks(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.ranked(candidates.all_candidates(_counted(spark, d, DEFAULT, single=True), DEFAULT))
+def _ranks(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> DataFrame:
+    return candidates.ranked(candidates.all_candidates(_counted(spark, d, policy, single=True, collide=collide), policy))
 
 
 @query("score_candidates", "SELECT payment_id, strategy, invoice_ids, points, headline, (points::decimal(10,4) / 10000)::decimal(5,4) AS confidence FROM sc", _SNAPSHOT)
@@ -363,15 +370,15 @@ def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
     return _ranks(spark, d).select("payment_id", "invoice_ids", "strategy", "points", F.col("rank").cast("int"))
 
 
-@query("tied_candidates", "SELECT payment_id, invoice_ids, points, tied::bigint AS tied FROM rk WHERE points = top AND tied > 1", _SNAPSHOT)
+@query("tied_candidates", "SELECT payment_id, invoice_ids, points, tied::bigint AS tied FROM rk WHERE points = top AND tied > 1", _WIDE_SNAPSHOT, _COLLIDED)
 def tied_candidates(spark: SparkSession, d: str) -> DataFrame:
-    r = _ranks(spark, d)
+    r = _ranks(spark, d, WIDE, collide=True)
     best = F.max("points").over(W.partitionBy("payment_id"))
     return r.withColumn("top", best).filter("points = top and tied > 1").select("payment_id", "invoice_ids", "points", F.col("tied").cast("long"))
 
 
-def _decided(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.decide(derived.single_payments(spark, d), _ranks(spark, d), DEFAULT)
+def _decided(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> DataFrame:
+    return candidates.decide(derived.single_payments(spark, d, collide), _ranks(spark, d, policy, collide), policy)
 
 
 @query("decide_snapshot", "SELECT * FROM rs", (*_SNAPSHOT, _DECIDED))
@@ -379,9 +386,9 @@ def decide_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return _decided(spark, d)
 
 
-@query("review_queue", "SELECT payment_id, review_reason, message FROM rs WHERE review_reason IS NOT NULL", (*_SNAPSHOT, _DECIDED))
+@query("review_queue", "SELECT payment_id, review_reason, message FROM rs WHERE review_reason IS NOT NULL", (*_WIDE_SNAPSHOT, _DECIDED), _COLLIDED)
 def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d).filter("review_reason is not null").select("payment_id", "review_reason", "message")
+    return _decided(spark, d, WIDE, collide=True).filter("review_reason is not null").select("payment_id", "review_reason", "message")
 
 
 # --- results of a snapshot: allocations of single-invoice decisions ------------------------------------------
@@ -526,10 +533,11 @@ def allocation_view(spark: SparkSession, d: str) -> DataFrame:
     "review_view",
     """SELECT rs.payment_id, review_reason, message, coalesce(o.amount::varchar, '') AS payment_amount, coalesce(o.reference, '') AS reference, coalesce(o.counterparty, '') AS counterparty
        FROM rs LEFT JOIN one o ON o.id = rs.payment_id WHERE review_reason IS NOT NULL""",
-    (*_SNAPSHOT, _DECIDED),
+    (*_WIDE_SNAPSHOT, _DECIDED),
+    _COLLIDED,
 )
 def review_view(spark: SparkSession, d: str) -> DataFrame:
-    return report.review_view(_decided(spark, d), derived.single_payments(spark, d))
+    return report.review_view(_decided(spark, d, WIDE, collide=True), derived.single_payments(spark, d, collide=True))
 
 
 @query("state_view", "SELECT st.invoice_id, status, face_value, open_balance, coalesce(i.number, '') AS number, coalesce(i.customer_name, '') AS customer_name FROM st LEFT JOIN inv i ON i.id = st.invoice_id", _RESULT)
@@ -595,6 +603,13 @@ def full_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return r.results.select("payment_id", "status", "strategy", "confidence", "review_reason", "reason")
 
 
+@query("reconcile_collided", "SELECT payment_id, status, review_reason, strategy, confidence, message FROM rs", (*_WIDE_SNAPSHOT, _DECIDED), _COLLIDED)
+def reconcile_collided(spark: SparkSession, d: str) -> DataFrame:
+    """The engine where amounts repeat and references lack: ties and low scores must be those of the SQL decision."""
+    r = reconcile(derived.invoices(spark, d, collide=True), derived.single_payments(spark, d, collide=True), WIDE)
+    return r.results.select("payment_id", "status", "review_reason", "strategy", "confidence", "message")
+
+
 @query("reconcile_singles", "SELECT payment_id, status, review_reason, strategy, confidence, message FROM rs", (*_SNAPSHOT, _DECIDED))
 def reconcile_singles(spark: SparkSession, d: str) -> DataFrame:
     """The engine on payments that do not compete: the ordered fold must equal the SQL decision."""

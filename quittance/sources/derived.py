@@ -9,21 +9,25 @@ from pyspark.sql import functions as F
 from quittance.functions.money import MONEY
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An invoice per order."""
+def invoices(spark: SparkSession, sf_dir: str, collide: bool = False) -> DataFrame:
+    """An invoice per order.  With collide, every seventh has the amount of the customer's invoice before."""
     o, c = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
     d = o.join(c.select("c_custkey", "c_name"), o["o_custkey"] == c["c_custkey"])
     key = F.col("o_orderkey").cast("string")
-    return d.select(
+    out = d.select(
         F.concat(F.lit("i"), F.lpad(key, 9, "0")).alias("id"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("customer_id"), F.col("c_name").alias("customer_name"),
         F.concat(F.lit("INV-"), F.year("o_orderdate").cast("string"), F.lit("-"), F.lpad(key, 6, "0")).alias("number"), F.to_date("o_orderdate").alias("issue_date"), F.lit(None).cast("date").alias("due_date"),
         F.col("o_totalprice").cast(MONEY).alias("amount"), F.element_at(F.array(F.lit("EUR"), F.lit("HUF"), F.lit("USD")), (F.col("o_custkey") % 3 + 1).cast("int")).alias("currency"), F.col("o_orderkey").alias("k"),
     )
+    if not collide:
+        return out
+    before = F.lag("amount").over(W.partitionBy("customer_id").orderBy("issue_date", "k"))
+    return out.withColumn("before", before).withColumn("amount", F.when(F.col("k") % 7 == 0, F.coalesce("before", "amount")).otherwise(F.col("amount"))).drop("before")
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bank lines in ten shapes by order key: clean, unreferenced, short by a fee, in part, too much, two at once, by a stranger, or none."""
-    i = invoices(spark, sf_dir)
+def payments(spark: SparkSession, sf_dir: str, collide: bool = False) -> DataFrame:
+    """Bank lines in ten shapes by order key: clean, unreferenced, short by a fee, in part, too much, two at once, by a stranger, or none.  With collide, more of them lack a reference."""
+    i = invoices(spark, sf_dir, collide)
     mod = F.col("k") % 10
     paid = F.date_add(F.col("issue_date"), (F.col("k") % 40 + 3).cast("int"))
     w = W.partitionBy("customer_id").orderBy("issue_date", "k")
@@ -33,15 +37,15 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(mod == 4, F.col("amount") - F.round(F.col("amount") * F.lit("0.02").cast("decimal(3,2)"), 2)).when(mod == 5, F.round(F.col("amount") * F.lit("0.60").cast("decimal(3,2)"), 2)).when(mod == 6, F.col("amount") + F.lit("25.00").cast("decimal(5,2)"))
         .when(merged, F.col("amount") + F.col("nx.amount")).otherwise(F.col("amount"))
     )
-    ref = F.when(mod == 3, "").when(merged, F.concat(F.col("number"), F.lit(" "), F.col("nx.number"))).otherwise(F.col("number"))
+    ref = F.when(mod.isin(1, 3, 4, 5) if collide else mod == 3, "").when(merged, F.concat(F.col("number"), F.lit(" "), F.col("nx.number"))).otherwise(F.col("number"))
     return d.filter(mod != 9).select(
         F.concat(F.lit("p"), F.lpad(F.col("k").cast("string"), 9, "0")).alias("id"), "date", amount.cast(MONEY).alias("amount"), "currency", ref.alias("reference"),
         F.when(mod == 8, "").otherwise(F.col("customer_name")).alias("counterparty"), F.lit(None).cast("string").alias("customer_id"), "k",
     )
 
 
-def single_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def single_payments(spark: SparkSession, sf_dir: str, collide: bool = False) -> DataFrame:
     """The latest payment of each named customer and currency: no two compete, so opening balances decide."""
-    p = payments(spark, sf_dir).filter("counterparty <> ''")
+    p = payments(spark, sf_dir, collide).filter("counterparty <> ''")
     w = W.partitionBy("counterparty", "currency").orderBy(F.col("date").desc(), F.col("id").desc())
     return p.withColumn("nth", F.row_number().over(w)).filter("nth = 1").drop("nth")
