@@ -135,7 +135,11 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
 def quality_rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go, failing lines of the others go; columns stay those of docs."""
     names = docs.columns
-    out = clean_lines(docs).filter("kept").withColumn("text", F.col("clean_text"))
+    (cleaned,) = fresh(docs, "cleaned_")
+    # a filter would be pushed below the projection and judge every line twice; a generator judges once
+    out = clean_lines(docs.select(*[F.col(c).alias(f"carried{k}_") for k, c in enumerate(names)], F.col("text").alias("text")))
+    out = out.select(*[f"carried{k}_" for k in range(len(names))], F.explode(F.when(F.col("kept"), F.array("clean_text"))).alias(cleaned))
+    kept = {c: F.col(f"carried{k}_") for k, c in enumerate(names)} | {"text": F.col(cleaned)}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+        kept["n_chars"] = F.length(cleaned).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[kept[c].alias(c) for c in names])
