@@ -31,7 +31,7 @@ def read_table(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
 
 
-def _accept(raw: DataFrame, rows, required: tuple[str, ...], path: str) -> DataFrame:
+def accept_rows(raw: DataFrame, rows, required: tuple[str, ...], path: str) -> DataFrame:
     if missing := [c for c in required if c not in raw.columns]:
         raise LedgerError(f"{path}: missing column(s): {', '.join(missing)}")
     checked = rows(raw)
@@ -49,11 +49,11 @@ def _first_bad_line(checked: DataFrame) -> tuple[int, list[str]]:
 
 
 def read_invoices(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    return _accept(read_table(spark, path, kind), validate.invoice_rows, validate.INVOICE_REQUIRED, path)
+    return accept_rows(read_table(spark, path, kind), validate.invoice_rows, validate.INVOICE_REQUIRED, path)
 
 
 def read_payments(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
-    return _accept(read_table(spark, path, kind), validate.payment_rows, validate.PAYMENT_REQUIRED, path)
+    return accept_rows(read_table(spark, path, kind), validate.payment_rows, validate.PAYMENT_REQUIRED, path)
 
 
 def request(spark: SparkSession, body: str) -> Reconciliation:
@@ -70,7 +70,7 @@ def request(spark: SparkSession, body: str) -> Reconciliation:
         if any(isinstance(r.get("amount"), float) for r in items):
             raise LedgerError(f"{what}: amounts must be strings, not binary floating point")
         raw = spark.createDataFrame([tuple(None if r.get(c) is None else str(r[c]) for c in columns) for r in items], ", ".join(f"{c} string" for c in columns))
-        frames.append(_accept(raw, rows, required, what))
+        frames.append(accept_rows(raw, rows, required, what))
     return reconcile(*frames, policy=Policy.from_mapping(given.get("config") or {}))
 
 

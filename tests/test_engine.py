@@ -225,3 +225,33 @@ def test_rest_stands_without_llm(tmp_path):
             (tmp_path / "quittance" / x.name).symlink_to(x)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'op1_quality_qda' in e.queries(), set(e.oracle_sql()) <= set(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
     assert said.split()[1:] == ["False", "True"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quittance.cli import main
+    from quittance.sources.runner import execute, remove
+
+    (tmp_path / "i.csv").write_text("Key,ContactName,AccountCode,Invoice Number,InvoiceDate,Total,Currency\n7,Acme Kft,c1,INV-2026-0007,2026-01-05,100.00,eur\n")
+    (tmp_path / "b.csv").write_text("Transaction ID,Booking Date,Credit Amount,Ccy,Remittance Information,Payer Name\nt1,2026-01-09,100.00,EUR,INV-2026-0007,ACME KFT\n")
+    assert main(["run", str(tmp_path / "i.csv"), str(tmp_path / "b.csv"), "--out", f"{tmp_path}/out"]) == 0
+    assert "1 matched" in capsys.readouterr().out
+    assert main(["run", str(tmp_path / "none.csv"), str(tmp_path / "b.csv")]) == 2
+    assert main(["version"]) == 0
+    book = history.RunHistory(spark, f"file://{tmp_path}/history")
+    done = execute(spark, str(tmp_path / "i.csv"), str(tmp_path / "b.csv"), f"{tmp_path}/out2", history=book, run_id="r1")
+    assert (done.invoices, done.payments, book.get("r1")["status"], book.get("r1")["money_in"]) == (1, 1, "complete", "100.00")
+    assert remove(spark, f"{tmp_path}/out2") == 4
+    with pytest.raises(LedgerError, match="more than"):
+        execute(spark, str(tmp_path / "i.csv"), str(tmp_path / "b.csv"), f"{tmp_path}/out3", max_rows=0)
+
+
+def test_quality_bench(spark):
+    from quittance.plans import quality_bench
+
+    names = [s[0] for s in quality_bench.scenarios()]
+    assert len(names) == 13 and names.count("overall") == 6
+    rows = quality_bench.run(spark, [quality_bench.scenarios()[0]], seeds=(0,), invoices=60)
+    m = quality_bench.means(rows)
+    assert m.first()["precision"] == 1.0
+    assert quality_bench.differences(m, m).count() == 0
+    assert quality_bench.differences(m, m.withColumn("recall", F.col("recall") - 0.1)).count() == 1
