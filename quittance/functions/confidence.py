@@ -28,6 +28,11 @@ NO_CUSTOMER = "customer not identified from the bank line"
 NOTHING_ELSE = "no other invoice or combination explains this amount"
 OUT_OF_BUDGET = "combination search hit its budget, so uniqueness is unproven"
 ONLY_ONE_OPEN = "only one invoice was open for this customer"
+NOTHING_FITS = "no open invoice matches this payment"
+BUDGET_SPENT = "combination search hit its budget before finding an explanation"
+TIED = "{n} allocations explain this payment equally well (confidence {confidence}); the engine will not choose between them"
+TOO_LOW = "best explanation scored {confidence}, below the {threshold} threshold: {reason}"
+RUN_WARNING = "{n} payment(s) hit the combination search budget ({budget} nodes); results for those are not proven unique"
 
 
 @dataclass(frozen=True)
@@ -103,3 +108,13 @@ def headline_of(strategy: Column, n: Column, m: Column) -> Column:
     phrase = phrase.when(m > 0, F.concat(F.lit(", reference matched "), told.cast("string"), F.lit(" of "), n.cast("string"))).otherwise(", no reference")
     head = F.element_at(F.create_map(*[F.lit(x) for kv in HEADLINE.items() for x in kv]), strategy)
     return F.concat(F.replace(head, F.lit("{n}"), n.cast("string")), phrase)
+
+
+def filled(template: str, **parts: Column) -> Column:
+    """A fixed phrase with columns in its places."""
+    import string
+
+    out = []
+    for text, name, _, _ in string.Formatter().parse(template):
+        out += [F.lit(text)] * bool(text) + ([parts[name].cast("string")] if name else [])
+    return F.concat(*out)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quittance.functions.confidence import headline_of, points_of
+from quittance.functions.confidence import NOTHING_FITS, TIED, TOO_LOW, filled, headline_of, points_of
 from quittance.functions.money import MONEY, cents, fee_tolerance, from_cents
 from quittance.plans.policy import Policy
 from quittance.plans.scratch import written
@@ -160,10 +160,11 @@ def decide(payments: DataFrame, ranks: DataFrame, policy: Policy) -> DataFrame:
     d = d.withColumn("review_reason", why)
     applied = F.col("review_reason").isNull()
     status = F.when(F.col("strategy").isNull(), "unmatched").when(~applied, "review").when(F.col("residual") > 0, "partially_matched").otherwise("matched")
+    reason, confidence = F.col("review_reason"), F.col("confidence")
     message = (
-        F.when(F.col("review_reason") == "no_candidate", "no open invoice matches this payment")
-        .when(F.col("review_reason") == "ambiguous", F.concat(F.col("tied").cast("string"), F.lit(" allocations explain this payment equally well (confidence "), F.col("confidence").cast("string"), F.lit("); the engine will not choose between them")))
-        .when(F.col("review_reason") == "below_threshold", F.concat(F.lit("best explanation scored "), F.col("confidence").cast("string"), F.lit(f", below the {policy.confidence_threshold} threshold: "), F.col("headline")))
+        F.when(reason == "no_candidate", NOTHING_FITS)
+        .when(reason == "ambiguous", filled(TIED, n=F.col("tied"), confidence=confidence))
+        .when(reason == "below_threshold", filled(TOO_LOW, confidence=confidence, threshold=F.lit(str(policy.confidence_threshold)), reason=F.col("headline")))
     )
     kept = lambda c: F.when(applied, F.col(c))
     used = F.when(applied, F.col("allocated")).otherwise(F.lit(0))

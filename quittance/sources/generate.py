@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from quittance.functions.money import MONEY
 
-# Payer names and references that say nothing.
-COMPANIES = ("Acme Kft", "Globex GmbH", "Initech Ltd", "Umbrella Zrt", "Stark Bt", "Wayne SA", "Hooli Oy", "Soylent NV", "Cyberdyne AG", "Tyrell SpA")
-JUNK = ("payment", "transfer", "thank you", "monthly payment", "our ref 8842177")
+#: Payer names, and references that say nothing.
+COMPANIES = ("Kormoran Kft", "Talgrund GmbH", "Wexbury Ltd", "Duna Vas Zrt", "Fenyves Bt", "Aubépine SA", "Rautatie Oy", "Lindehof NV", "Silberhorn AG", "Montesole SpA")
+JUNK = ("bank transfer", "for services", "with thanks", "march settlement", "their mark 7719034")
 
 
 @dataclass(frozen=True)
