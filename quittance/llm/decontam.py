@@ -5,7 +5,7 @@ The benchmark is a stated query set, taken in blocks of ITEMS items.  For a bloc
 1. One pass over whole texts keeps, per document, the words that the block knows
    (term and place): the postings.  All later steps read these.
 2. Document frequencies of terms over all passages (PASSAGE words each) give TF-IDF
-   weights; words the block lacks count in a passage's length with the largest
+   weights, smoothed and never zero, so items of frequent words can be found too; words the block lacks count in a passage's length with the largest
    weight.
 3. Randomised SVD of the passages' matrix A together with the items' passages: the
    sketch Z = At (A W) is summed up over partitions, and Z (Wt Z)^-1 Zt, whose
@@ -189,8 +189,6 @@ def _random(n_terms: int, width: int) -> np.ndarray:
 
 def _add_sketch(z: np.ndarray, passage: np.ndarray, term: np.ndarray, words: np.ndarray, idf: np.ndarray, most: float, w: np.ndarray, scale: float = 1.0) -> None:
     """z += At (A w) over the cells of a batch; rows of A have unit length, unknown words included."""
-    keep = idf[term] > 0
-    passage, term = passage[keep], term[keep]
     if not len(term):
         return
     head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
@@ -351,7 +349,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         total = posted.agg(F.sum(F.ceil(F.col("n") / PASSAGE))).first()[0] or 1
         most = float(np.log((total + 1) / 1) + 1)
         idf = np.log((total + 1) / (df + 1)) + 1
-        idf[df > total // 20 + 50] = 0  # words of every twentieth passage tell nothing
         space = latent_space(posted, own, idf, most, share)
         found = save(search(posted, block, idf, most, space, limits), "leaks")
         drop(spark, posted)

@@ -281,6 +281,17 @@ def test_leaks_odd(spark, odd):
     assert {(r["doc_id"], r["item_id"]) for r in blocks} == {(8, 1), (9, None)}
 
 
+def test_leaks_in_a_third_of_the_rows(spark):
+    """Copies of a short document that holds an item make all of the item's words frequent."""
+    item = prose(7001, 36)
+    copies = [(k, prose(7002, 20) + " " + item + " " + prose(7003, 20)) for k in range(400)]
+    other = [(1000 + k, prose(7100 + k, 90)) for k in range(800)]
+    lone = [(9000, prose(8001, 60) + " " + item + " " + prose(8002, 60))]
+    docs = spark.createDataFrame(copies + other + lone, "doc_id long, text string")
+    found = {r["doc_id"] for r in decontam.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert found == {k for k, _ in copies + lone}
+
+
 def test_common_subsequence():
     r = np.random.default_rng(1)
     for _ in range(300):
