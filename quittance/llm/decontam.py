@@ -5,18 +5,20 @@ The benchmark is a stated query set, taken in blocks of ITEMS items.  For a bloc
 1. One pass over whole texts keeps, per document, the words that the block knows
    (term and place): the postings.  All later steps read these.
 2. Document frequencies of terms over all passages (PASSAGE words each) give TF-IDF
-   weights, smoothed and never zero, so items of frequent words can be found too; words the block lacks count in a passage's length with the largest
-   weight.
+   weights, smoothed and never zero, so items of frequent words can be found too; a
+   word the block lacks counts in a passage's length like the passage's known ones.
 3. Randomised SVD of the passages' matrix A together with the items' passages: the
    sketch Z = At (A W) is summed up over partitions, and Z (Wt Z)^-1 Zt, whose
    factors the driver decomposes, stands for At A.  Its leading singular vectors are
    the latent space.  The driver holds terms x sketch numbers, bounded by the block.
-4. Sliding passages of two widths are projected and compared with the items'
-   passages by cosine.  A passage whose known words hold too little of its weight
-   cannot reach the cosine and is passed over before projecting; this bound is exact.
+4. Sliding passages of two widths are candidates for an item if the stretch around
+   them can share the least number of words that step 5 asks for: it must hold some
+   of the item's rarest places, then enough of its places at all.  Both bounds are
+   exact, as they speak of the words that are compared and of no weights.
 5. Candidates are checked by the longest common subsequence of words between item
-   and the stretch around the passage, and by that of the item's answer (its last
-   sentence), so paraphrases need a shared order and a shared answer.
+   and stretch, by the cosine of passage and item's passages in the latent space, and
+   by the common subsequence with the item's answer (its last sentence), so
+   paraphrases need a shared order and a shared answer.
 
 Cases: null or empty texts and items without words match nothing; a null doc_id or
 item_id is carried through; repeated rows are reported once each; extra columns are
@@ -40,6 +42,7 @@ from quittance.llm.common import drop, join_small, save
 PASSAGE, WIDTHS = 48, (24, 48)
 RANK, EXTRA = 96, 16
 ITEMS = 2000
+ROWS, HITS = 256, 1 << 20  # rows, and occurrences of rare words, looked at together
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, place long"
 
 
@@ -187,15 +190,15 @@ def _random(n_terms: int, width: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(5)).standard_normal((n_terms, width), dtype=np.float32)
 
 
-def _add_sketch(z: np.ndarray, passage: np.ndarray, term: np.ndarray, words: np.ndarray, idf: np.ndarray, most: float, w: np.ndarray, scale: float = 1.0) -> None:
-    """z += At (A w) over the cells of a batch; rows of A have unit length, unknown words included."""
+def _add_sketch(z: np.ndarray, passage: np.ndarray, term: np.ndarray, words: np.ndarray, idf: np.ndarray, w: np.ndarray, scale: float = 1.0) -> None:
+    """z += At (A w) over the cells of a batch; rows of A have unit length, each unknown word as long as the row's known ones on average."""
     if not len(term):
         return
     head = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
     size = np.diff(np.append(head, len(term)))
     weight = idf[term]
     known = np.add.reduceat(weight**2, head)
-    length = np.sqrt(known + np.maximum(words[passage[head]] - size, 0) * most**2)
+    length = np.sqrt(known * words[passage[head]] / size)
     weight = (weight / np.repeat(length, size)).astype(np.float32)
     y = np.add.reduceat(w[term] * weight[:, None], head, axis=0) * np.float32(scale)
     order = np.argsort(term, kind="stable")
@@ -204,7 +207,7 @@ def _add_sketch(z: np.ndarray, passage: np.ndarray, term: np.ndarray, words: np.
     z[t[at]] += np.add.reduceat(np.repeat(y, size, axis=0)[order] * weight[order][:, None], at, axis=0)
 
 
-def latent_space(posted: DataFrame, block: Block, idf: np.ndarray, most: float, share: float) -> np.ndarray:
+def latent_space(posted: DataFrame, block: Block, idf: np.ndarray, share: float) -> np.ndarray:
     """Terms x RANK: leading right singular vectors of the passages' TF-IDF matrix."""
     n, width = len(idf), RANK + EXTRA
     known = posted.sparkSession.sparkContext.broadcast(idf)
@@ -213,7 +216,7 @@ def latent_space(posted: DataFrame, block: Block, idf: np.ndarray, most: float,
         z, w = np.zeros((n, width), np.float32), _random(n, width)
         for b in batches:
             for k in range(0, b.num_rows, 128):
-                _add_sketch(z, *_cells(b.slice(k, 128)), known.value, most, w)
+                _add_sketch(z, *_cells(b.slice(k, 128)), known.value, w)
         for k in range(0, n, 256):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([z[k : k + 256].tobytes()])], ["first", "part"])
 
@@ -234,7 +237,7 @@ def latent_space(posted: DataFrame, block: Block, idf: np.ndarray, most: float,
     own = np.zeros((n, width), np.float32)
     for _, terms in block.passages():
         cells = np.unique(terms).astype(np.int64)
-        _add_sketch(own, np.zeros(len(cells), np.int64), cells, np.array([len(terms)]), idf, most, w)
+        _add_sketch(own, np.zeros(len(cells), np.int64), cells, np.array([len(terms)]), idf, w)
     weight = max(1.0, np.abs(z).sum() / max(np.abs(own).sum(), 1e-9) * share)
     z = z + weight * own
     core = w.T.astype(float) @ z
@@ -264,42 +267,69 @@ def _masks(terms: np.ndarray) -> tuple[dict[int, int], int]:
     return out, (1 << len(terms)) - 1
 
 
-def search(posted: DataFrame, block, idf: np.ndarray, most: float, space: np.ndarray, limits: Limits) -> DataFrame:
+@dataclass
+class Rare:
+    """The rarest places of each item: a stretch that shares ``need`` places with an item holds ``some`` of these.
+
+    An item of n words then misses at most n - need places, so among any n - need + some it has some.
+    """
+
+    need: np.ndarray
+    some: np.ndarray
+    items: np.ndarray  # of each entry, ascending
+    terms: np.ndarray
+
+    @classmethod
+    def of(cls, block: Block, df: np.ndarray, paraphrase: float) -> Rare:
+        size = np.array([len(w) for w in block.words])
+        need = np.maximum(np.ceil(size * paraphrase - 1e-9).astype(np.int64), 1)
+        some = np.maximum(need // 4, 1)
+        terms = [np.unique(w[np.argsort(df[w], kind="stable")[: len(w) - m + c]]) for w, m, c in zip(block.words, need, some, strict=True)]
+        return cls(need, some, np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms))
+
+
+def _often(block: Block) -> np.ndarray:
+    """Items x terms: how often each term stands in an item."""
+    n = len(block.vocabulary.terms)
+    most = max(int(np.bincount(w).max()) for w in block.words)
+    out = np.zeros((len(block.words), n), np.min_scalar_type(most))
+    for k, w in enumerate(block.words):
+        out[k] = np.bincount(w, minlength=n)
+    return out
+
+
+def search(posted: DataFrame, block, idf: np.ndarray, df: np.ndarray, space: np.ndarray, limits: Limits) -> DataFrame:
     """Leaks of the block's items: the best checked passage of each document and item."""
-    shared = posted.sparkSession.sparkContext.broadcast((idf, space))
+    shared = posted.sparkSession.sparkContext.broadcast((idf, space, Rare.of(block.value, df, limits.paraphrase)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, basis = shared.value
+        weights, basis, rare = shared.value
         items = block.value
         rows = basis * weights[:, None].astype(np.float32)
-        square = (weights**2).astype(np.float64)
-        own = items.passages()
-        query = np.array([rows[np.unique(t)].sum(0) for _, t in own], np.float32).reshape(len(own), -1)
-        query /= np.maximum(np.linalg.norm(query, axis=1, keepdims=True), 1e-9)
-        of = np.array([k for k, _ in own])
+        own: list[list[np.ndarray]] = [[] for _ in items.words]
+        for k, t in items.passages():
+            q = rows[np.unique(t)].sum(0)
+            own[k].append(q / max(np.linalg.norm(q), 1e-9))
+        sizes, often = np.array([len(w) for w in items.words]), _often(items)
         masks, answers = [_masks(w) for w in items.words], [_masks(w) for w in items.answers]
         for b in batches:
             found: dict[tuple, tuple] = {}
             ids = b.column("doc_id").to_pylist()
-            for row, width, start, a, z in _windows(b, square, most, limits.cosine):
-                terms = a["terms"][start:z]
-                x = rows[np.unique(terms)].sum(0)
-                x /= max(np.linalg.norm(x), 1e-9)
-                cosine = query @ x
-                for k in set(of[np.flatnonzero(cosine >= limits.cosine)].tolist()):
-                    c = float(cosine[of == k].max())
-                    n = len(items.words[k])
-                    middle = a["place"] + width // 2
-                    reach = max(n, width) // 2 + n // 4 + 4
-                    lo, hi = np.searchsorted(a["all_places"], [middle - reach, middle + reach])
-                    words = a["all_terms"][lo:hi].tolist()
-                    shared_words = common_subsequence(*masks[k], words) / n
+            for first in range(0, b.num_rows, ROWS):
+                for row, k, place, terms, around in _windows(b.slice(first, ROWS), sizes, often, rare):
+                    words = around.tolist()
+                    shared_words = common_subsequence(*masks[k], words) / len(items.words[k])
                     if shared_words < limits.paraphrase:
                         continue
+                    x = rows[np.unique(terms)].sum(0)
+                    x /= max(np.linalg.norm(x), 1e-9)
+                    c = max(float(q @ x) for q in own[k])
+                    if c < limits.cosine:
+                        continue
                     answer = common_subsequence(*answers[k], words) / max(len(items.answers[k]), 1)
                     if shared_words >= limits.verbatim or answer >= limits.answer:
-                        best = (shared_words, c, answer, int(a["place"]))
-                        found[row, k] = max(found.get((row, k), best), best)
+                        best = (shared_words, c, answer, place)
+                        found[first + row, k] = max(found.get((first + row, k), best), best)
             out = [(ids[r], items.ids[k], c, lcs, ans, place) for (r, k), (lcs, c, ans, place) in found.items()]
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
@@ -308,27 +338,77 @@ def search(posted: DataFrame, block, idf: np.ndarray, most: float, space: np.nda
     return posted.mapInArrow(bk.tidied(run), SCHEMA)
 
 
-def _windows(b: pa.RecordBatch, square: np.ndarray, most: float, cosine: float) -> Iterator[tuple]:
-    """(row, width, first posting, place and postings, end posting) of passages whose known words can reach the cosine."""
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range, member) of all members of the ranges that begin at first."""
+    of = np.repeat(np.arange(len(first)), count)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + first[of]
+
+
+def _parts(size: np.ndarray, most: int) -> Iterator[slice]:
+    """Runs of positions whose sizes add up to about most."""
+    part = (np.cumsum(size) - size) // most
+    edge = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+    yield from map(slice, edge, [*edge[1:], len(part)])
+
+
+def _windows(b: pa.RecordBatch, sizes: np.ndarray, often: np.ndarray, rare: Rare) -> Iterator[tuple]:
+    """(row, item, place, terms of the window, terms of the stretch around) wherever the stretch may share ``need`` places.
+
+    Two exact bounds: the stretch holds enough of the item's rarest places, and a common subsequence is
+    no longer than the item's places whose words stand in the stretch.
+    """
     edge, terms, places, n = _flat(b)
-    mass = np.concatenate([[0.0], np.cumsum(square[terms])])
-    for width in WIDTHS:
-        step = width // 3
-        count = np.maximum(1, -(-(n - width) // step) + 1)
-        first = np.concatenate([[0], np.cumsum(count)])
-        row = np.repeat(np.arange(len(n)), count)
-        place = (np.arange(first[-1]) - first[row]) * step
-        # postings of all rows on one line, rows far apart
-        gap = int(n.max()) + 2 * max(WIDTHS) if len(n) else 1
-        line = np.repeat(np.arange(len(n), dtype=np.int64), np.diff(edge)) * gap + places
-        lo = np.searchsorted(line, row * gap + place)
-        hi = np.searchsorted(line, row * gap + place + width)
-        known = mass[hi] - mass[lo]
-        unknown = np.maximum(np.minimum(width, n[row] - place) - (hi - lo), 0) * most**2
-        for k in np.flatnonzero((hi - lo >= 3) & (known >= cosine**2 * (known + unknown))).tolist():
-            r = row[k]
-            whole = slice(edge[r], edge[r + 1])
-            yield int(r), width, lo[k], {"terms": terms, "place": place[k], "all_terms": terms[whole], "all_places": places[whole]}, hi[k]
+    if not len(terms):
+        return
+    reach = {w: np.maximum(sizes, w) // 2 + sizes // 4 + 4 for w in WIDTHS}
+    # postings of all rows on one line, rows farther apart than any stretch reaches
+    gap = int(n.max()) + 2 * max(int(r.max()) for r in reach.values()) + max(WIDTHS)
+    line = np.repeat(np.arange(len(n), dtype=np.int64), np.diff(edge)) * gap + places
+    same = line // gap * often.shape[1] + terms
+    order = np.argsort(same, kind="stable")
+    again = same[order[1:]] == same[order[:-1]]
+    before = np.full(len(line), -1)  # the same word's place before, in its row
+    before[order[1:][again]] = line[order[:-1][again]]
+    by_term = np.argsort(terms, kind="stable")
+    count = np.bincount(terms, minlength=often.shape[1])
+    start, per_entry = np.cumsum(count) - count, count[rare.terms]
+    per_item = np.bincount(rare.items, per_entry, len(sizes)).astype(np.int64)
+    for part in _parts(per_item, HITS):
+        entries = slice(*np.searchsorted(rare.items, [part.start, part.stop]))
+        of, at = _ranges(start[rare.terms[entries]], per_entry[entries])
+        item, hit = rare.items[entries][of], line[by_term[at]]
+        order = np.lexsort((hit, item))
+        item, hit = item[order], hit[order]
+        last = np.arange(len(hit)) + rare.some[item] - 1
+        fits = np.flatnonzero(last < len(hit))
+        fits = fits[item[last[fits]] == item[fits]]
+        for width in WIDTHS:
+            yield from _stretches(width, item[fits], hit[fits], hit[last[fits]], gap, n, line, terms, before, reach[width], often, rare)
+
+
+def _stretches(width, item, hit, last, gap, n, line, terms, before, reach, often, rare) -> Iterator[tuple]:
+    """Windows of a width whose stretch holds hit and last and passes the bound on its words."""
+    step = width // 3
+    row, r = hit // gap, reach[item]
+    count = np.maximum(1, -(-(n[row] - width) // step) + 1)
+    low = np.maximum((last - r - row * gap - width // 2) // step + 1, 0)
+    high = np.minimum((hit + r - row * gap - width // 2) // step, count - 1)
+    most = int(count.max(initial=1))
+    some = np.flatnonzero(high >= low)
+    of, k = _ranges(low[some], (high - low + 1)[some])
+    code = np.unique((row[some][of] * len(rare.need) + item[some][of]) * most + k)
+    row, item, place = code // most // len(rare.need), code // most % len(rare.need), code % most * step
+    begin = row * gap + np.maximum(place + width // 2 - reach[item], 0)
+    lo, hi = np.searchsorted(line, begin), np.searchsorted(line, row * gap + place + width // 2 + reach[item])
+    good = np.flatnonzero(hi - lo >= rare.need[item])
+    row, item, place, begin, lo, hi = (x[good] for x in (row, item, place, begin, lo, hi))
+    for part in _parts(hi - lo, HITS):
+        of, at = _ranges(lo[part], (hi - lo)[part])
+        first = before[at] < begin[part][of]
+        held = np.bincount(of, np.where(first, often[item[part][of], terms[at]], 0), part.stop - part.start)
+        for k in (np.flatnonzero(held >= rare.need[item[part]]) + part.start).tolist():
+            a, z = np.searchsorted(line, [row[k] * gap + place[k], row[k] * gap + place[k] + width])
+            yield int(row[k]), int(item[k]), int(place[k]), terms[a:z], terms[lo[k] : hi[k]]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limits: Limits = Limits(), share: float = 0.5, items: int = ITEMS) -> DataFrame:
@@ -347,10 +427,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         n_terms = len(own.vocabulary.terms)
         df = frequencies(posted, n_terms)
         total = posted.agg(F.sum(F.ceil(F.col("n") / PASSAGE))).first()[0] or 1
-        most = float(np.log((total + 1) / 1) + 1)
         idf = np.log((total + 1) / (df + 1)) + 1
-        space = latent_space(posted, own, idf, most, share)
-        found = save(search(posted, block, idf, most, space, limits), "leaks")
+        space = latent_space(posted, own, idf, share)
+        found = save(search(posted, block, idf, df, space, limits), "leaks")
         drop(spark, posted)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], SCHEMA)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quittance.llm import decontam, line_rules, mixing, near_dup, quality_qda, suffix_dedup, token_counts
@@ -292,6 +293,48 @@ def test_leaks_in_a_third_of_the_rows(spark):
     assert found == {k for k, _ in copies + lone}
 
 
+def test_leaks_among_unknown_words(spark):
+    """A short item of frequent words, copied once between words that the benchmark lacks."""
+    words = [f"often{k}" for k in range(10)]
+    apart = [(k, " ".join(f"{w} " + " ".join(f"x{k}y{j}z{i}" for i in range(6)) for j, w in enumerate(reversed(words)))) for k in range(600)]
+    around = [" ".join(f"{side}{k}" for k in range(60)) for side in ("left", "right")]
+    docs = spark.createDataFrame([*apart, (9000, f"{around[0]} {' '.join(words)} {around[1]}")], "doc_id long, text string")
+    out = decontam.find_leaks(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["lcs_ratio"]) for r in out] == [(9000, 1.0)]
+
+
+def test_leak_windows_against_brute_force():
+    """The windows passed on are all those whose common subsequence reaches the least share."""
+    r = np.random.default_rng(3)
+    terms = np.arange(30, dtype=np.int32)
+    items = [r.integers(0, 30, n).astype(np.int32) for n in (1, 3, 5, 9, 16, 33, 60, 130)]
+    block = decontam.Block(list(range(len(items))), items, items, decontam.Vocabulary(terms.astype(np.uint64)))
+    rows = [(n, np.sort(r.permutation(n)[: n // 2 + 1])) for n in (1, 4, 30, 90, 400)]
+    rows = [(n, at, r.integers(0, 30, len(at)).astype(np.int32)) for n, at in rows]
+    for n, at, held in rows:
+        for w in items:  # copies with words lost
+            if n > 2 * len(w) and len(at) > len(w):
+                held[: len(w)] = np.where(r.random(len(w)) < 0.8, w, held[: len(w)])
+    lists = [pa.array([x[k].tolist() for x in rows], pa.list_(pa.int32())) for k in (2, 1)]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([x[0] for x in rows]), *lists], ["doc_id", "n", "terms", "places"])
+    sizes, masks = np.array([len(w) for w in items]), [decontam._masks(w) for w in items]
+    share = decontam.Limits().paraphrase
+    enough = lambda k, words: decontam.common_subsequence(*masks[k], words) >= share * sizes[k]
+    for df in (np.arange(30), np.zeros(30, np.int64)):
+        rare = decontam.Rare.of(block, df, share)
+        found = [(row, k, len(x), place) for row, k, place, x, around in decontam._windows(b, sizes, decontam._often(block), rare) if enough(k, around.tolist())]
+        want = []
+        for row, (n, at, held) in enumerate(rows):
+            for width in decontam.WIDTHS:
+                for place in range(0, max(1, -(-(n - width) // (width // 3)) + 1) * (width // 3), width // 3):
+                    for k, size in enumerate(sizes.tolist()):
+                        reach = max(size, width) // 2 + size // 4 + 4
+                        near = held[(at >= place + width // 2 - reach) & (at < place + width // 2 + reach)]
+                        if enough(k, near.tolist()):
+                            want.append((row, k, int(((at >= place) & (at < place + width)).sum()), place))
+        assert want and sorted(found) == sorted(want)
+
+
 def test_common_subsequence():
     r = np.random.default_rng(1)
     for _ in range(300):
