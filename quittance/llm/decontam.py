@@ -16,9 +16,11 @@ The benchmark is a stated query set, taken in blocks of ITEMS items.  For a bloc
    of the item's rarest places, then enough of its places at all.  Both bounds are
    exact, as they speak of the words that are compared and of no weights.
 5. Candidates are checked by the longest common subsequence of words between item
-   and stretch, by the cosine of passage and item's passages in the latent space, and
-   by the common subsequence with the item's answer (its last sentence), so
-   paraphrases need a shared order and a shared answer.
+   and stretch.  A verbatim share of the item is a leak by itself, whatever the cosine.
+   A smaller share is one if the cosine of passage and item's passages, in the latent
+   space or of the plain TF-IDF rows where the rank loses words, and the common
+   subsequence with the item's answer (its last sentence) are large, so paraphrases
+   need a shared order and a shared answer.  The larger cosine is reported.
 
 Cases: null or empty texts and items without words match nothing; a null doc_id or
 item_id is carried through; repeated rows are reported once each; extra columns are
@@ -306,10 +308,9 @@ def search(posted: DataFrame, block, idf: np.ndarray, df: np.ndarray, space: np.
         weights, basis, rare = shared.value
         items = block.value
         rows = basis * weights[:, None].astype(np.float32)
-        own: list[list[np.ndarray]] = [[] for _ in items.words]
+        own: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in items.words]
         for k, t in items.passages():
-            q = rows[np.unique(t)].sum(0)
-            own[k].append(q / max(np.linalg.norm(q), 1e-9))
+            own[k].append((np.unique(t), _unit(rows, np.unique(t))))
         sizes, often = np.array([len(w) for w in items.words]), _often(items)
         masks, answers = [_masks(w) for w in items.words], [_masks(w) for w in items.answers]
         for b in batches:
@@ -321,13 +322,11 @@ def search(posted: DataFrame, block, idf: np.ndarray, df: np.ndarray, space: np.
                     shared_words = common_subsequence(*masks[k], words) / len(items.words[k])
                     if shared_words < limits.paraphrase:
                         continue
-                    x = rows[np.unique(terms)].sum(0)
-                    x /= max(np.linalg.norm(x), 1e-9)
-                    c = max(float(q @ x) for q in own[k])
-                    if c < limits.cosine:
-                        continue
+                    held = np.unique(terms)
+                    x = _unit(rows, held)
+                    c = max(max(float(q @ x), _plain(weights, t, held)) for t, q in own[k])
                     answer = common_subsequence(*answers[k], words) / max(len(items.answers[k]), 1)
-                    if shared_words >= limits.verbatim or answer >= limits.answer:
+                    if shared_words >= limits.verbatim or (c >= limits.cosine and answer >= limits.answer):
                         best = (shared_words, c, answer, place)
                         found[first + row, k] = max(found.get((first + row, k), best), best)
             out = [(ids[r], items.ids[k], c, lcs, ans, place) for (r, k), (lcs, c, ans, place) in found.items()]
@@ -338,6 +337,18 @@ def search(posted: DataFrame, block, idf: np.ndarray, df: np.ndarray, space: np.
     return posted.mapInArrow(bk.tidied(run), SCHEMA)
 
 
+def _unit(rows: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """A passage's place in the latent space, of unit length."""
+    x = rows[terms].sum(0)
+    return x / max(np.linalg.norm(x), 1e-9)
+
+
+def _plain(weights: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    """Cosine of two passages' TF-IDF rows, which no rank cuts."""
+    both = np.intersect1d(a, b, assume_unique=True)
+    return float((weights[both] ** 2).sum() / max(np.linalg.norm(weights[a]) * np.linalg.norm(weights[b]), 1e-9))
+
+
 def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(range, member) of all members of the ranges that begin at first."""
     of = np.repeat(np.arange(len(first)), count)

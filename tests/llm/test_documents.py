@@ -303,6 +303,34 @@ def test_leaks_among_unknown_words(spark):
     assert [(r["doc_id"], r["lcs_ratio"]) for r in out] == [(9000, 1.0)]
 
 
+def test_leaks_of_many_items(spark):
+    """More items than the latent space has directions: every stretch that shares enough words is found, by brute force."""
+    items = [(k, prose(20000 + k, 30) if k % 100 == 1 else " ".join(f"w{k}x{j}" for j in range(8 + k % 10))) for k in range(2000)]
+    # around the copies stand words of other items, which are frequent and take the directions
+    usual = [w for _, t in items[1::100] for w in t.split()]
+    r = np.random.default_rng(0)
+    around = lambda: " ".join(r.choice(usual, 50).tolist())
+    planted = [(k, f"{around()} {t} {around()}") for k, t in items[::2]]
+    docs = spark.createDataFrame(planted, "doc_id long, text string")
+    out = decontam.find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(k, k) for k, _ in planted} <= {(r["doc_id"], r["item_id"]) for r in out}
+    # all pairs of 40 documents and all items whose verbatim share any stretch reaches
+    block = decontam.Block.of(items, decontam.Limits().min_words)
+    masks, verbatim = [decontam._masks(w) for w in block.words], decontam.Limits().verbatim
+    want = set()
+    for d, text in planted[:40]:
+        held = block.vocabulary.find(decontam._of_text(text))
+        for k, w in enumerate(block.words):
+            if decontam.common_subsequence(*masks[k], held.tolist()) < verbatim * len(w):
+                continue
+            for width in decontam.WIDTHS:
+                reach = max(len(w), width) // 2 + len(w) // 4 + 4
+                middles = range(width // 2, len(held) + width, width // 3)
+                if any(decontam.common_subsequence(*masks[k], held[max(m - reach, 0) : m + reach].tolist()) >= verbatim * len(w) for m in middles if m - width // 2 < len(held) - width + width // 3):
+                    want.add((d, k))
+    assert want == {(r["doc_id"], r["item_id"]) for r in out if r["lcs_ratio"] >= verbatim and r["doc_id"] in dict(planted[:40])}
+
+
 def test_leak_windows_against_brute_force():
     """The windows passed on are all those whose common subsequence reaches the least share."""
     r = np.random.default_rng(3)
