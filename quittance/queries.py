@@ -391,6 +391,59 @@ def review_queue(spark: SparkSession, d: str) -> DataFrame:
     return _decided(spark, d, WIDE, collide=True).filter("review_reason is not null").select("payment_id", "review_reason", "message")
 
 
+# --- the same over every payment of the statement, rivals and strangers included, at opening balances ---------
+
+_STRANGERS = """
+  UNION ALL
+  SELECT p.id, p.date, p.amount, i.id, i.issue_date, i.amount, i.number, true
+  FROM pay p JOIN inv i ON p.k = i.k AND contains(p.reference, i.number) AND p.currency = i.currency AND i.issue_date BETWEEN p.date - {} AND p.date + 5
+  WHERE p.counterparty = ''),
+ct AS ("""
+_EVERY_SCORED = _SCORED.replace("+ 600 +", "+ CASE WHEN payment_id IN (SELECT id FROM pay WHERE counterparty <> '') THEN 600 ELSE 0 END +")
+_EVERY = (_sql_pairs("pay", 120, 5).replace("),\nct AS (", _STRANGERS.format(120)), _COMBOS.lstrip(), _ALL, _EVERY_SCORED)
+_WIDE_EVERY = (_sql_pairs("pay", 900, 5).replace("),\nct AS (", _STRANGERS.format(900)), _COMBOS.lstrip(), _ALL, _EVERY_SCORED)
+_EVERY_DECIDED = _DECIDED.replace("FROM one o", "FROM pay o")
+
+
+def _every(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> DataFrame:
+    """Candidates of all payments: with a known customer by customer, else by the invoices their reference names."""
+    i = derived.invoices(spark, d, collide)
+    known = resolve.resolve(pairs.with_refs(derived.payments(spark, d, collide)), i, policy.fuzzy_ref_threshold, fuzzy=False)
+    found = pairs.evidence(pairs.eligible(known, pairs.with_token(i), policy), policy, fuzzy=False)
+    return candidates.all_candidates(candidates.with_counts(found.withColumn("customer", F.col("resolved").isNotNull()), policy), policy)
+
+
+def _every_decided(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> DataFrame:
+    return candidates.decide(derived.payments(spark, d, collide), candidates.ranked(_every(spark, d, policy, collide)), policy)
+
+
+@query("score_every_payment", "SELECT payment_id, strategy, invoice_ids, points, headline, (points::decimal(10,4) / 10000)::decimal(5,4) AS confidence FROM sc", _EVERY)
+def score_every_payment(spark: SparkSession, d: str) -> DataFrame:
+    return _every(spark, d).select("payment_id", "strategy", "invoice_ids", "points", "headline", "confidence")
+
+
+@query("rank_every_payment", "SELECT payment_id, invoice_ids, strategy, points, rank::int AS rank FROM rk", _EVERY)
+def rank_every_payment(spark: SparkSession, d: str) -> DataFrame:
+    return candidates.ranked(_every(spark, d)).select("payment_id", "invoice_ids", "strategy", "points", F.col("rank").cast("int"))
+
+
+@query("tied_every_payment", "SELECT payment_id, invoice_ids, points, tied::bigint AS tied FROM rk WHERE points = top AND tied > 1", _WIDE_EVERY, _COLLIDED)
+def tied_every_payment(spark: SparkSession, d: str) -> DataFrame:
+    best = F.max("points").over(W.partitionBy("payment_id"))
+    r = candidates.ranked(_every(spark, d, WIDE, collide=True)).withColumn("top", best)
+    return r.filter("points = top and tied > 1").select("payment_id", "invoice_ids", "points", F.col("tied").cast("long"))
+
+
+@query("decide_every_payment", "SELECT * FROM rs", (*_EVERY, _EVERY_DECIDED))
+def decide_every_payment(spark: SparkSession, d: str) -> DataFrame:
+    return _every_decided(spark, d)
+
+
+@query("review_every_payment", "SELECT payment_id, review_reason, message FROM rs WHERE review_reason IS NOT NULL", (*_WIDE_EVERY, _EVERY_DECIDED), _COLLIDED)
+def review_every_payment(spark: SparkSession, d: str) -> DataFrame:
+    return _every_decided(spark, d, WIDE, collide=True).filter("review_reason is not null").select("payment_id", "review_reason", "message")
+
+
 # --- results of a snapshot: allocations of single-invoice decisions ------------------------------------------
 
 _MOVED = """
