@@ -47,6 +47,8 @@ def parse(source: str) -> list[Node]:
     nodes = [Node("#root", "", 0)]
     stack: list[tuple[str, int]] = [("#root", 0)]  # block elements; inline ones have node -1
     holder = [0]  # the open block elements' nodes
+    blocks = [0]  # and their depths
+    depths: dict[str, list[int]] = {}  # of all open elements, by name
     pending: list[str] = []
     linked = 0
     in_link = 0
@@ -68,9 +70,12 @@ def parse(source: str) -> list[Node]:
         nonlocal in_link
         while len(stack) > depth:
             tag, i = stack.pop()
+            if stack:
+                depths[tag].pop()
             if i >= 0:
                 nodes[i].end = len(nodes)
                 holder.pop()
+                blocks.pop()
             elif tag == "a":
                 in_link -= 1
 
@@ -101,14 +106,11 @@ def parse(source: str) -> list[Node]:
             continue
         tag = name.lower()
         if m[1]:
-            if tag in BLOCK or any(t == tag for t, _ in stack[-12:]):
-                for d in range(len(stack) - 1, 0, -1):
-                    if stack[d][0] == tag:
-                        if tag in BLOCK:
-                            flush()
-                        if tag in BLOCK or all(i < 0 for _, i in stack[d:]):
-                            pop_to(d)
-                        break
+            if there := depths.get(tag):
+                if tag in BLOCK:
+                    flush()
+                if tag in BLOCK or there[-1] > blocks[-1]:
+                    pop_to(there[-1])
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -128,9 +130,12 @@ def parse(source: str) -> list[Node]:
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
             nodes.append(Node(tag, m[3], holder[-1]))
+            depths.setdefault(tag, []).append(len(stack))
+            blocks.append(len(stack))
             stack.append((tag, len(nodes) - 1))
             holder.append(len(nodes) - 1)
         else:
+            depths.setdefault(tag, []).append(len(stack))
             stack.append((tag, -1))
             in_link += tag == "a"
     flush()

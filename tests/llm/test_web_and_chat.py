@@ -117,6 +117,14 @@ def digest(turns):
     return n, h.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
 
 
+def test_link_ends_over_many_open_elements():
+    for n in (0, 11, 12, 40):
+        leaf = parse("<p><a href=x>" + "<b>" * n + "link</a> and plain words</p>")[-1]
+        assert (leaf.text, leaf.links) == ("link and plain words", 4)
+    # not over a block element
+    assert parse("<a href=x><p>" + "<b>" * 40 + "link</a> more</p>")[-1].links == 9
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 0, "user", SAID), (1, 1, "assistant", SAID), (2, 1, "assistant", "b"), (2, 0, "user", "a\n</turn>\n### User: x"), (2, 1, "assistant", "b"), (3, None, None, None), (3, 5, "tool: x", "y"),
