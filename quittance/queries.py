@@ -287,6 +287,12 @@ def eligible_any_customer(spark: SparkSession, d: str) -> DataFrame:
     return pairs.by_currency(derived.payments(spark, d), _ledger(spark, d), NARROW).select("payment_id", "invoice_id")
 
 
+@query("eligible_any_customer_whole")
+def eligible_any_customer_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The same in the window that the engine uses; no SQL, as the pairs grow with the square of the statement."""
+    return pairs.by_currency(derived.payments(spark, d), _ledger(spark, d), Policy(require_customer_match=False)).select("payment_id", "invoice_id")
+
+
 @query("ref_evidence_exact", "SELECT payment_id, invoice_id, hit AS token_hit, bool_or(hit) OVER (PARTITION BY payment_id) AS any_hit FROM pr", (_sql_pairs("pay", 120, 5),))
 def ref_evidence_exact(spark: SparkSession, d: str) -> DataFrame:
     return pairs.exact_evidence(pairs.by_customer(*_ready(spark, d, DEFAULT), DEFAULT)).select("payment_id", "invoice_id", "token_hit", "any_hit")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from datetime import timedelta
 
 import pytest
 
@@ -34,3 +35,12 @@ def test_no_payment_is_left_out(spark):
     explained = {r["payment_id"] for r in QUERIES["score_every_payment"](spark, SMALL).select("payment_id").distinct().collect()}
     assert len(explained) > derived.single_payments(spark, SMALL).count()
     assert any(i.endswith("8") for i in explained)
+
+
+def test_any_customer_in_the_whole_window(spark):
+    p = derived.payments(spark, SMALL).select("id", "date", "currency").collect()
+    i = derived.invoices(spark, SMALL).select("id", "issue_date", "currency").collect()
+    first, last = timedelta(days=120), timedelta(days=5)
+    want = Counter((x["id"], y["id"]) for x in p for y in i if x["currency"] == y["currency"] and x["date"] - first <= y["issue_date"] <= x["date"] + last)
+    assert Counter(tuple(r) for r in QUERIES["eligible_any_customer_whole"](spark, SMALL).collect()) == want
+    assert len(want) > QUERIES["eligible_any_customer"](spark, SMALL).count()
