@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -17,24 +18,28 @@ BROADCAST_BYTES = 8 << 20
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; a folder of our own only where it is unset on a local master.
+
+    A path without a scheme belongs to the default file system, as everywhere in Spark.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quittance-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/") if "://" in root else "file://" + root.rstrip("/")
+    root = root.rstrip("/")
+    if "://" not in root:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        root = re.sub(r"^file:/(?!/)", "file:///", root)
+    return root
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files whose plans are no longer referenced."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def save(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write df to the shared folder as Parquet and return the table read back.
 
@@ -43,10 +48,18 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of plans that are no longer referenced.
+
+    For the one operator whose exchanges carry whole texts, between its large steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Remove a table made by save() that no later step reads."""
     jvm = spark.sparkContext._jvm

@@ -1,6 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-The benchmark is a stated query set, taken in blocks of ITEMS items.  For a block:
+The benchmark is a stated query set.  It is taken as one block, or as several where it has
+more than ``terms`` different words or WORDS words, which bounds what a task and the
+driver hold of it.  For a block:
 
 1. One pass over whole texts keeps, per document, the words that the block knows
    (term and place): the postings.  All later steps read these.
@@ -20,18 +22,23 @@ The benchmark is a stated query set, taken in blocks of ITEMS items.  For a bloc
    A smaller share is one if the cosine of passage and item's passages, in the latent
    space or of the plain TF-IDF rows where the rank loses words, and the common
    subsequence with the item's answer (its last sentence) are large, so paraphrases
-   need a shared order and a shared answer.  The larger cosine is reported.
-
-Cases: null or empty texts and items without words match nothing; a null doc_id or
-item_id is carried through; repeated rows are reported once each; extra columns are
-not read; an empty benchmark gives an empty result.
+   need a shared order and a shared answer.  Sentences in another order are compared
+   one by one, and must then share more.  The larger cosine is reported.
+6. Items of fewer than ``min_words`` words say too little for a share: they are leaks
+   where all their words follow one another in the text, and nowhere else.
+
+Cases: null or empty texts and items without words match nothing; an item of one word
+matches every text with that word; a null doc_id or item_id is carried through;
+repeated rows are reported once each; ties between passages go to the larger cosine,
+then answer, then place; a very long text is searched as a whole, 48 words a passage; extra columns are not read;
+an empty table of documents or an empty benchmark gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -39,13 +46,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quittance.llm import bytes_kernel as bk
-from quittance.llm.common import drop, join_small, save
+from quittance.llm.common import drop, save, small
 
 PASSAGE, WIDTHS = 48, (24, 48)
 RANK, EXTRA = 96, 16
-ITEMS = 2000
+#: Different words, and words, of a block of the benchmark: a sketch takes TERMS * 112 * 4 bytes.
+TERMS, WORDS = 1 << 17, 1 << 21
 ROWS, HITS = 256, 1 << 20  # rows, and occurrences of rare words, looked at together
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, place long"
+#: The same with a hash of the text, which tells rows apart whose doc_id is null or repeated.
+ROW_SCHEMA = "doc_id long, text_hash long, item_id long, cosine double, lcs_ratio double, answer_ratio double, place long"
 
 
 @dataclass(frozen=True)
@@ -53,6 +63,8 @@ class Limits:
     cosine: float = 0.45
     verbatim: float = 0.75
     paraphrase: float = 0.55
+    reordered: float = 0.7
+    reordered_answer: float = 0.6
     answer: float = 0.8
     min_words: int = 5
 
@@ -102,21 +114,30 @@ class Vocabulary:
         return out
 
 
+def sentences(text: str) -> list[str]:
+    return [x for x in re.split(r"(?<=[.!?])\s+|\n", text.strip()) if x]
+
+
 @dataclass
 class Block:
-    """A block of the benchmark: term ids of each item, of its answer, and its vocabulary."""
+    """A block of the benchmark: term ids of each item, of its answer and of its sentences, and its vocabulary."""
 
     ids: list
     words: list[np.ndarray]
     answers: list[np.ndarray]
     vocabulary: Vocabulary
+    parts: list[list[np.ndarray]]
+    brief: list[tuple[int | None, np.ndarray]] = field(default_factory=list)  # items below min_words
 
     @classmethod
     def of(cls, items: list[tuple[int | None, str | None]], min_words: int) -> Block:
-        hashed = [(i, _of_text(t or ""), _of_text(re.split(r"(?<=[.!?])\s+|\n", (t or "").strip())[-1])) for i, t in items]
-        hashed = [x for x in hashed if len(x[1]) >= min_words]
+        hashed = [(i, _of_text(t or ""), [_of_text(x) for x in sentences(t or "")] or [np.zeros(0, np.uint64)]) for i, t in items]
+        hashed = [x for x in hashed if len(x[1])]
         v = Vocabulary(np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[1] for x in hashed)])))
-        return cls([x[0] for x in hashed], [v.find(x[1]) for x in hashed], [v.find(x[2]) for x in hashed], v)
+        long = [x for x in hashed if len(x[1]) >= min_words]
+        brief = [(i, v.find(w)) for i, w, _ in hashed if len(w) < min_words]
+        parts = [[v.find(x) for x in said] for _, _, said in long]
+        return cls([x[0] for x in long], [v.find(x[1]) for x in long], [x[-1] for x in parts], v, parts, brief)
 
     def passages(self) -> list[tuple[int, np.ndarray]]:
         """(item, terms) of the items' own passages of at most PASSAGE words."""
@@ -127,8 +148,25 @@ class Block:
         return out
 
 
+def blocks_of(benchmark: DataFrame, min_words: int, terms: int = TERMS, words: int = WORDS) -> Iterator[Block]:
+    """benchmark(item_id, text) in order, cut where a block would have more than terms different words or words words."""
+    held: list[tuple[int | None, str | None]] = []
+    seen: set[int] = set()
+    size = 0
+    for r in benchmark.orderBy("item_id", "text").toLocalIterator():
+        own = _of_text(r["text"] or "").tolist()
+        if held and (len(seen) + len(set(own) - seen) > terms or size + len(own) > words):
+            yield Block.of(held, min_words)
+            held, seen, size = [], set(), 0
+        held.append((r["item_id"], r["text"]))
+        seen.update(own)
+        size += len(own)
+    if held:
+        yield Block.of(held, min_words)
+
+
 def postings(docs: DataFrame, block, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, terms, places): known words of each document that has any."""
+    """(doc_id, text_hash, n, terms, places): known words of each document that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary(block.value.vocabulary.terms)
@@ -140,11 +178,18 @@ def postings(docs: DataFrame, block, doc_id: str, text: str) -> DataFrame:
                 row = np.searchsorted(at, known, "right") - 1
                 edge = np.searchsorted(known, at).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(edge), pa.array(x.astype(np.int32))) for x in (term[known], known - at[row])]
-                out = pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), *lists], ["doc_id", "n", "terms", "places"])
+                keys = [b.column(c).slice(lo, hi - lo) for c in ("doc_id", "text_hash")]
+                out = pa.RecordBatch.from_arrays([*keys, pa.array(np.diff(at)), *lists], ["doc_id", "text_hash", "n", "terms", "places"])
                 yield out.filter(pa.array(np.diff(edge) > 0))
 
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return d.mapInArrow(bk.tidied(run), "doc_id long, n long, terms array<int>, places array<int>")
+    said = F.col(text).cast("string")
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(said).alias("text_hash"), said.alias("text"))
+    return d.mapInArrow(bk.tidied(run), "doc_id long, text_hash long, n long, terms array<int>, places array<int>")
+
+
+def gathered(posted: DataFrame) -> DataFrame:
+    """posted in at most a few partitions a core, so that what each task sums up beforehand is sent that often only."""
+    return posted.coalesce(max(1, 3 * posted.sparkSession.sparkContext.defaultParallelism))
 
 
 def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -183,7 +228,7 @@ def frequencies(posted: DataFrame, n_terms: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["term", "df"])
 
     out = np.zeros(n_terms, np.int64)
-    for r in posted.mapInArrow(bk.tidied(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
+    for r in gathered(posted).mapInArrow(bk.tidied(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toLocalIterator():
         out[r["term"]] = r["df"]
     return out
 
@@ -231,8 +276,8 @@ def latent_space(posted: DataFrame, block: Block, idf: np.ndarray, share: float)
         for k, x in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x.astype(np.float32).tobytes()])], ["first", "part"])
 
-    z = np.zeros((n, width))
-    summed = posted.mapInArrow(bk.tidied(run), "first long, part binary").repartition("first").mapInArrow(bk.tidied(add), "first long, part binary")
+    z = np.zeros((n, width), np.float32)
+    summed = gathered(posted).mapInArrow(bk.tidied(run), "first long, part binary").repartition("first").mapInArrow(bk.tidied(add), "first long, part binary")
     for r in summed.toLocalIterator():  # terms x sketch numbers, bounded by the block
         z[r["first"] : r["first"] + 256] = np.frombuffer(r["part"], np.float32).reshape(-1, width)
     w = _random(n, width)
@@ -241,14 +286,14 @@ def latent_space(posted: DataFrame, block: Block, idf: np.ndarray, share: float)
         cells = np.unique(terms).astype(np.int64)
         _add_sketch(own, np.zeros(len(cells), np.int64), cells, np.array([len(terms)]), idf, w)
     weight = max(1.0, np.abs(z).sum() / max(np.abs(own).sum(), 1e-9) * share)
-    z = z + weight * own
-    core = w.T.astype(float) @ z
+    z += np.float32(weight) * own
+    core = (w.T @ z).astype(float)
     core = (core + core.T) / 2
     value, vector = np.linalg.eigh(core)
     good = value > max(value.max(), 1e-12) * 1e-7
-    factor = z @ (vector[:, good] / np.sqrt(value[good]))
+    factor = z @ (vector[:, good] / np.sqrt(value[good])).astype(np.float32)
     u, s, _ = np.linalg.svd(factor, full_matrices=False)
-    return u[:, : min(RANK, int((s > 1e-9).sum()))].astype(np.float32)
+    return u[:, : min(RANK, int((s > 1e-6).sum()))].astype(np.float32)
 
 
 def common_subsequence(pattern: dict[int, int], full: int, words: list[int]) -> int:
@@ -283,20 +328,76 @@ class Rare:
 
     @classmethod
     def of(cls, block: Block, df: np.ndarray, paraphrase: float) -> Rare:
-        size = np.array([len(w) for w in block.words])
+        size = np.array([len(w) for w in block.words], np.int64)
         need = np.maximum(np.ceil(size * paraphrase - 1e-9).astype(np.int64), 1)
         some = np.maximum(need // 4, 1)
         terms = [np.unique(w[np.argsort(df[w], kind="stable")[: len(w) - m + c]]) for w, m, c in zip(block.words, need, some, strict=True)]
-        return cls(need, some, np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate(terms))
+        return cls(need, some, np.repeat(np.arange(len(terms)), [len(t) for t in terms]), np.concatenate([np.zeros(0, np.int32), *terms]))
+
+
+@dataclass
+class Often:
+    """How often each term stands in each item, as sorted cells."""
+
+    cells: np.ndarray
+    counts: np.ndarray
+    n_terms: int
+
+    @classmethod
+    def of(cls, block: Block) -> Often:
+        n = max(len(block.vocabulary.terms), 1)
+        all_ = [w.astype(np.int64) + k * n for k, w in enumerate(block.words)]
+        return cls(*np.unique(np.concatenate([np.zeros(0, np.int64), *all_]), return_counts=True), n)
+
+    def find(self, item: np.ndarray, term: np.ndarray) -> np.ndarray:
+        if not len(self.cells):
+            return np.zeros(len(item), np.int64)
+        cell = item * self.n_terms + term
+        at = np.minimum(np.searchsorted(self.cells, cell), len(self.cells) - 1)
+        return np.where(self.cells[at] == cell, self.counts[at], 0)
+
 
+@dataclass
+class Brief:
+    """Items of few words, by their number of words and a mix of their terms."""
+
+    by_size: dict[int, tuple[np.ndarray, np.ndarray]]  # sorted mixes, and the item of each
+    items: list[tuple[int | None, np.ndarray]]
 
-def _often(block: Block) -> np.ndarray:
-    """Items x terms: how often each term stands in an item."""
-    n = len(block.vocabulary.terms)
-    most = max(int(np.bincount(w).max()) for w in block.words)
-    out = np.zeros((len(block.words), n), np.min_scalar_type(most))
-    for k, w in enumerate(block.words):
-        out[k] = np.bincount(w, minlength=n)
+    @classmethod
+    def of(cls, block: Block) -> Brief:
+        out = {}
+        for n in {len(w) for _, w in block.brief}:
+            own = np.array([k for k, (_, w) in enumerate(block.brief) if len(w) == n])
+            mix = np.array([_mix([t[None] for t in block.brief[k][1].astype(np.uint64)])[0] for k in own], np.uint64)
+            order = np.argsort(mix, kind="stable")
+            out[n] = mix[order], own[order]
+        return cls(out, block.brief)
+
+    def find(self, b: pa.RecordBatch) -> Iterator[tuple[int, int, int]]:
+        """(row, item, place) of the first place in each row where all words of an item follow one another."""
+        edge, terms, places, _ = _flat(b)
+        row = np.repeat(np.arange(b.num_rows), np.diff(edge))
+        seen = set()
+        for n, (mixes, own) in self.by_size.items():
+            last = len(terms) - n + 1
+            if last <= 0:
+                continue
+            joined = (row[n - 1 :] == row[:last]) & (places[n - 1 :] - places[:last] == n - 1)
+            at = np.flatnonzero(joined)
+            mix = _mix([terms[at + k].astype(np.uint64) for k in range(n)])
+            lo, hi = np.searchsorted(mixes, mix, "left"), np.searchsorted(mixes, mix, "right")
+            of, k = _ranges(lo, hi - lo)
+            for i, item in zip(at[of].tolist(), own[k].tolist(), strict=True):
+                if (row[i], item) not in seen and np.array_equal(terms[i : i + n], self.items[item][1]):
+                    seen.add((row[i], item))
+                    yield int(row[i]), item, int(places[i])
+
+
+def _mix(columns: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for k, c in enumerate(columns):
+        out += bk.mixed(c + bk.U(1)) * bk.PLACE[k % len(bk.PLACE)]
     return out
 
 
@@ -311,30 +412,37 @@ def search(posted: DataFrame, block, idf: np.ndarray, df: np.ndarray, space: np.
         own: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in items.words]
         for k, t in items.passages():
             own[k].append((np.unique(t), _unit(rows, np.unique(t))))
-        sizes, often = np.array([len(w) for w in items.words]), _often(items)
+        sizes, often, brief = np.array([len(w) for w in items.words], np.int64), Often.of(items), Brief.of(items)
         masks, answers = [_masks(w) for w in items.words], [_masks(w) for w in items.answers]
+        parts = [[_masks(x) for x in said] for said in items.parts]
+        below = np.nextafter(limits.verbatim, 0)  # sentences in another order are no verbatim copy
         for b in batches:
             found: dict[tuple, tuple] = {}
-            ids = b.column("doc_id").to_pylist()
-            for first in range(0, b.num_rows, ROWS):
+            ids, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
+            out = [(ids[r], hashes[r], items.brief[k][0], 1.0, 1.0, 1.0, place) for r, k, place in brief.find(b)]
+            for first in range(0, b.num_rows if len(sizes) else 0, ROWS):
                 for row, k, place, terms, around in _windows(b.slice(first, ROWS), sizes, often, rare):
                     words = around.tolist()
-                    shared_words = common_subsequence(*masks[k], words) / len(items.words[k])
+                    shared_words, asked = common_subsequence(*masks[k], words) / len(items.words[k]), limits.answer
+                    if shared_words < limits.verbatim and len(parts[k]) > 1:
+                        apart = sum(common_subsequence(*m, words) for m in parts[k]) / len(items.words[k])
+                        if apart >= limits.reordered:
+                            shared_words, asked = min(apart, below), limits.reordered_answer
                     if shared_words < limits.paraphrase:
                         continue
                     held = np.unique(terms)
                     x = _unit(rows, held)
                     c = max(max(float(q @ x), _plain(weights, t, held)) for t, q in own[k])
                     answer = common_subsequence(*answers[k], words) / max(len(items.answers[k]), 1)
-                    if shared_words >= limits.verbatim or (c >= limits.cosine and answer >= limits.answer):
+                    if shared_words >= limits.verbatim or (c >= limits.cosine and answer >= asked):
                         best = (shared_words, c, answer, place)
                         found[first + row, k] = max(found.get((first + row, k), best), best)
-            out = [(ids[r], items.ids[k], c, lcs, ans, place) for (r, k), (lcs, c, ans, place) in found.items()]
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "cosine", "lcs_ratio", "answer_ratio", "place"])
+            out += [(ids[r], hashes[r], items.ids[k], c, lcs, ans, place) for (r, k), (lcs, c, ans, place) in found.items()]
+            columns = list(zip(*out, strict=True)) or [()] * 7
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "text_hash", "item_id", "cosine", "lcs_ratio", "answer_ratio", "place"])
 
-    return posted.mapInArrow(bk.tidied(run), SCHEMA)
+    return posted.mapInArrow(bk.tidied(run), ROW_SCHEMA)
 
 
 def _unit(rows: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -362,7 +470,7 @@ def _parts(size: np.ndarray, most: int) -> Iterator[slice]:
     yield from map(slice, edge, [*edge[1:], len(part)])
 
 
-def _windows(b: pa.RecordBatch, sizes: np.ndarray, often: np.ndarray, rare: Rare) -> Iterator[tuple]:
+def _windows(b: pa.RecordBatch, sizes: np.ndarray, often: Often, rare: Rare) -> Iterator[tuple]:
     """(row, item, place, terms of the window, terms of the stretch around) wherever the stretch may share ``need`` places.
 
     Two exact bounds: the stretch holds enough of the item's rarest places, and a common subsequence is
@@ -375,13 +483,13 @@ def _windows(b: pa.RecordBatch, sizes: np.ndarray, often: np.ndarray, rare: Rare
     # postings of all rows on one line, rows farther apart than any stretch reaches
     gap = int(n.max()) + 2 * max(int(r.max()) for r in reach.values()) + max(WIDTHS)
     line = np.repeat(np.arange(len(n), dtype=np.int64), np.diff(edge)) * gap + places
-    same = line // gap * often.shape[1] + terms
+    same = line // gap * often.n_terms + terms
     order = np.argsort(same, kind="stable")
     again = same[order[1:]] == same[order[:-1]]
     before = np.full(len(line), -1)  # the same word's place before, in its row
     before[order[1:][again]] = line[order[:-1][again]]
     by_term = np.argsort(terms, kind="stable")
-    count = np.bincount(terms, minlength=often.shape[1])
+    count = np.bincount(terms, minlength=often.n_terms)
     start, per_entry = np.cumsum(count) - count, count[rare.terms]
     per_item = np.bincount(rare.items, per_entry, len(sizes)).astype(np.int64)
     for part in _parts(per_item, HITS):
@@ -416,26 +524,23 @@ def _stretches(width, item, hit, last, gap, n, line, terms, before, reach, often
     for part in _parts(hi - lo, HITS):
         of, at = _ranges(lo[part], (hi - lo)[part])
         first = before[at] < begin[part][of]
-        held = np.bincount(of, np.where(first, often[item[part][of], terms[at]], 0), part.stop - part.start)
+        held = np.bincount(of, np.where(first, often.find(item[part][of], terms[at]), 0), part.stop - part.start)
         for k in (np.flatnonzero(held >= rare.need[item[part]]) + part.start).tolist():
             a, z = np.searchsorted(line, [row[k] * gap + place[k], row[k] * gap + place[k] + width])
             yield int(row[k]), int(item[k]), int(place[k]), terms[a:z], terms[lo[k] : hi[k]]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limits: Limits = Limits(), share: float = 0.5, items: int = ITEMS) -> DataFrame:
-    """doc_id, item_id, cosine, lcs_ratio, answer_ratio, place of every leak found."""
+def leaking_rows(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", limits: Limits = Limits(), share: float = 0.5, terms: int = TERMS) -> DataFrame:
+    """Rows of ROW_SCHEMA of every leak found: the texts are read once per block of the benchmark."""
     spark = docs.sparkSession
     asked = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
-    blocks = max(1, -(-asked.count() // items))
-    asked = save(asked.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))), "benchmark-blocks") if blocks > 1 else asked.withColumn("block", F.lit(0))
     out = None
-    for k in range(blocks):
-        own = Block.of(sorted(((r["item_id"], r["text"]) for r in asked.filter(F.col("block") == k).toLocalIterator()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")), limits.min_words)
-        if not own.ids:
+    for own in blocks_of(asked, limits.min_words, terms):
+        n_terms = len(own.vocabulary.terms)
+        if not n_terms:
             continue
         block = spark.sparkContext.broadcast(own)
         posted = save(postings(docs, block, doc_id, text), "postings")
-        n_terms = len(own.vocabulary.terms)
         df = frequencies(posted, n_terms)
         total = posted.agg(F.sum(F.ceil(F.col("n") / PASSAGE))).first()[0] or 1
         idf = np.log((total + 1) / (df + 1)) + 1
@@ -443,10 +548,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
         found = save(search(posted, block, idf, df, space, limits), "leaks")
         drop(spark, posted)
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    return out if out is not None else spark.createDataFrame([], ROW_SCHEMA)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """doc_id, item_id, cosine, lcs_ratio, answer_ratio, place of every leak found; options are those of leaking_rows()."""
+    return leaking_rows(docs, benchmark, **options).drop("text_hash")
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that hold a benchmark item go."""
-    leaks = save(find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "leaking")
-    return join_small(docs, leaks, "doc_id", "left_anti", 24)
+    """Pipeline stage: rows that hold a benchmark item go; the columns stay those of docs.
+
+    Rows are told apart by doc_id and text, so a leaking text goes whether its doc_id is
+    null, repeated or shared with a clean text, and a clean text with that doc_id stays.
+    Null and empty texts stay; repeated leaking rows all go; an empty table stays empty.
+    """
+    leaks = save(leaking_rows(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("doc_id").alias("leak_id"), F.col("text_hash").alias("leak_hash")).distinct(), "leaking")
+    right = F.broadcast(leaks) if small(leaks, 32) else leaks
+    return docs.join(right, docs["doc_id"].cast("long").eqNullSafe(right["leak_id"]) & (F.xxhash64(docs["text"].cast("string")) == right["leak_hash"]), "left_anti")

@@ -278,10 +278,61 @@ def test_leaks_odd(spark, odd):
     assert {(r["doc_id"], r["item_id"]) for r in out} == {(8, 1), (9, None)}
     assert decontam.find_leaks(odd, bench.filter("false")).count() == 0
     assert decontam.find_leaks(empty(odd), bench).count() == 0
-    blocks = decontam.find_leaks(odd, bench, items=2).collect()
+    blocks = decontam.find_leaks(odd, bench, terms=30).collect()
     assert {(r["doc_id"], r["item_id"]) for r in blocks} == {(8, 1), (9, None)}
 
 
+def test_leaks_of_few_words(spark, odd):
+    """Items below min_words are found where all their words follow one another, whatever else the benchmark holds."""
+    bench = spark.createDataFrame([(1, "Who wrote Hamlet?"), (2, "two plus two is"), (3, "Hamlet"), (4, prose(3, 40)), (5, "no, never"), (6, "Who wrote Hamlet?")], "item_id long, text string")
+    texts = [(1, "He asked: who wrote HAMLET? Nobody knew."), (2, "two plus two is four"), (3, "two and plus two is not it"), (4, "Hamlet wrote who"), (5, "is two plus two"), (6, None), (7, "no. Never!"), (8, "")]
+    out = decontam.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} == {(1, 1), (1, 6), (1, 3), (2, 2), (4, 3), (7, 5)} and len(out) == 6
+    assert decontam.find_leaks(odd, bench.filter("item_id < 3")).count() == 0
+
+
+def planted_paraphrases(seed, items):
+    """Of each item: a seventh of its words replaced; its halves in the other order; both."""
+    r = np.random.default_rng(seed)
+    swap = lambda w: [x if r.random() > 1 / 7 else f"other{r.integers(1000)}" for x in w]
+    for k, t in items:
+        said = decontam.sentences(t)
+        turned = " ".join(said[len(said) // 2 :] + said[: len(said) // 2]).split()
+        yield from ((k, kind, " ".join(w)) for kind, w in (("replaced", swap(t.split())), ("turned", turned), ("both", swap(turned))))
+
+
+def test_leaks_recall_and_clean_texts_of_the_same_words(spark):
+    """At least nine in ten paraphrases of 10,000 items are found, in one pass; shuffled words of the items are clean."""
+    r = np.random.default_rng(11)
+    usual = np.array([f"w{k}" for k in range(20000)])
+    sentence = lambda: " ".join(r.choice(usual, int(r.integers(5, 14))).tolist()) + "."
+    items = [(k, " ".join(sentence() for _ in range(int(r.integers(2, 6))))) for k in range(10000)]
+    around = lambda: " ".join(r.choice(usual, 70).tolist())
+    planted = [(n, k, kind, f"{around()} {t} {around()}") for n, (k, kind, t) in enumerate(planted_paraphrases(5, items[::50]))]
+    clean = [(100000 + k, " ".join(r.permutation(" ".join(t for _, t in items[k : k + 4]).split()).tolist())) for k in range(200)]
+    docs = spark.createDataFrame([(n, t) for n, _, _, t in planted] + clean, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert len(list(decontam.blocks_of(bench, 5))) == 1
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
+    for kind in ("replaced", "turned", "both"):
+        own = [(n, k) for n, k, x, _ in planted if x == kind]
+        assert sum(x in found for x in own) >= 0.9 * len(own), kind
+    assert not any(n >= 100000 for n, _ in found)
+
+
+def test_decontamination_stage(spark, tmp_path):
+    """Rows go by themselves: null and repeated ids, repeated rows, clashing columns, an empty table."""
+    item = prose(7001, 36)
+    spark.createDataFrame([(1, item), (2, None), (3, "Who wrote Hamlet?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    long = prose(1, 60000) + " " + item + " " + prose(2, 60000)
+    rows_ = [(1, item), (None, "before " + item), (None, prose(5, 40)), (2, prose(6, 40)), (2, item), (3, item), (3, item), (4, None), (5, ""), (6, long), (None, "who wrote Hamlet"), (None, None)]
+    docs = spark.createDataFrame([(i, t, 1, k) for k, (i, t) in enumerate(rows_)], "doc_id long, text string, leak_id int, text_hash int")
+    out = decontam.decontamination_stage(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns
+    assert sorted(r["text_hash"] for r in out.collect()) == [2, 3, 7, 8, 11]
+    assert decontam.decontamination_stage(spark, empty(docs), str(tmp_path)).count() == 0
+
+
 def test_leaks_in_a_third_of_the_rows(spark):
     """Copies of a short document that holds an item make all of the item's words frequent."""
     item = prose(7001, 36)
@@ -307,7 +358,7 @@ def test_leaks_of_many_items(spark):
     """More items than the latent space has directions: every stretch that shares enough words is found, by brute force."""
     items = [(k, prose(20000 + k, 30) if k % 100 == 1 else " ".join(f"w{k}x{j}" for j in range(8 + k % 10))) for k in range(2000)]
     # around the copies stand words of other items, which are frequent and take the directions
-    usual = [w for _, t in items[1::100] for w in t.split()]
+    usual = np.array([w for _, t in items[1::100] for w in t.split()])
     r = np.random.default_rng(0)
     around = lambda: " ".join(r.choice(usual, 50).tolist())
     planted = [(k, f"{around()} {t} {around()}") for k, t in items[::2]]
@@ -336,7 +387,7 @@ def test_leak_windows_against_brute_force():
     r = np.random.default_rng(3)
     terms = np.arange(30, dtype=np.int32)
     items = [r.integers(0, 30, n).astype(np.int32) for n in (1, 3, 5, 9, 16, 33, 60, 130)]
-    block = decontam.Block(list(range(len(items))), items, items, decontam.Vocabulary(terms.astype(np.uint64)))
+    block = decontam.Block(list(range(len(items))), items, items, decontam.Vocabulary(terms.astype(np.uint64)), [[w] for w in items])
     rows = [(n, np.sort(r.permutation(n)[: n // 2 + 1])) for n in (1, 4, 30, 90, 400)]
     rows = [(n, at, r.integers(0, 30, len(at)).astype(np.int32)) for n, at in rows]
     for n, at, held in rows:
@@ -350,7 +401,7 @@ def test_leak_windows_against_brute_force():
     enough = lambda k, words: decontam.common_subsequence(*masks[k], words) >= share * sizes[k]
     for df in (np.arange(30), np.zeros(30, np.int64)):
         rare = decontam.Rare.of(block, df, share)
-        found = [(row, k, len(x), place) for row, k, place, x, around in decontam._windows(b, sizes, decontam._often(block), rare) if enough(k, around.tolist())]
+        found = [(row, k, len(x), place) for row, k, place, x, around in decontam._windows(b, sizes, decontam.Often.of(block), rare) if enough(k, around.tolist())]
         want = []
         for row, (n, at, held) in enumerate(rows):
             for width in decontam.WIDTHS:
