@@ -6,6 +6,7 @@ and stored as arrays, so all rows of a batch walk a tree together.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +21,17 @@ class Boosted:
     base: float
     depth: int
 
+    def dumped(self) -> str:
+        """The model as JSON, a tree a line."""
+        trees = ",\n".join(json.dumps([part.tolist() for part in t]) for t in self.trees)
+        return f'{{"base": {self.base!r}, "depth": {self.depth},\n"cuts": {json.dumps([c.tolist() for c in self.cuts])},\n"trees": [\n{trees}]}}\n'
+
+    @classmethod
+    def loaded(cls, text: str) -> Boosted:
+        d = json.loads(text)
+        trees = [(np.array(f, np.int64), np.array(c, np.int64), np.array(v)) for f, c, v in d["trees"]]
+        return cls([np.array(c) for c in d["cuts"]], trees, d["base"], d["depth"])
+
     def bins(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.searchsorted(c, x[:, f], "right") for f, c in enumerate(self.cuts)]).astype(np.uint8) if len(x) else np.zeros((0, len(self.cuts)), np.uint8)
 

@@ -6,13 +6,15 @@ depth, its siblings and its place.  Boosted trees give the log-odds that the nod
 holds main text.  A dynamic program over the tree then picks the likeliest labelling
 in which nothing below a rejected node is kept, so ancestors and descendants agree.
 
-The trees are trained on the driver on TRAINING_PAGES pages that a seeded generator
-lays out with known labels in many styles; no page of the corpus is needed for that,
-and the bound does not depend on the corpus.
+The trees are trained on TRAINING_PAGES pages that a seeded generator lays out with
+known labels in many styles; no page of the corpus is needed for that, and the bound
+does not depend on the corpus.  ``python -m quittance.llm.html_gbt`` trains them and
+writes page_trees.json beside this file, which extract() reads.
 
 Cases: null or empty html gives an empty text; pages without main text give an empty
 text; a page without markup is one text block; repeated rows are extracted alike;
-url may be null; extra columns are not read; nothing is dropped for length.
+url may be null; extra columns are not read; nothing is dropped for length: time grows
+with a page's length, however broken its markup; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,7 @@ from quittance.llm import boosting
 from quittance.llm.html_tree import TEXT, Node, attribute_words, parse
 
 TRAINING_PAGES = 800
+TREES = Path(__file__).with_name("page_trees.json")
 
 TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "li", "ul", "h1", "h2", "h3", "table", "td", "blockquote", "figure", "button", "label", "select", "dialog", "body", TEXT)
 #: Attribute tokens by what they tell.
@@ -57,12 +62,18 @@ NAMES = (
 ABOVE_TAGS = ("nav", "header", "footer", "aside", "form", "article", "main")
 
 
-@lru_cache(maxsize=1 << 16)
 def _flags(attributes: str) -> tuple[int, ...]:
+    return _short_flags(attributes) if len(attributes) < 1000 else _flags_of(attributes)
+
+
+def _flags_of(attributes: str) -> tuple[int, ...]:
     words = attribute_words(attributes)
     return tuple(int(bool(words and r.search(words))) for r in _TOKEN.values())
 
 
+_short_flags = lru_cache(maxsize=1 << 14)(_flags_of)
+
+
 _TAG_AT = {t: k for k, t in enumerate(TAGS)}
 _ABOVE_AT = {t: k for k, t in enumerate(ABOVE_TAGS)}
 
@@ -286,17 +297,39 @@ def trained(pages: int = TRAINING_PAGES) -> boosting.Boosted:
     return boosting.fit(node_features(Forest([n for n, _ in made])), np.concatenate([y for _, y in made]))
 
 
+def bounded(b: pa.RecordBatch, column: str, rows: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Slices of at most rows rows and about most bytes of a string column, a longer value by itself."""
+    size = np.nan_to_num(pc.binary_length(b.column(column)).to_numpy(zero_copy_only=False).astype(float))
+    first, held = 0, 0.0
+    for k, n in enumerate(size.tolist()):
+        if k > first and (held + n > most or k - first >= rows):
+            yield b.slice(first, k - first)
+            first, held = k, 0.0
+        held += n
+    if first < b.num_rows:
+        yield b.slice(first)
+
+
+@lru_cache(maxsize=1)
+def shipped() -> boosting.Boosted:
+    """The trees of trained(), as the file holds them."""
+    return boosting.Boosted.loaded(TREES.read_text())
+
+
 def extract(pages: DataFrame, model: boosting.Boosted | None = None, page_id: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:
     """page_id, url, text, n_chars of every page."""
-    shared = pages.sparkSession.sparkContext.broadcast(model or trained())
+    shared = pages.sparkSession.sparkContext.broadcast(model or shipped())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in batches:
-            for k in range(0, b.num_rows, 64):
-                piece = b.slice(k, 64)
+            for piece in bounded(b, "html", 64):
                 texts = texts_of([x or "" for x in piece.column("html").to_pylist()], model)
                 yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(source).cast("string").alias("html"))
     return p.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    TREES.write_text(trained().dumped())

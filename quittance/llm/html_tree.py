@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 #: Fixed values of HTML: elements without content, with raw text, and those that part blocks.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,11 +26,63 @@ IMPLIED = {
 }
 CLOSES_P = BLOCK - {"button", "label", "option", "legend"}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.DOTALL)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+EDGE = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+RAW_END = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 TEXT = "#text"
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """(start, end, tag name or None, whether it is an end tag, attributes) of the markup of a page, in order.
+
+    Time grows with the page's length, however broken the markup is: every character is looked
+    at a bounded number of times.  A tag ends at the first > outside quotes; once no such > is
+    left, quotes mean nothing, and once no > is left at all, the rest is text.  An open comment
+    reaches to the end.  After yielding, the caller may send a position to go on from.
+    """
+    at, n, quoted = 0, len(source), True
+    while (at := source.find("<", at)) >= 0:
+        start = at
+        if source.startswith("<!--", at):
+            e = source.find("-->", at + 4)
+            found = (start, e + 3 if e >= 0 else n, None, False, "")
+        elif source[at + 1 : at + 2] in ("!", "?"):
+            e = source.find(">", at)
+            if e < 0:
+                return
+            found = (start, e + 1, None, False, "")
+        else:
+            closing = source.startswith("/", at + 1)
+            m = NAME.match(source, at + 1 + closing)
+            if not m:
+                at += 1
+                continue
+            e = m.end()
+            if quoted:
+                e = _end_of_tag(source, e)
+                quoted = e >= 0
+            if not quoted:
+                e = source.find(">", m.end())
+                if e < 0:
+                    return
+            found = (start, e + 1, m[0], closing, source[m.end() : e])
+        at = found[1]
+        moved = yield found
+        at = at if moved is None else moved
+
+
+def _end_of_tag(source: str, at: int) -> int:
+    """Where the first > outside quotes stands, -1 if nowhere."""
+    while m := EDGE.search(source, at):
+        if m[0] == ">":
+            return m.start()
+        at = source.find(m[0], m.end()) + 1
+        if not at:
+            break
+    return -1
+
+
 class Node:
     __slots__ = ("tag", "attributes", "parent", "end", "text", "links")
 
@@ -79,33 +132,32 @@ def parse(source: str) -> list[Node]:
             elif tag == "a":
                 in_link -= 1
 
-    def close(tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
-        for d in range(len(stack) - 1, 0, -1):
-            tag = stack[d][0]
-            if tag in tags:
-                flush()
-                pop_to(d)
-                return
-            if tag in stops:
-                return
+    def nearest(tags: set[str] | frozenset[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=0)
 
-    at, n = 0, len(source)
-    while at < n:
-        m = TOKEN.search(source, at)
-        if not m:
-            pending.append(source[at:])
-            linked += in_link > 0 and n - at
+    def close(tags: set[str] | frozenset[str], stops: set[str] | frozenset[str]) -> None:
+        d = nearest(tags)
+        if d > nearest(stops):
+            flush()
+            pop_to(d)
+
+    at, n, moved = 0, len(source), None
+    scan = tokens(source)
+    while True:
+        try:
+            start, end, name, closing, attributes = scan.send(moved)
+        except StopIteration:
             break
-        if m.start() > at:
-            pending.append(source[at : m.start()])
+        moved = None
+        if start > at:
+            pending.append(source[at:start])
             if in_link:
-                linked += m.start() - at
-        at = m.end()
-        name = m[2]
+                linked += start - at
+        at = end
         if name is None:
             continue
         tag = name.lower()
-        if m[1]:
+        if closing:
             if there := depths.get(tag):
                 if tag in BLOCK:
                     flush()
@@ -119,9 +171,9 @@ def parse(source: str) -> list[Node]:
                     flush()
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/"):
-                e = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(source, at)
-                at = e.end() if e else n
+            if not attributes.rstrip().endswith("/"):
+                e = RAW_END[tag].search(source, at)
+                at = moved = e.end() if e else n
             continue
         if tag in BLOCK:
             flush()
@@ -129,7 +181,7 @@ def parse(source: str) -> list[Node]:
                 close({"p"}, {"td", "th", "button", "table", "body", "div", "article", "section"})
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
-            nodes.append(Node(tag, m[3], holder[-1]))
+            nodes.append(Node(tag, attributes, holder[-1]))
             depths.setdefault(tag, []).append(len(stack))
             blocks.append(len(stack))
             stack.append((tag, len(nodes) - 1))
@@ -138,6 +190,9 @@ def parse(source: str) -> list[Node]:
             depths.setdefault(tag, []).append(len(stack))
             stack.append((tag, -1))
             in_link += tag == "a"
+    if at < n:
+        pending.append(source[at:])
+        linked += in_link > 0 and n - at
     flush()
     pop_to(0)
     for x in nodes:
