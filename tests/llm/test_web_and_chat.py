@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pytest
 
 from quittance.llm import chat, html_gbt, warc
@@ -13,7 +14,7 @@ from quittance.llm.html_tree import parse
 SMALL = "/root/testdata/sf0.001"
 ODD = [
     (1, "http://a/", "<p>x</p>" * 20), (2, None, "<p>x</p>" * 20), (2, None, "<p>x</p>" * 20), (3, "http://b/\r\nX: y", "short"), (4, "http://c/", "short"), (5, "u", None), (6, "u", ""),
-    (None, "n", "<p>x</p>" * 20), (7, "é", "é" * 60), (8, "q%0A", "é" * 60), (9, "long", "<p>" + "word " * 50000),
+    (None, "n", "<p>x</p>" * 20), (7, "é", "é" * 60), (8, "q%0A", "é" * 60), (8, "%250D%25%0D\r%\n", "é" * 60), (0, "z", "y" * 200), (0, "z", "y" * 200), (12, "z", "y" * 200), (None, "n", "<p>x</p>" * 20), (9, "long", "<p>" + "word " * 50000),
 ]
 SCHEMA = "page_id long, url string, html string, digest string, n long"
 
@@ -37,6 +38,9 @@ def test_warc_round_trip(spark, odd, tmp_path):
             (str(i), len(b), hashlib.sha256(b).hexdigest(), "revisit" if i is not None and len(b) >= 100 and first[b] < i else "response", str(first[b]) if i is not None and len(b) >= 100 and first[b] < i else "None", str(u)) for i, u, b in rows
         )
         assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"]), str(r["url"])) for r in got) == want
+        ids = {r["record_id"]: r["page_id"] for r in got}
+        assert len(ids) == len(got)
+        assert all((r["refers_to_record"] is None) == (r["refers_to"] is None) and (r["refers_to"] is None or ids[r["refers_to_record"]] == r["refers_to"]) for r in got)
         held = {r["page_id"]: bytes(r["payload"]) for r in got if r["record_type"] == "response"}
         assert all(held[i] == b for i, _, b in rows if i in held)
         some = warc.read(index.filter("page_id = 9 or page_id = 3")).count()
@@ -44,6 +48,15 @@ def test_warc_round_trip(spark, odd, tmp_path):
     assert warc.read(warc.write(odd.filter("false"))).count() == 0
 
 
+def test_urls_round_trip():
+    import random
+
+    r = random.Random(0)
+    for _ in range(500):
+        url = "".join(r.choice("%250DA\r\n x") for _ in range(r.randint(0, 9)))
+        assert warc.unescaped(warc.escaped(url)) == url and not re.search(r"[\r\n]", warc.escaped(url))
+
+
 def test_ranges_merge_neighbours():
     rows = [("a", 0, 10), ("a", 10, 5), ("a", 200_000, 10), ("b", 0, 10), ("b", 10, 10)]
     assert list(warc.ranges(rows)) == [[0, 1], [2], [3, 4]]
@@ -60,7 +73,7 @@ PAGES = {
 @pytest.mark.parametrize("name", PAGES)
 def test_page_text(name):
     source, want = PAGES[name]
-    assert html_gbt.texts_of([source], html_gbt.trained())[0] == want
+    assert html_gbt.texts_of([source], html_gbt.shipped())[0] == want
 
 
 def test_page_text_of_tables(spark):
@@ -79,7 +92,7 @@ def test_page_text_of_tables(spark):
 
 
 def test_generated_pages_held_out():
-    model, right, total = html_gbt.trained(), 0, 0
+    model, right, total = html_gbt.shipped(), 0, 0
     for k in range(5000, 5100):
         nodes, y = html_gbt.labelled_nodes(html_gbt.training_page(k))
         f = html_gbt.Forest([nodes])
@@ -91,6 +104,64 @@ def test_generated_pages_held_out():
     assert right >= 0.96 * total
 
 
+def test_shipped_trees_are_those_of_the_training():
+    """The file holds what training gives, up to rounding on another machine."""
+    assert html_gbt.boosting.Boosted.loaded(html_gbt.shipped().dumped()).dumped() == html_gbt.TREES.read_text()
+    f = html_gbt.Forest([html_gbt.labelled_nodes(html_gbt.training_page(k))[0] for k in range(6000, 6040)])
+    x = html_gbt.node_features(f)
+    a, b = html_gbt.shipped().score(x) > 0, html_gbt.trained().score(x) > 0
+    assert (a == b).mean() > 0.99
+
+
+def test_decoding_is_the_best_labelling():
+    """Against all labellings of small trees in which kept nodes have kept parents and kept elements a kept child."""
+    import itertools
+
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        n = int(r.integers(2, 10))
+        parent = [0, *(int(r.integers(0, k)) for k in range(1, n))]
+        order, kids = [], {k: [c for c in range(1, n) if parent[c] == k] for k in range(n)}
+
+        def walk(k, above):
+            own = len(order)
+            order.append((above, k))
+            for c in kids[k]:
+                walk(c, own)
+
+        walk(0, 0)
+        nodes = []
+        for above, k in order:
+            node = html_gbt.Node(html_gbt.TEXT if not kids[k] else "div" if k else "#root", "", above)
+            node.text = "" if kids[k] or r.random() < 0.2 else "x"
+            nodes.append(node)
+        for i in range(n):
+            nodes[i].end = i + 1
+        for i in range(n - 1, 0, -1):
+            nodes[nodes[i].parent].end = max(nodes[nodes[i].parent].end, nodes[i].end)
+        f = html_gbt.Forest([nodes])
+        odds = r.normal(0, 2, n)
+        used = np.where([x.tag == "#root" for x in nodes], 0.0, odds)
+        score = lambda keep: -np.logaddexp(0, np.where(keep, -used, used)).sum()  # noqa: B023, E731
+
+        def allowed(keep):
+            inner = all(not keep[i] or keep[x.parent] for i, x in enumerate(nodes))  # noqa: B023
+            return inner and all(not k or x.text or any(keep[c] for c in range(i + 1, x.end) if nodes[c].parent == i) for i, (k, x) in enumerate(zip(keep, nodes, strict=True)))  # noqa: B023
+
+        best = max(score(np.array(k)) for k in itertools.product([False, True], repeat=n) if allowed(k))
+        keep = html_gbt.decode(f, odds)
+        assert allowed(keep.tolist()) and score(keep) == pytest.approx(best)
+
+
+def test_long_broken_pages_take_linear_time():
+    import time
+
+    start = time.time()
+    for piece in ("<a ", '<a "', "<a \"'>", "<!--", "</b>", "<script>", "<p class=", "&", "<a b='"):
+        parse(piece * (3_000_000 // len(piece)))
+    assert time.time() - start < 30
+
+
 def test_pages_odd(odd):
     got = html_gbt.extract(odd).collect()
     assert len(got) == odd.count()
