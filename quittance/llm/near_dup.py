@@ -11,7 +11,8 @@
    hub, hubs with many partners split by salt.
 3. Links so far are joined to components.  In buckets that still hold more than one
    component, members of different components are compared, in blocks of bounded
-   size: first by an exact bound (in an order that puts rare shingles first, linked
+   size, each member of a smaller component with all others and the largest one's
+   members with those only: first by an exact bound (in an order that puts rare shingles first, linked
    sets meet within a prefix, so an edited copy that misses its original meets only
    copies with an edit of its own), then by signature batches, last on full sets.  So
    no candidate link between different components is skipped, and members of one
@@ -24,7 +25,8 @@ A pair at the threshold shares no bucket with probability (1 - t**5)**25: 4e-7 a
 Cases: null text is empty; texts without words have an empty set and are linked
 with nothing; texts of fewer than five words are one shingle; rows with a null
 doc_id are returned unlinked and kept; rows that share a doc_id are one document
-and kept or dropped together; extra columns are not read.
+and kept or dropped together; ties go to the smallest doc_id; a very long text is one
+set in memory; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quittance.llm import bytes_kernel as bk
@@ -203,23 +205,47 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _open_buckets(labelled: DataFrame) -> DataFrame:
+    """(key, heavy, heavy_n, light_n) of buckets of labelled(key, rep, label) with several labels: the largest label and the sizes of both sides."""
+    sides = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    top = sides.groupBy("key").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("size"), F.count("*").alias("labels")).filter("labels > 1")
+    return top.select("key", F.col("top.label").alias("heavy"), F.col("top.n").alias("heavy_n"), (F.col("size") - F.col("top.n")).alias("light_n"))
+
+
+def _cells(light: Column, light_blocks: Column, heavy_blocks: Column, own: Column) -> Column:
+    """The cells (kind, i, j, side) that a member of block own takes part in.
+
+    Kind 0 pairs blocks of the light side, kind 1 a light block i with a heavy block j.
+    A heavy member is sent once per light block, so a lone outsider costs one copy.
+    """
+
+    def cell(kind: int, i, j, side) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    within = F.transform(upto(light_blocks), lambda k: cell(0, F.least(own, k), F.greatest(own, k), own > k))
+    across = F.transform(upto(heavy_blocks), lambda h: cell(1, own, h, F.lit(0)))
+    return F.when(light, F.concat(within, across)).otherwise(F.transform(upto(light_blocks), lambda i: cell(1, i, own, F.lit(1))))
+
+
 def _cross_candidates(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
-    """Pairs of different components within a bucket, from mixed(key, size, rep, label, n, sig, prefix).
+    """Pairs of different components within a bucket, from mixed(key, heavy, heavy_n, light_n, rep, label, n, sig, prefix).
 
     A bucket is dealt to tasks as pairs of blocks of about BLOCK members.
     """
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    dealt = mixed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "n", "sig", "prefix")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+    light = F.col("label") != F.col("heavy")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep"), F.when(light, blocks("light_n")).otherwise(blocks("heavy_n"))).cast("int")
+    dealt = mixed.withColumn("cell", F.explode(_cells(light, blocks("light_n"), blocks("heavy_n"), own)))
+    dealt = dealt.select("key", "cell.kind", "cell.i", "cell.j", "cell.side", "rep", "label", "n", "sig", "prefix")
+    dealt = dealt.repartition("key", "kind", "i", "j").sortWithinPartitions("key", "kind", "i", "j", "side")
     limits = fewest_matches(percent / 100, miss)
 
     def compare(rows: list[tuple]) -> tuple[list, list]:
-        i, j = rows[0][1], rows[0][2]
-        own, rep, label, n = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5, 6))
-        sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, HASHES)
-        held = [np.frombuffer(r[8], np.uint32) for r in rows]
+        whole = rows[0][1] == 0 and rows[0][2] == rows[0][3]  # a block with itself
+        side, rep, label, n = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6, 7))
+        sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(-1, HASHES)
+        held = [np.frombuffer(r[9], np.uint32) for r in rows]
         size = np.array([len(x) for x in held])
         ids = np.concatenate(held)
         row = np.repeat(np.arange(len(rows)), size)
@@ -239,9 +265,9 @@ def _cross_candidates(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
             return hit
 
         found: tuple[list, list] = ([], [])
-        right = np.flatnonzero(own == j)
-        for x in np.flatnonzero(own == i):
-            y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) | (i != j))]
+        right = np.flatnonzero((side == 1) | whole)
+        for x in np.flatnonzero(side == 0):
+            y = right[(label[right] != label[x]) & ((rep[right] > rep[x]) | (not whole))]
             if len(y):
                 y = y[meets(x)[y]]
             if len(y):
@@ -254,7 +280,7 @@ def _cross_candidates(mixed: DataFrame, percent: int, miss: float) -> DataFrame:
         group: list[tuple] = []
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if group and group[0][:3] != row[:3]:
+                if group and group[0][:4] != row[:4]:
                     yield _pairs(compare(group))
                     group = []
                 group.append(row)
@@ -342,21 +368,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reps = save(usable.join(picked, ["doc_id", "a", "b"], "left_semi").select(F.col("doc_id").alias("rep"), "a", "n", "bands", "sig"), "near-reps")
 
     rows = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last"), F.count("*").alias("size")).filter("pivot < last")
-    live = save(rows.join(buckets.select("key", "pivot", "size"), "key"), "near-buckets")
+    buckets = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).filter("pivot < last")
+    live = save(rows.join(buckets.select("key", "pivot"), "key"), "near-buckets")
     star = live.filter("rep <> pivot").select(F.col("pivot").alias("u"), F.col("rep").alias("v")).distinct()
     star = save(_star_candidates(star, reps, percent, miss), "near-star")
     links = save(_verified(star, body, percent), "near-links")
 
     first = save(connected(links), "near-components").withColumnRenamed("node", "rep")
-    labelled = live.join(first, "rep", "left").select("key", "rep", "size", F.coalesce("component", "rep").alias("label"))
-    labelled = save(labelled, "near-labelled")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    mixed = save(labelled.join(open_, "key"), "near-open")
+    labelled = save(live.join(first, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label")), "near-labelled")
+    mixed = save(labelled.join(_open_buckets(labelled), "key"), "near-open")
     nodes = save(reps.select("rep", "a").join(mixed.select("rep").distinct(), "rep", "left_semi"), "near-nodes")
     prefixes = save(_prefixes(nodes, body, percent), "near-prefixes")
     facts = reps.select("rep", "a", "n", "sig").join(prefixes, ["rep", "a"])
-    mixed = mixed.join(facts.drop("a"), "rep").select("key", "size", "rep", "label", "n", "sig", "prefix")
+    mixed = mixed.join(facts.drop("a"), "rep").select("key", "heavy", "heavy_n", "light_n", "rep", "label", "n", "sig", "prefix")
     cross = save(_cross_candidates(mixed, percent, miss), "near-cross")
     more = save(_verified(cross, body, percent), "near-links")
     named = first.select(F.col("component").alias("u"), F.col("rep").alias("v"))
@@ -370,6 +394,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def near_dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group one document stays, the one with the smallest doc_id."""
+    """Pipeline stage: of each group one document stays, the one with the smallest doc_id.
+
+    Of rows with equal doc_id and text one stays; rows with a null doc_id, null and empty
+    texts stay; an empty table stays empty; columns stay those of docs.
+    """
     gone = save(near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "near-dropped")
-    return join_small(docs, gone, "doc_id", "left_anti", 24)
+    left = join_small(docs, gone, "doc_id", "left_anti", 24)
+    again = save(docs.groupBy("doc_id").agg(F.count("*").alias("times")).filter("times > 1 and doc_id is not null").select("doc_id"), "near-repeated")
+    if not again.head(1):
+        return left
+    rest = join_small(left, again, "doc_id", "left_anti", 24)
+    return rest.unionByName(join_small(left, again, "doc_id", "left_semi", 24).dropDuplicates(["doc_id", "text"]))

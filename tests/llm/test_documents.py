@@ -195,6 +195,37 @@ def test_near_duplicates_odd(odd):
     assert {r["doc_id"] for r in kept.collect()} == {i for i in [*range(19), None] if i not in (1, 2, 7)}
 
 
+def test_one_outsider_in_a_large_bucket_is_sent_with_few_copies(spark):
+    """Rows dealt for comparison: a member of the large side once per block of the small side."""
+    members = [(1, k, 7) for k in range(9000)] + [(1, 9000, 9000), (2, 1, 1), (2, 2, 2), (2, 3, 3)] + [(3, k, 5) for k in range(50)]
+    labelled = spark.createDataFrame(members, "key long, rep long, label long")
+    open_ = near_dup._open_buckets(labelled)
+    assert {r["key"]: (r["heavy_n"], r["light_n"]) for r in open_.collect()} == {1: (9000, 1), 2: (1, 2)}
+    blocks = lambda c: near_dup.F.ceil(near_dup.F.col(c) / near_dup.BLOCK).cast("int")
+    light = near_dup.F.col("label") != near_dup.F.col("heavy")
+    own = near_dup.F.pmod(near_dup.F.xxhash64("rep"), near_dup.F.when(light, blocks("light_n")).otherwise(blocks("heavy_n"))).cast("int")
+    dealt = labelled.join(open_, "key").select("key", "rep", "label", near_dup.F.explode(near_dup._cells(light, blocks("light_n"), blocks("heavy_n"), own)).alias("c"))
+    rows_ = dealt.select("key", "rep", "label", "c.*").collect()
+    assert sum(r["key"] == 1 for r in rows_) == 9000 + 9 + 1
+    # every pair of different labels meets in exactly one cell
+    met = Counter()
+    by = defaultdict(list)
+    for r in rows_:
+        by[r["key"], r["kind"], r["i"], r["j"]].append(r)
+    for cell in by.values():
+        for a, b in combinations(cell, 2):
+            if a["label"] != b["label"] and (a["side"] != b["side"] or (a["kind"] == 0 and a["i"] == a["j"])):
+                met[a["key"], min(a["rep"], b["rep"]), max(a["rep"], b["rep"])] += 1
+    assert set(met.values()) == {1} and len(met) == 9000 + 3
+
+
+def test_near_dedup_stage_keeps_one_of_equal_rows(spark):
+    a, b = prose(3, 40), prose(4, 40)
+    docs = spark.createDataFrame([(1, a), (1, a), (2, a), (3, b), (3, prose(5, 40)), (None, a), (None, a), (4, None), (4, None)], "doc_id long, text string")
+    out = sorted((str(r["doc_id"]), r["text"] or "") for r in near_dup.near_dedup_stage(spark, docs, "").collect())
+    assert out == sorted([("1", a), ("3", b), ("3", prose(5, 40)), ("None", a), ("None", a), ("4", "")])
+
+
 def test_bayes_limits_rise_and_spare_the_threshold():
     limits = near_dup.fewest_matches(0.85, 1e-6)
     assert limits == sorted(limits) and limits[-1] < 0.85 * near_dup.HASHES
