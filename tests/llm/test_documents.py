@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from quittance.llm import decontam, line_rules, mixing, near_dup, quality_qda, suffix_dedup, token_counts
-from quittance.llm.induced_sort import Store, sort_suffixes
+from quittance.llm.induced_sort import Store, sort_suffixes, text_of
 from tests.llm.odd import SCHEMA, prose, rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -265,26 +265,80 @@ def test_repeats(spark, odd, small):
     assert suffix_dedup.suffix_dedup_stage(None, odd, "").count() == odd.count()
 
 
-def test_suffix_array(tmp_path):
+def test_repeats_far_beyond_memory(spark):
+    """Shards a hundred times what the sort may hold, whole buckets split by stretch, entries reduced at once: the result stays."""
+    words = [prose(k, 1) for k in range(40)]
+    r = np.random.default_rng(2)
+    base = " ".join(r.choice(words, 3000).tolist())
+    texts = [base[a : a + 400] + prose(300 + k, 3) + base[z : z + 300] for k, (a, z) in enumerate(r.integers(0, len(base) - 500, (150, 2)).tolist())]
+    # one gram in most texts, with contexts of its own in each
+    texts = [t + f" the one line that most texts share, number {k % 50} of them, and then {prose(k % 30, 9)}" for k, t in enumerate(texts)]
+    rows_ = [(k if k % 40 else None, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows_ + [(7, None), (8, "")], "doc_id long, text string").repartition(4)
+    want = sorted(map(str, [*repeats_of_rows(rows_), (0, 0, 0, hashlib.sha256(b"").hexdigest()), (0, 0, 0, hashlib.sha256(b"").hexdigest())]))
+    for options in ({"shard": 100_000, "memory": 1000}, {"shard": 100_000, "memory": 1000, "hot_bytes": 0, "held": 100}):
+        got = suffix_dedup.remove_repeats(df, **options).collect()
+        assert sorted(str((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"])) for r in got) == want, options
+
+
+def repeats_of_rows(rows_):
+    """repeats() of rows whose null ids are all larger than the others and equal to one another."""
+    first, out = {}, []
+    key = lambda i: 2**63 if i is None else i
+    for i, t in sorted(rows_, key=lambda x: key(x[0])):
+        for k in range(len(t.encode()) - 49):
+            first.setdefault(t.encode()[k : k + 50], key(i))
+    for i, t in rows_:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if first[b[k : k + 50]] < key(i):
+                gone[k : k + 50] = b"\1" * 50
+        left = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        out.append((len(b), sum(gone), sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1])), hashlib.sha256(left).hexdigest()))
+    return out
+
+
+def in_order(t, store, depth, sigma=None):
+    sigma = sigma or int(t.max()) + 1
+    places, prefixes = [], []
+    text, counts = text_of(iter([t]), sigma, np.uint8 if sigma <= 256 else np.int32, store)
+    sort_suffixes(text, counts, store, lambda p, x: (places.extend(p.tolist()), prefixes.extend(x.tolist())), depth)
+    return places, prefixes
+
+
+def test_suffix_order(tmp_path):
+    """Places and common prefixes against sorting, with queues that hold a handful of tuples and with large ones."""
     r = np.random.default_rng(0)
     for n in (1, 2, 5, 40, 300):
-        for sigma in (1, 2, 4):
+        for sigma in (1, 2, 4, 600):
             t = np.append(r.integers(1, 1 + sigma, n), 0)
             if n > 20:
                 t[n // 2 : n // 2 + 8] = t[:8]
             s = t.tolist()
-            want = sorted(range(len(s)), key=lambda i: s[i:])
-            for store in (Store(), Store(str(tmp_path), 16)):  # queues in memory, and on disk
-                sa, lcp = sort_suffixes(t, int(t.max()) + 1, store)
-                assert sa.tolist() == want
-                for a, b, k in zip(want[:-1], want[1:], lcp.tolist()[1:], strict=True):
+            want = sorted(range(len(s)), key=lambda i: s[i:])[:0:-1]
+            for memory, depth in ((8, 5), (8, 50), (40, 50), (1 << 16, 50)):
+                places, prefixes = in_order(t, Store(str(tmp_path), memory), depth)
+                assert places == want
+                for a, b, k in zip(want[:-1], want[1:], prefixes[1:], strict=True):
                     m = 0
                     while max(a, b) + m < len(s) and s[a + m] == s[b + m]:
                         m += 1
-                    assert k == min(m, 255)
+                    assert min(k, depth) == min(m, depth)
     assert not list(tmp_path.iterdir())
 
 
+def test_suffix_order_goes_through_disk(tmp_path):
+    """A text two hundred times the memory: tuples are written as runs, and the order is that of one held in memory."""
+    r = np.random.default_rng(1)
+    t = np.append(r.integers(1, 5, 100_000), 0)
+    t[50_000:60_000] = t[:10_000]
+    small, large = Store(str(tmp_path), 500), Store(str(tmp_path), 1 << 20)
+    places, prefixes = in_order(t, small, 50)
+    assert (places, [min(x, 50) for x in prefixes]) == (lambda p, x: (p, [min(y, 50) for y in x]))(*in_order(t, large, 50))
+    assert small.written > 20 * len(t) > large.written
+
+
 # --- leaks ------------------------------------------------------------------------------------------------------------
 
 
