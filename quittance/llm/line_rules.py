@@ -1,13 +1,23 @@
 """Line-first cleaning with DataFrame functions only.
 
-Every line of a text is judged on its own by a punctuation, a navigation and a
-boilerplate rule.  Failing lines are removed; a document is rejected if the
+Every line of a text is judged on its own:
+
+* punctuation: more symbols or exclamation marks than its words bear, or a long line
+  without any mark, inside or at its end;
+* navigation: words parted by bars, bullets and arrows, a row of links, or a short line
+  that breaks off in dots;
+* boilerplate: a short line with a phrase of licences, cookies and the like, in English,
+  German, French or Spanish.
+
+Failing lines are removed; a document is rejected if the
 removed lines held more than ``max_loss`` of its word characters, or if one of
 two whole-text rules (too short, too repetitive) fails.
 
 Cases: a null or empty text has no words, counts 0 everywhere and fails the base
 rule.  Blank lines never fail and are kept as they are.  Ties and repeated rows
-are judged row by row.  Extra columns pass through; helper columns avoid clashes.
+are judged row by row.  A very long text is one row, whose arrays of words and lines
+are in memory.  An empty table gives an empty result.  Extra columns pass through;
+helper columns avoid clashes.
 """
 
 from __future__ import annotations
@@ -30,7 +40,38 @@ BOILERPLATE = (
     "accept cookies",
     "enable javascript",
     "subscribe to our newsletter",
+    "alle rechte vorbehalten",
+    "lizenziert unter",
+    "nutzungsbedingungen",
+    "datenschutzerklärung",
+    "cookies akzeptieren",
+    "javascript aktivieren",
+    "newsletter abonnieren",
+    "tous droits réservés",
+    "sous licence",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "accepter les cookies",
+    "activer javascript",
+    "abonnez-vous à notre",
+    "todos los derechos reservados",
+    "bajo licencia",
+    "términos de uso",
+    "política de privacidad",
+    "aceptar cookies",
+    "habilitar javascript",
+    "suscríbete a nuestro",
 )
+#: Symbols, exclamation marks, what parts entries of a menu (with and without a closing quote that is none), links, marks of sentences, a line broken off.
+SYMBOLS = r"[#*$%&<>]+"
+MARKS = r"[!?]+"
+BARS = r"[|\x{2022}\x{203A}\x{00B7}\x{2192}\x{00BB}]+"
+BARS_AMONG_QUOTES = r"[|\x{2022}\x{203A}\x{00B7}\x{2192}]+"
+LINKS = r"https?://|\]\("
+SENTENCE_MARKS = r"[.,;:!?\x{2026}\x{3002}\x{FF01}\x{FF1F}\x{3001}\x{FF0C}]"
+BROKEN_OFF = r"(\.\.\.|\x{2026})[\x20\x09-\x0D]*$"
+#: A line without any of these passes all rules that count them.
+ANY = r"[#*$%&<>!?|\x{2022}\x{203A}\x{00B7}\x{2192}\x{00BB}\x{2026}/(]|\.\.\."
 
 
 @dataclass(frozen=True)
@@ -43,6 +84,10 @@ class LineRules:
     max_symbols_per_word: float = 0.5
     max_marks_per_word: float = 0.5
     max_separators_per_word: float = 0.25
+    link_share: float = 0.3
+    least_links: int = 2
+    teaser_words: int = 12
+    bare_words: int = 30
     boilerplate_words: int = 25
     max_loss: float = 0.5
 
@@ -89,15 +134,24 @@ def _without(text: Column, pattern: str) -> Column:
 
 def line_fails(line: Column, rules: LineRules) -> Column:
     """Whether a line that has words fails one of the three rules."""
-    chars = F.length(line)
     words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
-    symbols = chars - F.length(_without(line, r"[#*$%&<>]+"))
-    marks = chars - F.length(_without(line, r"[!?]+"))
-    bars = chars - F.length(_without(line, r"[|\x{2022}\x{00BB}]+"))
-    punctuation = (symbols > rules.max_symbols_per_word * words) | ((marks > rules.max_marks_per_word * words) & (words > 3))
-    navigation = (bars >= 1) & (bars > rules.max_separators_per_word * words)
-    boilerplate = (words <= rules.boilerplate_words) & F.lower(line).rlike("|".join(BOILERPLATE))
-    return punctuation | navigation | boilerplate
+
+    def judged(n: Column) -> Column:
+        chars = F.length(line)
+        symbols = chars - F.length(_without(line, SYMBOLS))
+        marks = chars - F.length(_without(line, MARKS))
+        bars = chars - F.length(F.when(line.contains("\u00ab"), _without(line, BARS_AMONG_QUOTES)).otherwise(_without(line, BARS)))
+        links = F.regexp_count(line, F.lit(LINKS))
+        punctuation = (symbols > rules.max_symbols_per_word * n) | ((marks > rules.max_marks_per_word * n) & (n > 3))
+        menu = (bars >= 1) & (bars > rules.max_separators_per_word * n)
+        listed = (links >= rules.least_links) & (links >= rules.link_share * n)
+        teaser = (n <= rules.teaser_words) & line.rlike(BROKEN_OFF)
+        marked = F.when(line.rlike(ANY), punctuation | menu | listed | teaser).otherwise(False)
+        bare = (n >= rules.bare_words) & ~line.rlike(SENTENCE_MARKS)
+        boilerplate = (n <= rules.boilerplate_words) & F.lower(line).rlike("|".join(BOILERPLATE))
+        return marked | bare | boilerplate
+
+    return let(words, judged)
 
 
 def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRules()) -> DataFrame:
@@ -133,7 +187,11 @@ def clean_lines(docs: DataFrame, text: str = "text", rules: LineRules = LineRule
 
 
 def quality_rules_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go, failing lines of the others go; columns stay those of docs."""
+    """Pipeline stage: rejected documents go, failing lines of the others go; columns stay those of docs.
+
+    Null and empty texts are rejected as too short, whatever their doc_id; repeated rows are
+    judged alike; an empty table stays empty.
+    """
     names = docs.columns
     (cleaned,) = fresh(docs, "cleaned_")
     # a filter would be pushed below the projection and judge every line twice; a generator judges once

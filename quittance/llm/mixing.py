@@ -14,7 +14,9 @@ within the source, and the telescoped floor.
 
 Cases: null or empty text has size 0; the null source is a source, last in order;
 a source of size 0 has target 0 and is never taken; repeated rows count each;
-ties in doc_id are ordered by the row's text hash and else are equal rows.
+ties in doc_id are ordered by the row's text hash and else are equal rows; a null
+doc_id comes last; no document, however long, is split; an empty table gives an
+empty result; columns with the names of the result's give way.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quittance.llm.common import fresh, n_words, save
+from quittance.llm.common import fresh, n_words, save, small
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -63,11 +65,11 @@ def salt_of(doc_id: Column, n: Column) -> Column:
 
 def offset_of(src: Column, seed: str) -> Column:
     """In [0, 1), a multiple of 2**-20, the same in every run."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(src, F.lit("\x00")))), 1, 5), 16, 10).cast("double") / F.lit(1048576.0)
+    return F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("="), src), F.lit("-")))), 1, 5), 16, 10).cast("double") / F.lit(1048576.0)
 
 
 def mixed_rows(docs: DataFrame, carry: Sequence[str], doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = "mix", weights: Sequence[float] = WEIGHTS, share: float = 1.5, max_copies: float = 2.0) -> DataFrame:
-    """row (a struct of the columns in carry), size, source_size, target, copies."""
+    """row (a struct of the columns in carry), src, key, tie, size, source_size, target, copies."""
     slim = [F.col(source).cast("string").alias("src"), F.col(doc_id).cast("long").alias("key"), n_words(F.col(text)).alias("size"), F.xxhash64(F.col(text).cast("string")).alias("tie")]
     light = docs.select(*slim)
     light = save(light.withColumn("cls", size_class(F.col("size"))), "mix-sizes")
@@ -92,7 +94,7 @@ def mixed_rows(docs: DataFrame, carry: Sequence[str], doc_id: str = "doc_id", so
     d = d.join(blocks, F.col("src").eqNullSafe(F.col("s3")) & (F.col("cls") == F.col("c3")) & (F.col("salt") == F.col("t3")))
     rank = F.col("before") + F.col("pos")
     crossed = F.floor(rank * F.col("rate") + F.col("start")) - F.floor((rank - 1) * F.col("rate") + F.col("start"))
-    return d.select("row", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+    return d.select("row", "src", "key", "tie", "size", "source_size", "target", crossed.cast("long").alias("copies"))
 
 
 OWN = ("size", "source_size", "target", "copies")
@@ -114,7 +116,29 @@ def emit(mixed: DataFrame) -> DataFrame:
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix itself, a document once per copy; copy_no counts them (with _ before it if docs has that name)."""
-    (number,) = fresh(docs, "copy_no")
-    out = _copied(mixed_rows(docs, docs.columns), number)
-    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], number)
+    """Pipeline stage: the mix itself, a document once per copy; copy_no counts them (with _ before it if docs has that name).
+
+    Copies are worked out on ids, sizes and hashes; texts take part in one join only.  Rows
+    that are equal in source, doc_id and text share their copies: those equal in all columns
+    become one row with the copies of all, and variants share by their numbers.  Null
+    sources, ids and texts are as in the module's cases; an empty table stays empty.
+    """
+    number, s1, k1, t1, s2, k2, t2, times, before = fresh(docs, "copy_no", "s1_", "k1_", "t1_", "s2_", "k2_", "t2_", "times_", "before_")
+    mixed = mixed_rows(docs.select("doc_id", "source", "text"), ["doc_id"]).groupBy("src", "key", "tie").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows_"))
+    mixed = save(mixed.filter("copies > 0").select(F.col("src").alias(s2), F.col("key").alias(k2), F.col("tie").alias(t2), "copies", "rows_"), "mix-copies")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").cast("string").alias(s1), F.col("doc_id").cast("long").alias(k1), F.xxhash64(F.col("text").cast("string")).alias(t1))
+
+    def with_copies(part: DataFrame) -> DataFrame:
+        right = F.broadcast(part) if small(part, 80) else part
+        return keyed.join(right, (keyed[t1] == right[t2]) & keyed[k1].eqNullSafe(right[k2]) & keyed[s1].eqNullSafe(right[s2]))
+
+    once = save(mixed.filter("rows_ = 1"), "mix-once")
+    out = with_copies(once).select("row", "copies")
+    more = save(mixed.filter("rows_ > 1"), "mix-more")
+    if more.head(1):
+        each = with_copies(more).groupBy("row", s1, k1, t1, "copies", "rows_").agg(F.count("*").alias(times))
+        ahead = W.partitionBy(s1, k1, t1).orderBy(F.xxhash64("row"), "row").rowsBetween(W.unboundedPreceding, -1)
+        each = each.withColumn(before, F.coalesce(F.sum(times).over(ahead), F.lit(0)))
+        upto = lambda n: F.floor(n * F.col("copies") / F.col("rows_"))
+        out = out.unionByName(each.select("row", (upto(F.col(before) + F.col(times)) - upto(F.col(before))).cast("long").alias("copies")))
+    return _copied(out, number).select(*[F.col("row")[c].alias(c) for c in docs.columns], number)

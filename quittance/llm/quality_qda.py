@@ -4,13 +4,15 @@ Each text gives a short vector of statistics (lengths, symbol, separator, capita
 and digit rates, distinct words, repeated neighbours ...), squashed by logarithms.
 Class means and covariances come from moment sums over all labelled training rows;
 covariances are shrunk toward their scaled identity, their Cholesky factors are
-computed once, and a score is the logistic of the difference of the two Mahalanobis
-log-densities plus the log-prior ratio.
+computed once, and a score is the posterior: the logistic of the difference of the two
+Mahalanobis log-densities plus the log-prior ratio, scaled and shifted as fits the training
+rows best, since real statistics are no Gaussians.
 
 Cases: a null or empty text is the vector of an empty text and is scored like any
 other.  Labels with a null quality or doc_id are not used.  A document labelled
 twice counts twice.  If a class has no row at all, every score is the other class's
 share (0.5 without labels).  Repeated rows score alike; extra columns are not read.
+A very long text is one row of a chunk in memory; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ FEATURES = (
     "other_punctuation_rate", "distinct_rate", "repeat_rate", "stop_rate", "line_rate", "dup_line_rate",
 )
 D = len(FEATURES)
+RIDGE = 1e-3
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -128,13 +131,19 @@ def features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     return d.mapInArrow(bk.tidied(run), "doc_id long, x array<double>")
 
 
-def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
-    """For each class of rows(x, y): count, sum of x, sum of x xT.  Sums are added up by place on the executors."""
+def centre_of(rows: DataFrame) -> np.ndarray:
+    """The mean of rows(x, y), about which moments are summed so that no digits are lost."""
+    means = rows.select(*[F.avg(F.col("x")[k]).alias(f"m{k}") for k in range(D)]).first()
+    return np.array([m or 0.0 for m in means])
+
+
+def moments(rows: DataFrame, centre: np.ndarray) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """For each class of rows(x, y): count, sum of x - centre, sum of its square.  Sums are added up by place on the executors."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 + D + D * D))
         for b in batches:
-            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, D) - centre
             y = b.column("y").to_numpy(zero_copy_only=False)
             for k in (0, 1):
                 z = x[y == k]
@@ -151,22 +160,24 @@ def moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
 
 @dataclass
 class Discriminant:
-    """Two Gaussian classes with cached Cholesky factors (inverse of L, lower), in scaled coordinates."""
+    """Two Gaussian classes with cached Cholesky factors (inverse of L, lower), in scaled coordinates about a centre."""
 
+    centre: np.ndarray
     scale: np.ndarray
     mean: list[np.ndarray]
     whiten: list[np.ndarray]
     log_det: list[float]
     log_prior: float
     constant: float | None = None
-    temperature: float = 4.0
+    slope: float = 1.0
+    shift: float = 0.0
 
     @classmethod
-    def fit(cls, m: dict, shrinkage: float = 0.1, floor: float = 0.02) -> Discriminant:
+    def fit(cls, m: dict, centre: np.ndarray, shrinkage: float = 0.1, floor: float = 0.02) -> Discriminant:
         n = np.array([m[0][0], m[1][0]])
         if not n.all():
             share = 0.5 if not n.any() else float(n[1] > 0)
-            return cls(np.ones(D), [np.zeros(D)] * 2, [np.eye(D)] * 2, [0.0, 0.0], 0.0, constant=share)
+            return cls(centre, np.ones(D), [np.zeros(D)] * 2, [np.eye(D)] * 2, [0.0, 0.0], 0.0, constant=share)
         mean_all = (m[0][1] + m[1][1]) / n.sum()
         var_all = np.diag(m[0][2] + m[1][2]) / n.sum() - mean_all**2
         scale = np.sqrt(np.maximum(var_all, 1e-9))
@@ -180,18 +191,49 @@ class Discriminant:
             means.append(mu / scale)
             whiten.append(np.linalg.inv(chol))
             log_det.append(2 * float(np.log(np.diag(chol)).sum()))
-        return cls(scale, means, whiten, log_det, float(np.log(n[1] / n[0])))
+        return cls(centre, scale, means, whiten, log_det, float(np.log(n[1] / n[0])))
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(x), self.constant)
-        z = x / self.scale
+    def gap(self, x: np.ndarray) -> np.ndarray:
+        """Difference of the log-densities, plus the log-prior ratio."""
+        z = (x - self.centre) / self.scale
         density = []
         for k in (0, 1):
             y = (z - self.mean[k]) @ self.whiten[k].T
             density.append(-0.5 * ((y * y).sum(1) + self.log_det[k]))
-        gap = np.clip((density[1] - density[0] + self.log_prior) / self.temperature, -40, 40)
-        return 1 / (1 + np.exp(-gap))
+        return density[1] - density[0] + self.log_prior
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        if self.constant is not None:
+            return np.full(len(x), self.constant)
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.gap(x) + self.shift, -40, 40)))
+
+    def calibrate(self, gap: np.ndarray, bad: np.ndarray, good: np.ndarray, steps: int = 40) -> None:
+        """Slope and shift of the likeliest logistic, by Newton steps on how many rows of both classes have each gap."""
+        if self.constant is not None:
+            return
+        n = bad + good
+        a = np.array([0.25, 0.0])
+        f = np.column_stack([gap, np.ones(len(gap))])
+        for _ in range(steps):
+            p = 1 / (1 + np.exp(-np.clip(f @ a, -40, 40)))
+            gradient = f.T @ (good - n * p) - RIDGE * a
+            curve = (f * (n * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ f + RIDGE * np.eye(2)
+            step = np.linalg.solve(curve, gradient)
+            a = a + step / max(1.0, np.abs(step).max() / 0.5)
+        self.slope, self.shift = float(max(a[0], 1e-3)), float(a[1])
+
+
+def gap_counts(rows: DataFrame, model: Discriminant) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(gap, rows of class 0, rows of class 1) in bins of the gap's inverse hyperbolic sine, at most some 1,600."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, D)
+            yield pa.RecordBatch.from_arrays([pa.array(np.rint(np.arcsinh(model.gap(x)) * 50).astype(np.int64)), b.column("y").cast(pa.int32())], ["bin", "y"])
+
+    counted = rows.select("x", "y").mapInArrow(bk.tidied(run), "bin long, y int").groupBy("bin").agg(F.count_if(F.col("y") == 0).alias("bad"), F.count_if(F.col("y") == 1).alias("good")).collect()
+    column = lambda c: np.array([r[c] for r in counted], float)
+    return np.sinh(column("bin") / 50), column("bad"), column("good")
 
 
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3) -> DataFrame:
@@ -199,7 +241,11 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int =
     seen = save(features(docs), "quality-features")
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == held_out
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).filter("y in (0, 1) and doc_id is not null")
-    model = Discriminant.fit(moments(seen.join(y.filter(~fold), "doc_id").select("x", "y")))
+    taught = save(seen.join(y.filter(~fold), "doc_id").select("x", "y"), "quality-taught")
+    centre = centre_of(taught)
+    model = Discriminant.fit(moments(taught, centre), centre)
+    if model.constant is None:
+        model.calibrate(*gap_counts(taught, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -84,9 +84,11 @@ p AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS run FROM (SELECT do
 g AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, run) AS times FROM p) WHERE times > 1),
 c AS (SELECT doc_id, sum(least(8, coalesce(nx - i, 8))) AS n FROM (SELECT *, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nx FROM g) GROUP BY doc_id),
 l0 AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-l1 AS (SELECT doc_id, line, len(regexp_replace(line, '{_GAP}', '', 'g')) AS solid, len(regexp_extract_all(line, '{_WORD}')) AS n, len(line) - len(regexp_replace(line, '[#*$%&<>]+', '', 'g')) AS sym,
-       len(line) - len(regexp_replace(line, '[!?]+', '', 'g')) AS mark, len(line) - len(regexp_replace(line, '[|\x{{2022}}\x{{00BB}}]+', '', 'g')) AS bar FROM l0),
-l2 AS (SELECT *, solid > 0 AND (sym > 0.5 * n OR (mark > 0.5 * n AND n > 3) OR (bar >= 1 AND bar > 0.25 * n) OR (n <= 25 AND regexp_matches(lower(line), '{"|".join(line_rules.BOILERPLATE)}'))) AS bad FROM l1),
+l1 AS (SELECT doc_id, line, len(regexp_replace(line, '{_GAP}', '', 'g')) AS solid, len(regexp_extract_all(line, '{_WORD}')) AS n, len(line) - len(regexp_replace(line, '{line_rules.SYMBOLS}', '', 'g')) AS sym,
+       len(line) - len(regexp_replace(line, '{line_rules.MARKS}', '', 'g')) AS mark, len(regexp_extract_all(line, '{line_rules.LINKS}')) AS links,
+       len(line) - len(CASE WHEN contains(line, chr(171)) THEN regexp_replace(line, '{line_rules.BARS_AMONG_QUOTES}', '', 'g') ELSE regexp_replace(line, '{line_rules.BARS}', '', 'g') END) AS bar FROM l0),
+l2 AS (SELECT *, solid > 0 AND (sym > 0.5 * n OR (mark > 0.5 * n AND n > 3) OR (bar >= 1 AND bar > 0.25 * n) OR (links >= 2 AND links >= 0.3 * n) OR (n <= 12 AND regexp_matches(line, '{line_rules.BROKEN_OFF}'))
+       OR (n >= 30 AND NOT regexp_matches(line, '{line_rules.SENTENCE_MARKS}')) OR (n <= 25 AND regexp_matches(lower(line), '{"|".join(line_rules.BOILERPLATE).replace("'", "''")}'))) AS bad FROM l1),
 s AS (SELECT doc_id, coalesce(sum(solid) FILTER (bad), 0) AS lost, count(*) FILTER (solid > 0) - count(DISTINCT line) FILTER (solid > 0) AS dup FROM l2 GROUP BY doc_id),
 m AS (SELECT w.doc_id, len(ws)::bigint AS n_words, len(regexp_replace(t, '{_GAP}', '', 'g'))::bigint AS word_chars, (len(t) - len(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::bigint AS n_symbols,
       s.dup::bigint AS n_dup_lines, coalesce(c.n, 0)::bigint AS n_repeat_words, s.lost FROM w JOIN s USING (doc_id) LEFT JOIN c USING (doc_id))
@@ -101,7 +103,7 @@ s1 AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY src ASC NULLS LAS
 s2 AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) / sum(w) OVER (ORDER BY cap / w, src NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
 s3 AS (SELECT *, first(CASE WHEN level * w <= cap THEN level END IGNORE NULLS) OVER (ORDER BY cap / w, src NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lam FROM s2),
 s AS (SELECT src, source_size, least(cap, coalesce(lam * w, cap)) AS target, CASE WHEN source_size > 0 THEN least(cap, coalesce(lam * w, cap)) / source_size ELSE 0.0 END AS rate,
-      ('0x' || substr(md5('mix' || coalesce(src, '')), 1, 5))::int::double / 1048576.0::double AS start FROM s3),
+      ('0x' || substr(md5('mix' || CASE WHEN src IS NULL THEN '-' ELSE '=' || src END), 1, 5))::int::double / 1048576.0::double AS start FROM s3),
 e AS (SELECT d.*, s.source_size, s.target, s.rate, s.start, ((coalesce(doc_id, 0) % 1000003) * 7919 % 1000003) % k.blocks AS salt
       FROM d JOIN k ON d.cls = k.cls AND d.src IS NOT DISTINCT FROM k.src JOIN s ON d.src IS NOT DISTINCT FROM s.src),
 f AS (SELECT *, row_number() OVER (PARTITION BY src, cls, salt ORDER BY size, doc_id) AS pos FROM e),

@@ -68,6 +68,21 @@ def test_line_rules_verdicts(odd):
     assert line_rules.clean_lines(empty(odd)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("line", "fails"),
+    [
+        ("Home | About | Contact | Terms", True), ("Start › Shop › Schuhe › Damen", True), ("« Oui », dit le roi, et il partit.", False), ("[one](http://a) [two](http://b)", True),
+        ("See https://a.example/x for all that was said about it then.", False), ("The story of a long and ...", True), ("He said it was over ... and then, after a while, that it had been so for years and years.", False),
+        (" ".join(["word"] * 40), True), (" ".join(["word"] * 40) + ".", False), (" ".join(["word"] * 12), False), ("Alle Rechte vorbehalten.", True), ("Tous droits réservés.", True), ("Todos los derechos reservados.", True),
+        ("CONDITIONS D'UTILISATION", True), ("No! Never! Not! At! All!", True), ("Why not?", False), ("## ## ##", True), ("A plain line, as good as any other.", False),
+    ],
+)
+def test_line_rules_by_line(spark, line, fails):
+    body = prose(90, 60)
+    out = line_rules.clean_lines(spark.createDataFrame([(1, body + "\n" + line)], "doc_id long, text string")).first()
+    assert out["clean_text"] == (body if fails else body + "\n" + line)
+
+
 def test_line_rules_agree_with_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     j = line_rules.clean_lines(docs).join(labels, "doc_id").filter("n_words >= 20")
@@ -88,6 +103,37 @@ def test_quality_held_out_accuracy(spark):
     assert (good[:, None] > bad[None, :]).mean() > 0.97
 
 
+def test_quality_scores_are_plain_densities(spark):
+    """Every score against densities by determinants and inverses, from the collected statistics of the training rows."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = {r["doc_id"]: np.array(r["x"]) for r in quality_qda.features(docs).collect()}
+    out = {r["doc_id"]: r for r in quality_qda.classify(docs, labels).collect()}
+    taught = [(x[r["doc_id"]], r["quality"]) for r in labels.collect() if r["quality"] is not None and not out[r["doc_id"]]["held_out"]]
+    import zlib
+
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in out.items())
+    both = np.array([v for v, _ in taught])
+    scale = both.std(0)
+    density = []
+    for k in (0, 1):
+        v = np.array([v for v, y in taught if y == k]) / np.maximum(scale, 3e-5)
+        cov = np.cov(v.T, bias=True)
+        cov = 0.9 * cov + 0.1 * max(np.trace(cov) / len(cov), 0.02) * np.eye(len(cov)) + 0.02 * np.eye(len(cov))
+        inverse, log_det, mean = np.linalg.inv(cov), np.linalg.slogdet(cov)[1], v.mean(0)
+        density.append(lambda z, m=mean, i=inverse, d=log_det: -0.5 * ((z / np.maximum(scale, 3e-5) - m) @ i @ (z / np.maximum(scale, 3e-5) - m) + d))
+    prior = np.log(sum(y for _, y in taught) / sum(1 - y for _, y in taught))
+    gap = np.array([density[1](x[i]) - density[0](x[i]) + prior for i in out])
+    logit = np.array([np.log(r["score"] / (1 - r["score"])) for r in out.values()])
+    inside = np.abs(logit) < 30
+    fit = np.polyfit(gap[inside], logit[inside], 1)
+    assert fit[0] > 0 and np.abs(np.polyval(fit, gap[inside]) - logit[inside]).max() < 1e-6 * max(1, np.abs(gap).max())
+    # the slope and shift are those of the likeliest logistic over the training rows, up to the bins
+    y = np.array([y for _, y in taught])
+    g = np.array([density[1](v) - density[0](v) + prior for v, _ in taught])
+    loss = lambda a, b: np.logaddexp(0, np.where(y == 1, -1, 1) * (a * g + b)).mean()
+    assert loss(*fit) <= min(loss(fit[0] * k, fit[1] + s) for k in (0.7, 1, 1.4) for s in (-0.5, 0, 0.5)) + 2e-3
+
+
 def test_quality_odd(spark, odd):
     labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (13, 0, 0), (13, 0, 0), (None, 1, 0), (14, None, 0), (16, 0, 0)], "doc_id long, quality int, toxic int")
     out = quality_qda.classify(odd, labels).collect()
@@ -138,6 +184,21 @@ def test_mixing_emits_copies(odd):
     assert mixing.emit(mixed).count() == sum(r["copies"] for r in mixed.collect())
     assert mixing.mix(empty(odd)).count() == 0
     assert mixing.mixing_stage(None, odd, "").columns == [*odd.columns, "copy_no"]
+    assert mixing.mixing_stage(None, empty(odd), "").count() == 0
+
+
+def test_mixing_stage_emits_the_copies_of_mix(spark, odd, small):
+    """The stage's rows by source, doc_id and text, repeated and differing ones included, are mix()'s copies."""
+    again = spark.createDataFrame([(k % 3 if k % 7 else None, "one two three", f"s{k % 2}" if k % 5 else None, k % 4) for k in range(60)], "doc_id long, text string, source string, copy_no int")
+    for df in (odd, small, again):
+        want = Counter()
+        for r in mixing.mix(df, carry=["doc_id", "source", "text"]).collect():
+            want[r["doc_id"], r["source"], r["text"]] += r["copies"]
+        out = mixing.mixing_stage(spark, df, "").collect()
+        assert Counter((r["doc_id"], r["source"], r["text"]) for r in out) == +want
+        whole = Counter(tuple(r) for r in df.collect())
+        assert set(tuple(r)[:-1] for r in out) <= set(whole)
+        assert all(n <= 2 * whole[k] for k, n in Counter(tuple(r)[:-1] for r in out).items())
 
 
 # --- near duplicates ------------------------------------------------------------------------------------
