@@ -25,10 +25,6 @@ def from_cents(c: Column) -> Column:
     return (c.cast("decimal(20,0)") / 100).cast(MONEY)
 
 
-def whole_cents(c: Column) -> Column:
-    return c == F.round(c, 2)
-
-
 def total(c: Column) -> Column:
     """Sum, 0.00 over nothing."""
     return F.coalesce(F.sum(c), F.lit(0).cast(MONEY)).cast(MONEY)

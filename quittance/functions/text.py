@@ -172,10 +172,6 @@ def invoice_token_of(c: Column) -> Column:
     return _invoice_token(c)
 
 
-def parse_all(parser: object, texts: Iterable[str]) -> list:
-    """Outcomes of a parser for texts, each text asked once."""
-    seen: dict[str, object] = {}
-    for t in texts:
-        if t not in seen:
-            seen[t] = parser.parse(t)
-    return [seen[t] for t in seen]
+def stripped(c: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")

@@ -6,14 +6,18 @@ the ordered fold (plans.fold) takes the rest.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quittance.functions.confidence import NOTHING_FITS, TIED, TOO_LOW, filled, headline_of, points_of
 from quittance.functions.money import MONEY, cents, fee_tolerance, from_cents
+from quittance.functions.subsets import find_subsets
 from quittance.plans.policy import Policy
-from quittance.plans.scratch import written
 
 #: pairs need payment_id, paid, amount, invoice_id, issue_date, balance, hit, customer (bool).
 
@@ -65,31 +69,40 @@ def ranked_width(counted: DataFrame, policy: Policy) -> DataFrame:
     return d.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= policy.max_combination_candidates)
 
 
-def subsets(width: DataFrame, policy: Policy, upper: Column, known: DataFrame | None = None) -> DataFrame:
-    """Subsets of 2 to max_combination_size pairs whose balances sum into [amount, upper], as index-ordered joins.
+def widest_total(amount: Column, policy: Policy) -> Column:
+    """Largest total whose shortfall against amount could still be a fee."""
+    pct = F.floor((amount * 100).cast("decimal(20,0)") / F.lit(1 - policy.fee_tolerance_pct)).cast("decimal(20,0)") / 100
+    upper = F.greatest(pct, amount + F.lit(policy.fee_tolerance_abs))
+    return F.least(upper, amount + F.lit(policy.fee_tolerance_cap)) if policy.fee_tolerance_cap is not None else upper
+
 
-    Sums over upper end a branch at every level.  The first max_combinations_returned in
-    depth-first order over (balance desc, pos) stay; with default widths the node budget
-    cannot be reached, so it plays no part here.
+def sums(width: DataFrame, policy: Policy) -> DataFrame:
+    """Subsets of 2 to max_combination_size pairs whose balances sum up to the amount or, for payments without any, to at most a fee more.
+
+    A payment's pairs, at most max_combination_candidates, are one row; its subsets are searched
+    depth first in a kernel over batches of rows, and the first max_combinations_returned stay.
+    The pairs are dealt by payment already, so this adds no exchange.
     """
-    depth = W.partitionBy("payment_id").orderBy(F.col("balance").desc(), "pos")
-    base = width.withColumn("dfs", F.row_number().over(depth)).withColumn("upper", upper)
-    if known is not None:
-        base = base.join(known, "payment_id", "left_anti")
     item = F.struct(F.col("pos"), F.col("invoice_id"), cents(F.col("balance")).alias("cents"), F.col("hit"), F.col("tie"))
-    step = base.select("payment_id", F.col("dfs").alias("next"), F.col("balance").alias("more"), item.alias("item"))
-    level = base.select("payment_id", "amount", "upper", "customer", F.col("balance").cast("decimal(20,2)").alias("total"), F.array("dfs").alias("path"), F.array(item).alias("items")).filter("total <= upper")
-    found = None
-    for _ in range(policy.max_combination_size - 1):
-        grown = level.join(step, "payment_id").filter((F.col("next") > F.element_at("path", -1)) & (F.col("total") + F.col("more") <= F.col("upper")))
-        level = grown.select(
-            "payment_id", "amount", "upper", "customer", (F.col("total") + F.col("more")).cast("decimal(20,2)").alias("total"), F.concat("path", F.array("next")).alias("path"), F.concat("items", F.array("item")).alias("items")
-        )
-        hits = level.filter("total >= amount")
-        found = hits if found is None else found.unionByName(hits)
-    first = W.partitionBy("payment_id").orderBy("path")
-    kept = found.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= policy.max_combinations_returned)
-    return kept.withColumn("items", F.array_sort("items")).withColumn("found", F.count("*").over(W.partitionBy("payment_id"))).drop("path", "nth", "upper")
+    one = width.groupBy("payment_id").agg(F.first("amount").alias("amount"), F.first("customer").alias("customer"), F.sort_array(F.collect_list(item)).alias("items"))
+    owed = F.transform("items", lambda x: x["cents"])
+    enough = F.aggregate(owed, F.lit(0).cast("long"), lambda a, x: a + x) >= cents(F.col("amount"))
+    one = one.filter(enough).select("*", owed.alias("owed"), cents(F.col("amount")).alias("least"), cents(widest_total(F.col("amount"), policy)).alias("most"))
+    bounds = {"most": policy.max_combination_size, "budget": policy.search_node_budget, "results": policy.max_combinations_returned}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            picks = []
+            for owed, least, most in zip(*(b.column(c).to_pylist() for c in ("owed", "least", "most")), strict=True):
+                found, _ = find_subsets(owed, least, least, **bounds)
+                picks.append(found or find_subsets(owed, least, most, **bounds)[0])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(picks, pa.list_(pa.list_(pa.int32())))], [*b.schema.names, "picks"])
+
+    schema = T.StructType([*one.schema.fields, T.StructField("picks", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    each = one.mapInArrow(run, schema).select("payment_id", "amount", "customer", "items", F.size("picks").cast("long").alias("found"), F.explode("picks").alias("pick"))
+    each = each.select("payment_id", "amount", "customer", "found", F.transform("pick", lambda k: F.get(F.col("items"), k)).alias("items"))
+    total = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["cents"])
+    return each.withColumn("total", from_cents(total).cast("decimal(20,2)"))
 
 
 def apportioned(amount: Column, weights: Column) -> Column:
@@ -106,15 +119,8 @@ def apportioned(amount: Column, weights: Column) -> Column:
 
 def combinations(counted: DataFrame, policy: Policy) -> DataFrame:
     """Candidates of several invoices: exact sums or, for payments without any, sums within the fee tolerance."""
-    width = written(ranked_width(counted, policy), "width")  # read once per level below
-    amount = F.col("amount")
-    exact = written(subsets(width, policy, amount.cast("decimal(20,2)")), "sums")
-    pct = F.floor((amount * 100).cast("decimal(20,0)") / F.lit(1 - policy.fee_tolerance_pct)).cast("decimal(20,0)") / 100
-    upper = F.greatest(pct, amount + F.lit(policy.fee_tolerance_abs))
-    if policy.fee_tolerance_cap is not None:
-        upper = F.least(upper, amount + F.lit(policy.fee_tolerance_cap))
-    near = subsets(width, policy, upper.cast("decimal(20,2)"), exact.select("payment_id").distinct())
-    d = exact.unionByName(near).withColumn("fee", (F.col("total") - F.col("amount")).cast(MONEY)).withColumn("tolerance", fee_tolerance(F.col("total"), policy))
+    d = sums(ranked_width(counted, policy), policy)
+    d = d.withColumn("fee", (F.col("total") - F.col("amount")).cast(MONEY)).withColumn("tolerance", fee_tolerance(F.col("total"), policy))
     weights = F.transform("items", lambda x: x["cents"])
     d = d.withColumn("fees", F.when(F.col("fee") > 0, apportioned(cents(F.col("fee")), weights)).otherwise(F.transform("items", lambda x: F.lit(0).cast("long"))))
     d = d.filter((F.col("fee") <= F.col("tolerance")) & ~F.exists(F.arrays_zip("items", "fees"), lambda z: z["fees"] >= z["items"]["cents"]))
@@ -175,4 +181,4 @@ def decide(payments: DataFrame, ranks: DataFrame, policy: Policy) -> DataFrame:
     )
 
 
-__all__ = ["all_candidates", "apportioned", "combinations", "decide", "from_cents", "ranked", "ranked_width", "scored", "singles", "subsets", "tie_key", "with_counts"]
+__all__ = ["all_candidates", "apportioned", "combinations", "decide", "from_cents", "ranked", "ranked_width", "scored", "singles", "sums", "tie_key", "with_counts"]

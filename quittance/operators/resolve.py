@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quittance.functions.text import SHORTEST_NEEDLE, canonical_of, similarity_of
+from quittance.plans.scratch import written
 
 
 def ledger_names(invoices: DataFrame) -> DataFrame:
@@ -46,11 +47,22 @@ def substrings_of(key, widths: list[int]):
     return F.array_distinct(F.concat(*parts))
 
 
+def shares_enough(a, b, percent: int):
+    """Whether the shorter text's pairs of neighbouring letters that the longer one lacks are no more than the allowed edits can break, two each."""
+    edits = F.floor(2 * F.least(F.length(a), F.length(b)) * (100 - percent) / 100)
+    bigrams = lambda c: substrings_of(c, [2])
+    lost = lambda x, y: F.size(F.array_except(bigrams(x), bigrams(y))) <= 2 * edits
+    return F.when(F.length(a) == F.length(b), lost(a, b) | lost(b, a)).when(F.length(a) < F.length(b), lost(a, b)).otherwise(lost(b, a))
+
+
 def similar_pairs(asked: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """(key, name_key, customer_id, score) of names whose similarity may exceed percent, without a cross join.
+    """(key, name_key, customer_id, score) of names whose similarity may exceed percent.
 
     The shorter text's pieces are looked up among the longer one's substrings; equal
-    lengths are looked up both ways.  Keys are distinct on both sides.
+    lengths are looked up both ways.  Pairs that share a piece but too few pairs of
+    neighbouring letters are dropped before they are compared.  Keys are distinct on both sides.
+    A piece that most names share still brings all of them together: pairs then grow with
+    its names, however cheaply most are dropped.
     """
     widths = sorted({max(1, n // (2 * n * (100 - percent) // 100 + 1)) for n in range(1, 512)})
     left = asked.select("key")
@@ -61,16 +73,27 @@ def similar_pairs(asked: DataFrame, names: DataFrame, percent: int) -> DataFrame
     c = left.withColumn("gram", F.explode(substrings_of(F.col("key"), widths)))
     d = right.withColumn("gram", F.explode(pieces_of_needle(F.col("name_key"), percent)))
     longer = c.join(d, "gram").filter("length(key) >= length(name_key)").select("key", "name_key", "customer_id")
-    pairs = shorter.unionByName(longer).distinct()
+    pairs = shorter.unionByName(longer).distinct().filter(shares_enough(F.col("key"), F.col("name_key"), percent))
     return pairs.withColumn("score", similarity_of("name_key", "key"))
 
 
 def by_similar_name(payments: DataFrame, names: DataFrame, percent: int) -> DataFrame:
-    """(id, customer_id): the most similar unambiguous name above percent; ties go to the smallest name."""
+    """(id, customer_id): the most similar unambiguous name above percent; ties go to the smallest name.
+
+    Names are looked for with few edits first: long pieces are rare, and a key that has a name
+    above a step has its best name there, so only the others go on to the next step.
+    """
     keyed = payments.select("id", canonical_of(F.col("counterparty")).alias("key")).filter("key <> ''")
-    pairs = similar_pairs(keyed.select("key").distinct(), names, percent).filter(F.col("score") > percent)
-    best = pairs.groupBy("key").agg(F.min_by("customer_id", F.struct(-F.col("score"), F.col("name_key"))).alias("customer_id"))
-    return keyed.join(best, "key").select("id", "customer_id")
+    asked, found = written(keyed.select("key").distinct(), "asked-names"), None
+    for least in sorted({max(percent, 97), max(percent, 93), percent}, reverse=True):
+        pairs = similar_pairs(asked, names, least).filter(F.col("score") > least)
+        best = written(pairs.groupBy("key").agg(F.min_by("customer_id", F.struct(-F.col("score"), F.col("name_key"))).alias("customer_id")), "similar-names")
+        found = best if found is None else found.unionByName(best)
+        if least > percent:
+            asked = written(asked.join(best, "key", "left_anti"), "asked-names")
+            if not asked.head(1):
+                break
+    return keyed.join(found, "key").select("id", "customer_id")
 
 
 def resolve(payments: DataFrame, invoices: DataFrame, percent: int, fuzzy: bool = True) -> DataFrame:

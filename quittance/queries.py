@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
-from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -13,9 +13,9 @@ from quittance.functions.money import MONEY, cents
 from quittance.operators import candidates, invariants, pairs, report, resolve, validate
 from quittance.plans.engine import reconcile
 from quittance.plans.policy import Policy
-from quittance.plans.scratch import written
+from quittance.plans.scratch import root, written
 from quittance.sources import derived, history, mapping
-from quittance.streaming.payments import batch_rows
+from quittance.streaming.payments import OpenLedger, start
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -205,6 +205,25 @@ def validate_rows(spark: SparkSession, d: str) -> DataFrame:
     return validate.invoice_rows(_raw(spark, d)).select("id", "amount", "currency", "issue_date", F.array_join("errors", "; ").alias("errors"))
 
 
+@query(
+    "validate_payments",
+    """SELECT CASE WHEN k % 97 = 0 THEN '' ELSE id END AS id, CASE WHEN k % 83 = 0 THEN 0.00 WHEN k % 79 = 0 THEN NULL ELSE amount END::decimal(18,2) AS amount,
+       CASE WHEN k % 73 = 0 THEN 'E1R' ELSE currency END AS currency, CASE WHEN k % 89 = 0 THEN NULL ELSE date END AS date, reference,
+       concat_ws('; ', CASE WHEN k % 97 = 0 THEN 'id: must not be empty' END, CASE WHEN k % 89 = 0 THEN 'date: not a date' END,
+                 CASE WHEN k % 83 <> 0 AND k % 79 = 0 THEN 'amount: not an amount' END, CASE WHEN k % 83 = 0 OR k % 79 = 0 THEN 'amount: must be positive' END,
+                 CASE WHEN k % 73 = 0 THEN 'currency: must be three letters' END) AS errors FROM pay""",
+)
+def validate_payments(spark: SparkSession, d: str) -> DataFrame:
+    """Bank lines as texts between white space of several kinds, some of them broken."""
+    k = F.col("k")
+    raw = derived.payments(spark, d).select(
+        F.when(k % 97 == 0, " \t").otherwise(F.concat(F.lit("\t"), "id", F.lit("\u00a0\n"))).alias("id"), F.when(k % 89 == 0, "2026-13-01").otherwise(F.concat(F.lit(" "), F.col("date").cast("string"))).alias("date"),
+        F.when(k % 83 == 0, "0").when(k % 79 == 0, "1,5").otherwise(F.concat(F.col("amount").cast("string"), F.lit("\t"))).alias("amount"), F.when(k % 73 == 0, "E1R").otherwise(F.concat(F.lower("currency"), F.lit("\u2003"))).alias("currency"),
+        F.concat(F.lit("\n"), "reference").alias("reference"),
+    )
+    return validate.payment_rows(raw).select("id", "amount", "currency", "date", "reference", F.array_join("errors", "; ").alias("errors"))
+
+
 @query("duplicate_ids", "SELECT id, count(*)::bigint AS n FROM (SELECT id FROM inv UNION ALL SELECT id FROM inv WHERE k % 100 = 1) GROUP BY id HAVING count(*) > 1")
 def duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
     i = _ledger(spark, d)
@@ -250,7 +269,16 @@ def resolve_by_name(spark: SparkSession, d: str) -> DataFrame:
     return resolve.by_name(derived.payments(spark, d), resolve.ledger_names(_ledger(spark, d)))
 
 
-@query("resolve_fuzzy")
+_SIMILAR = """
+ky AS (SELECT s_suppkey::varchar AS id, 'CUSTOMER' || lpad(s_suppkey::varchar, 8, '0') AS key FROM supplier),
+mk AS (SELECT id, key, map_from_entries(list_transform(list_distinct(string_split(key, '')), lambda c: {'k': c, 'v': list_sum(list_transform(range(0, 16), lambda i: CASE WHEN key[(i + 1)::int] = c THEN (1::bigint << i::int) ELSE 0 END))::bigint})) AS masks FROM ky),
+nk AS (SELECT upper(replace(customer_name, '#', '')) AS name_key, min(customer_id) AS customer_id FROM inv GROUP BY 1 HAVING min(customer_id) = max(customer_id)),
+wn AS (SELECT name_key, customer_id, substr(name_key, greatest(o, 0) + 1, least(o + 16, 17) - greatest(o, 0)) AS w FROM nk, (SELECT unnest(range(-3, 5)) AS o)),
+sm AS (SELECT id, name_key, customer_id, len(w) AS n, 16 - bit_count(list_reduce(list_transform(string_split(w, ''), lambda c: coalesce(masks[c], 0)::bigint), lambda s, m: ((s + (s & m)) | (s - (s & m))) & 65535, 65535::bigint)) AS lcs FROM mk, wn),
+sc1 AS (SELECT id, name_key, customer_id, max(200 * lcs // (16 + n)) AS score FROM sm GROUP BY ALL)"""
+
+
+@query("resolve_fuzzy", "SELECT id, customer_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, name_key) AS nth FROM sc1 WHERE score > 88) WHERE nth = 1", (_SIMILAR,))
 def resolve_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers that pay under the customers' names with a letter lost, against all ledger names."""
     s = spark.read.parquet(f"{d}/supplier.parquet").withColumn("k", F.concat(F.lit("Customer#"), F.lpad(F.col("s_suppkey").cast("string"), 8, "0")))
@@ -347,11 +375,7 @@ def combos_fee(spark: SparkSession, d: str) -> DataFrame:
 def apportion_fee(spark: SparkSession, d: str) -> DataFrame:
     """The fee of every sum above the payment, shared among its invoices, whether or not it is small enough to be one."""
     loose = Policy(date_window_days_after=900)
-    counted = _counted(spark, d, loose)
-    width = written(candidates.ranked_width(counted, loose), "width")
-    exact = written(candidates.subsets(width, loose, F.col("amount").cast("decimal(20,2)")), "sums")
-    upper = F.greatest(F.floor((F.col("amount") * 100).cast("decimal(20,0)") / F.lit(Decimal("0.97"))).cast("decimal(20,0)") / 100, F.col("amount") + F.lit(Decimal("1.00"))).cast("decimal(20,2)")
-    near = candidates.subsets(width, loose, upper, exact.select("payment_id").distinct()).filter("total > amount")
+    near = candidates.sums(candidates.ranked_width(_counted(spark, d, loose), loose), loose).filter("total > amount")
     fees = candidates.apportioned(cents((F.col("total") - F.col("amount")).cast(MONEY)), F.transform("items", lambda x: x["cents"]))
     named = F.array_join(F.transform("items", lambda x: x["invoice_id"]), "+")
     return near.select("payment_id", named.alias("invoice_ids"), F.posexplode(fees).alias("place", "cents")).select("payment_id", "invoice_ids", (F.col("place") + 1).cast("int").alias("place"), "cents")
@@ -464,7 +488,7 @@ _RESULT = (*_SNAPSHOT, _DECIDED, _MOVED)
 
 
 def _moved(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    r = _decided(spark, d)
+    r = written(_decided(spark, d), "decided")  # what follows reads it several times
     one = r.filter("strategy is not null and strategy <> 'combination'")
     a = one.select("payment_id", F.col("invoice_ids").alias("invoice_id"), F.col("allocated").alias("amount"))
     f = one.filter("fee > 0").select("payment_id", F.col("invoice_ids").alias("invoice_id"), F.col("fee").alias("amount"))
@@ -676,7 +700,54 @@ def reconcile_singles(spark: SparkSession, d: str) -> DataFrame:
     return r.results.select("payment_id", "status", "review_reason", "strategy", "confidence", "message")
 
 
-@query("streamed_payments", "SELECT id, date, amount, currency FROM pay")
+def _rivals(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A customer for each invoice, and two or three payments that compete for it, in parts, in full twice, or for too much."""
+    i = _ledger(spark, d).select("id", F.concat(F.lit("k"), "k").alias("customer_id"), F.concat(F.lit("Payer "), F.lpad(F.col("k").cast("string"), 9, "0")).alias("customer_name"), "number", "issue_date", "due_date", "amount", "currency", "k")
+    share = lambda a, b, c: F.array(*[F.lit(x).cast("decimal(3,2)") for x in (a, b, c)])
+    plan = F.element_at(F.array(share("0.40", "0", "0"), share("1.00", "1.00", "0"), share("0.50", "0.30", "0"), share("0.60", "0.60", "0")), (F.col("k") % 4 + 1).cast("int"))
+    each = i.withColumn("plan", plan).select("*", F.posexplode("plan").alias("nth", "part"))
+    first, second = (F.round(F.col("amount") * F.element_at("plan", n), 2) for n in (1, 2))
+    rest = (F.col("amount") - first - F.when(F.col("k") % 4 == 2, second).otherwise(0)).cast(MONEY)
+    last = F.when(F.col("k") % 4 == 0, 1).when(F.col("k") % 4 == 2, 2).otherwise(-1)
+    paid = F.when(F.col("nth") == last, rest).otherwise(F.round(F.col("amount") * F.col("part"), 2)).cast(MONEY)
+    p = each.withColumn("paid", paid).filter("paid > 0").select(
+        F.concat(F.lit("p"), F.lpad(F.col("k").cast("string"), 9, "0"), F.lit("-"), F.col("nth").cast("string")).alias("id"), F.date_add("issue_date", F.col("nth") + 3).alias("date"), F.col("paid").alias("amount"),
+        "currency", F.col("number").alias("reference"), F.col("customer_name").alias("counterparty"),
+    )
+    return i.drop("k"), p
+
+
+_RIVALS = """
+rv AS (SELECT k, id, number, amount AS face, k % 4 AS kind, issue_date FROM inv),
+rp AS (
+  SELECT k, 0 AS nth, (CASE kind WHEN 0 THEN round(face * 0.40::decimal(3,2), 2) WHEN 1 THEN face WHEN 2 THEN round(face * 0.50::decimal(3,2), 2) ELSE round(face * 0.60::decimal(3,2), 2) END)::decimal(18,2) AS paid FROM rv
+  UNION ALL
+  SELECT k, 1, (CASE kind WHEN 0 THEN face - round(face * 0.40::decimal(3,2), 2) WHEN 1 THEN face WHEN 2 THEN round(face * 0.30::decimal(3,2), 2) ELSE round(face * 0.60::decimal(3,2), 2) END)::decimal(18,2) FROM rv
+  UNION ALL
+  SELECT k, 2, (face - round(face * 0.50::decimal(3,2), 2) - round(face * 0.30::decimal(3,2), 2))::decimal(18,2) FROM rv WHERE kind = 2),
+rb AS (SELECT rp.*, rv.id AS invoice_id, greatest(face - coalesce(sum(paid) OVER (PARTITION BY k ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS balance FROM rp JOIN rv USING (k))"""
+
+
+@query(
+    "reconcile_rivals",
+    """SELECT 'p' || lpad(k::varchar, 9, '0') || '-' || nth AS payment_id, CASE WHEN balance = 0 THEN 'unmatched' WHEN paid > balance THEN 'partially_matched' ELSE 'matched' END AS status,
+       CASE WHEN balance = 0 THEN 'no_candidate' END AS review_reason, CASE WHEN balance = 0 THEN NULL WHEN paid = balance THEN 'exact_single' WHEN paid < balance THEN 'partial' ELSE 'overpayment' END AS strategy,
+       CASE WHEN balance = 0 THEN NULL WHEN paid = balance THEN 0.9900 WHEN paid < balance THEN 0.8900 ELSE 0.8700 END::decimal(5,4) AS confidence,
+       CASE WHEN balance > 0 THEN invoice_id END AS invoice_id, CASE WHEN balance > 0 THEN least(paid, balance) END::decimal(18,2) AS amount FROM rb""",
+    (_RIVALS,),
+)
+def reconcile_rivals(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered fold where two or three payments compete for an invoice: each sees what those before it left."""
+    r = reconcile(*_rivals(spark, d))
+    return r.results.join(r.allocations.select("payment_id", "invoice_id", "amount"), "payment_id", "left").select("payment_id", "status", "review_reason", "strategy", "confidence", "invoice_id", "amount")
+
+
+@query("streamed_payments", "SELECT payment_id, status, review_reason, strategy, confidence, message FROM rs", (*_SNAPSHOT, _DECIDED))
 def streamed_payments(spark: SparkSession, d: str) -> DataFrame:
-    """Payments as the stream's canonical rows, read as a batch."""
-    return batch_rows(derived.payments(spark, d)).select("id", "date", "amount", "currency")
+    """Payments that do not compete, from a file stream in three micro-batches, each against the ledger that the one before left."""
+    at = f"{root(spark)}/stream-{uuid.uuid4().hex}"
+    derived.single_payments(spark, d).repartition(3, "id").write.parquet(f"{at}/in")
+    arriving = spark.read.parquet(f"{at}/in")
+    book = OpenLedger(_ledger(spark, d), folder=f"{at}/ledger", deliver=lambda r, epoch: r.results.select("payment_id", "status", "review_reason", "strategy", "confidence", "message").write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}"))
+    start(spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), book, f"{at}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("epoch")
