@@ -390,38 +390,11 @@ def _ranks(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool
     return candidates.ranked(candidates.all_candidates(_counted(spark, d, policy, single=True, collide=collide), policy))
 
 
-@query("score_candidates", "SELECT payment_id, strategy, invoice_ids, points, headline, (points::decimal(10,4) / 10000)::decimal(5,4) AS confidence FROM sc", _SNAPSHOT)
-def score_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.all_candidates(_counted(spark, d, DEFAULT, single=True), DEFAULT).select("payment_id", "strategy", "invoice_ids", "points", "headline", "confidence")
-
-
-@query("rank_candidates", "SELECT payment_id, invoice_ids, strategy, points, rank::int AS rank FROM rk", _SNAPSHOT)
-def rank_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return _ranks(spark, d).select("payment_id", "invoice_ids", "strategy", "points", F.col("rank").cast("int"))
-
-
-@query("tied_candidates", "SELECT payment_id, invoice_ids, points, tied::bigint AS tied FROM rk WHERE points = top AND tied > 1", _WIDE_SNAPSHOT, _COLLIDED)
-def tied_candidates(spark: SparkSession, d: str) -> DataFrame:
-    r = _ranks(spark, d, WIDE, collide=True)
-    best = F.max("points").over(W.partitionBy("payment_id"))
-    return r.withColumn("top", best).filter("points = top and tied > 1").select("payment_id", "invoice_ids", "points", F.col("tied").cast("long"))
-
-
 def _decided(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> DataFrame:
     return candidates.decide(derived.single_payments(spark, d, collide), _ranks(spark, d, policy, collide), policy)
 
 
-@query("decide_snapshot", "SELECT * FROM rs", (*_SNAPSHOT, _DECIDED))
-def decide_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d)
-
-
-@query("review_queue", "SELECT payment_id, review_reason, message FROM rs WHERE review_reason IS NOT NULL", (*_WIDE_SNAPSHOT, _DECIDED), _COLLIDED)
-def review_queue(spark: SparkSession, d: str) -> DataFrame:
-    return _decided(spark, d, WIDE, collide=True).filter("review_reason is not null").select("payment_id", "review_reason", "message")
-
-
-# --- the same over every payment of the statement, rivals and strangers included, at opening balances ---------
+# --- scores, ranks and decisions of every payment of the statement, rivals and strangers included, at opening balances ---------
 
 _STRANGERS = """
   UNION ALL
@@ -474,6 +447,14 @@ def review_every_payment(spark: SparkSession, d: str) -> DataFrame:
     return _every_decided(spark, d, WIDE, collide=True).filter("review_reason is not null").select("payment_id", "review_reason", "message")
 
 
+#: Operator, and the query that applies it to every payment; both names are registered.
+for _operator, _query in (
+    ("score_candidates", "score_every_payment"), ("rank_candidates", "rank_every_payment"), ("tied_candidates", "tied_every_payment"),
+    ("decide_snapshot", "decide_every_payment"), ("review_queue", "review_every_payment"),
+):
+    QUERIES[_operator], ORACLE_SQL[_operator] = QUERIES[_query], ORACLE_SQL[_query]
+
+
 # --- results of a snapshot: allocations of single-invoice decisions ------------------------------------------
 
 _MOVED = """

@@ -74,7 +74,7 @@ def request(spark: SparkSession, body: str) -> Reconciliation:
     return reconcile(*frames, policy=Policy.from_mapping(given.get("config") or {}))
 
 
-# --- writing ------------------------------------------------------------------------------------
+# --- writing: the names of columns and fields below are fixed values ---------------------------------
 
 
 def _csv(df: DataFrame, path: str) -> None:
@@ -143,29 +143,55 @@ def report_document(r: Reconciliation) -> dict[str, Any]:
     }
 
 
-def result_document(r: Reconciliation, most: int = 100_000) -> dict[str, Any]:
-    """The whole result as one ordered document, for results that fit the driver; larger ones go through write_all."""
-    if (n := r.results.count()) > most:
-        raise ValueError(f"{n} payments are too many for one document; write_all() keeps them on the executors")
-    text = lambda df, *keys: [{**{k: x[k] for k in keys}, "amount": str(x["amount"])} for x in df.collect()]
-    states = [{k: (str(v) if k not in ("invoice_id", "status") else v) for k, v in x.asDict().items()} for x in state_rows(r).collect()]
-    as_json = lambda df: [json.loads(x[0]) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+def _amounts(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.col("amount").cast("string").alias("amount"))
+
+
+def result_sections(r: Reconciliation) -> dict[str, DataFrame]:
+    """The parts of a result in their order, each row a document, money as text."""
+    dated = r.residuals.join(r.results.select("payment_id", "date"), "payment_id")
     return {
-        "report": report_document(r), "payments": as_json(payment_documents(r)), "allocations": text(r.allocations.orderBy("seq", "pos"), "payment_id", "invoice_id"),
-        "fees": text(r.fees.orderBy("seq", "pos"), "payment_id", "invoice_id"), "residuals": text(r.residuals.join(r.results.select("payment_id", "date"), "payment_id").orderBy("date", "payment_id"), "payment_id"),
-        "invoice_states": states, "review_queue": as_json(review_documents(r)), "warnings": r.warnings,
+        "payments": payment_documents(r), "allocations": _amounts(r.allocations.orderBy("seq", "pos"), "payment_id", "invoice_id"), "fees": _amounts(r.fees.orderBy("seq", "pos"), "payment_id", "invoice_id"),
+        "residuals": _amounts(dated.orderBy("date", "payment_id"), "payment_id"),
+        "invoice_states": state_rows(r).select("invoice_id", "status", *[F.col(c).cast("string").alias(c) for c in ("face_value", "allocated", "fee_written_off", "open_balance")]), "review_queue": review_documents(r),
     }
 
 
+def result_document(r: Reconciliation, most: int = 100_000) -> dict[str, Any]:
+    """The whole result as one ordered document, for results whose payments and invoices fit the driver; larger ones go through write_all."""
+    n = r.results.count() + r.invoice_states.count()
+    if n > most:
+        raise ValueError(f"{n} payments and invoices are too many for one document; write_all() keeps them on the executors")
+    as_json = lambda df: [json.loads(x[0]) for x in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
+    return {"report": report_document(r), **{name: as_json(df) for name, df in result_sections(r).items()}, "warnings": r.warnings}
+
+
 def dumps(document: dict[str, Any]) -> str:
     return json.dumps(document, indent=2, ensure_ascii=False) + "\n"
 
 
 def write_all(r: Reconciliation, folder: str) -> list[str]:
-    """allocations.csv, review_queue.csv, invoice_states.csv and result.json under folder, each a folder of ordered parts."""
+    """allocations.csv, review_queue.csv, invoice_states.csv and result.json under folder, each a folder of ordered parts.
+
+    result.json holds a folder of JSON lines for each section: report, payments, allocations,
+    fees, residuals, invoice_states, review_queue and warnings.
+    """
     paths = [f"{folder.rstrip('/')}/{n}" for n in ("result.json", "allocations.csv", "review_queue.csv", "invoice_states.csv")]
-    payment_documents(r).write.mode("overwrite").option("ignoreNullFields", "false").json(paths[0])
+    for name, df in result_sections(r).items():
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{paths[0]}/{name}")
+    spark = r.results.sparkSession
+    for name, lines in (("report", [json.dumps(report_document(r))]), ("warnings", [json.dumps(w) for w in r.warnings])):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("overwrite").text(f"{paths[0]}/{name}")
     _csv(allocation_rows(r), paths[1])
     _csv(review_rows(r), paths[2])
     _csv(state_rows(r), paths[3])
     return paths
+
+
+def read_result(spark: SparkSession, folder: str) -> dict[str, Any]:
+    """What write_all() wrote, as result_document() has it; for results that fit the driver."""
+    out: dict[str, Any] = {}
+    for name in ("report", "payments", "allocations", "fees", "residuals", "invoice_states", "review_queue", "warnings"):
+        rows = [json.loads(x["value"]) for x in spark.read.text(f"{folder.rstrip('/')}/result.json/{name}").collect()]
+        out[name] = rows[0] if name == "report" else rows
+    return out

@@ -90,6 +90,20 @@ def test_refusals(spark):
         reconcile(i, p.union(p))
     with pytest.raises(LedgerError, match="floating"):
         reconcile(i.withColumn("amount", F.col("amount").cast("double")), p)
+    for column, value, said in (
+        ("amount", "cast(null as decimal(18,2))", "amount: not an amount"), ("amount", "cast(-1 as decimal(18,2))", "amount: must be positive"), ("amount", "cast(0.004 as decimal(18,3))", "amount: must be positive"),
+        ("currency", "'EURO'", "currency: must be three letters"), ("currency", "null", "currency"), ("id", "null", "None.*id: must not be empty"), ("id", "' \t'", "id: must not be empty"),
+    ):
+        with pytest.raises(LedgerError, match=f"invoice .*{said}"):
+            reconcile(i.withColumn(column, F.expr(value)), p)
+        with pytest.raises(LedgerError, match=f"payment .*{said}"):
+            reconcile(i, p.withColumn(column, F.expr(value)))
+    with pytest.raises(LedgerError, match="payment 'p1': date: not a date"):
+        reconcile(i, p.withColumn("date", F.lit(None).cast("date")))
+    with pytest.raises(LedgerError, match="invoice 'i1': customer_id"):
+        reconcile(i.withColumn("customer_id", F.lit("")), p)
+    with pytest.raises(LedgerError, match="missing column.*number"):
+        reconcile(i.drop("number"), p)
     none = reconcile(i, p.filter("false"))
     assert none.report.first()["payments_total"] == 0 and none.invoice_states.first()["status"] == "open"
 
@@ -114,6 +128,11 @@ def test_similar_names_equal_all_pairs(spark):
     right = spark.createDataFrame([(n, f"c{n}") for n in sorted(set(names))], "name_key string, customer_id string")
     got = {(x["key"], x["name_key"]) for x in resolve.similar_pairs(left, right, 80).filter("score > 80").collect()}
     assert got == {(a, n) for a in asked for n in set(names) if len(n) >= 5 and similarity(n, a) > 80}
+    # the best name of each, by steps of fewer edits first
+    payments = spark.createDataFrame([(a, a) for a in asked], "id string, counterparty string")
+    got = {x["id"]: x["customer_id"] for x in resolve.by_similar_name(payments, right, 80).collect()}
+    want = {a: min((-similarity(n, a), n) for n in set(names)) for a in asked}
+    assert got == {a: f"c{n}" for a, (s, n) in want.items() if -s > 80 and len(n) >= 5}
 
 
 def test_invariants_catch_every_break(spark):
@@ -142,6 +161,9 @@ def test_files_round_trip(spark, tmp_path):
     assert json.loads(ledger.dumps(ledger.result_document(ledger.request(spark, json.dumps(body))))) == ledger.result_document(a)
     for path in ledger.write_all(a, f"{tmp_path}/out"):
         assert Path(path).is_dir()
+    assert ledger.read_result(spark, f"{tmp_path}/out") == ledger.result_document(a)
+    with pytest.raises(ValueError, match="too many"):
+        ledger.result_document(a, most=21)
     back = spark.read.csv(f"{tmp_path}/out/allocations.csv", header=True)
     assert back.columns == ["payment_id", "invoice_id", "amount", "fee", "strategy", "confidence", "reason"] and back.count() == a.allocations.count()
 
@@ -176,6 +198,46 @@ def test_history(spark, tmp_path):
     assert h.get("r1")["status"] == "complete" and h.get("r1")["label"] == "first" and h.count() == 2 and h.count("draft") == 1
     assert [tuple(x) for x in h.mapping("r1").collect()] == [("invoice", "id", "Ref", "manual")]
     assert h.delete("r2") and h.get("r2") is None and not h.delete("r2")
+    h.save_mapping("r1", [])
+    assert h.mapping("r1").count() == 0
+    h.log_access("r1", "ann", "download")
+    h.log_access("r1", "bob", "view")
+    assert [(x["who"], x["action"]) for x in h.accesses("r1").collect()] == [("ann", "download"), ("bob", "view")]
+    h.backup_to(f"file://{tmp_path}/copy")
+    other = history.RunHistory(spark, f"file://{tmp_path}/copy")
+    assert other.get("r1") == h.get("r1") and other.accesses().count() == 2
+
+
+def test_history_before_its_first_run_and_of_other_formats(spark, tmp_path):
+    h = history.RunHistory(spark, f"file://{tmp_path}/new")
+    assert (h.count(), h.get("r1"), h.mapping("r1").count(), h.accesses().count(), h.migrate()) == (0, None, 0, 0, history.FORMAT)
+    old = history.RunHistory(spark, f"file://{tmp_path}/old")
+    row = (None, "r9", 5, datetime.datetime(2026, 1, 1), "kept", "complete", False)
+    spark.createDataFrame([row], "kind string, run_id string, version bigint, created_at timestamp_ntz, label string, status string, deleted boolean").write.parquet(old._path(version=1))
+    assert old.migrate() == 1 and old.get("r9")["label"] == "kept" and old.migrate() == history.FORMAT and old.count() == 1
+    spark.range(1).write.parquet(f"file://{tmp_path}/old/v{history.FORMAT + 1}/runs")
+    with pytest.raises(LedgerError, match="newer"):
+        old.migrate()
+
+
+def test_sweep_deletes_files_then_records(spark, tmp_path):
+    from quittance.sources.runner import Artifacts, sweep
+
+    h, now = history.RunHistory(spark, f"file://{tmp_path}/h"), datetime.datetime(2026, 6, 1)
+    ids = {name: f"{k:032x}" for k, name in enumerate(("old", "stale", "fresh", "draft"))}
+    for name, age in (("old", 40), ("stale", 3), ("fresh", 3), ("draft", 0)):
+        h.create_draft(ids[name], created_at=now - datetime.timedelta(days=age))
+        (tmp_path / "runs" / ids[name] / "result.json").mkdir(parents=True)
+        (tmp_path / "runs" / ids[name] / "result.json" / "part").write_text("x" * 10)
+    for name in ("old", "fresh"):
+        h.mark_complete(ids[name])
+    a = Artifacts(spark, f"file://{tmp_path}/runs")
+    assert a.available(ids["old"]) == ["result.json"] and a.size_bytes(ids["old"]) == 10
+    assert a.path(ids["old"], "../x") is None and a.path("../runs", "result.json") is None and a.path(ids["old"], "allocations.csv") is None
+    assert sweep(h, a, retention_days=30, now=now) == {"expired": 1, "abandoned": 1}
+    assert {r["run_id"] for r in h.runs().collect()} == {ids["fresh"], ids["draft"]}
+    assert sorted(x.name for x in (tmp_path / "runs").iterdir()) == sorted([ids["fresh"], ids["draft"]])
+    assert sweep(h, a, retention_days=None, now=now) == {"expired": 0, "abandoned": 0}
 
 
 def test_generated_cases(spark):
@@ -193,23 +255,39 @@ def test_generated_cases(spark):
     assert generate.Noise.only("amount", 0.2).describe() == "amt=0.20" and generate.Noise().describe() == "clean"
 
 
-def test_stream_equals_batches(spark, tmp_path):
+def test_stream_survives_a_restart(spark, tmp_path):
+    """A ledger that starts again from its folder and checkpoint goes on with the balances left; a replayed epoch changes nothing."""
     invoices, payments = random_case(8, 20, 12)
     i, p = frames(spark, invoices, payments)
-    folder = tmp_path / "in"
     rows = p.orderBy("date", "id").collect()
-    for k in range(2):
-        spark.createDataFrame(rows[6 * k : 6 * k + 6], P).coalesce(1).write.mode("append").parquet(str(folder))
-    got = []
-    book = OpenLedger(i, deliver=lambda r, epoch: got.extend(r.allocations.select("payment_id", "invoice_id", "amount").collect()))
-    q = start(spark.readStream.schema(P).option("maxFilesPerTrigger", 1).parquet(str(folder)), book, str(tmp_path / "cp"))
-    q.processAllAvailable()
-    q.stop()
-    assert len({x["payment_id"] for x in got}) > 0
-    paid = {}
-    for x in got:
-        paid[x["invoice_id"]] = paid.get(x["invoice_id"], 0) + x["amount"]
+    folder, got, results = tmp_path / "in", {}, {}
+
+    def deliver(r, epoch):
+        got[epoch] = [(x["payment_id"], x["invoice_id"], x["amount"]) for x in r.allocations.collect()]
+        results[epoch] = r.results.count()
+
+    for k in range(3):
+        spark.createDataFrame(rows[4 * k : 4 * k + 4], P).coalesce(1).write.mode("append").parquet(str(folder))
+        book = OpenLedger(i, f"file://{tmp_path}/ledger", deliver=deliver)  # a new driver each time
+        assert book.last == k - 1
+        start(spark.readStream.schema(P).parquet(str(folder)), book, str(tmp_path / "cp"), once=True).awaitTermination()
+    assert results == {0: 4, 1: 4, 2: 4}
+    # the same batches one after another, without a stream
+    want, now = [], i
+    for k in range(3):
+        r = reconcile(now, spark.createDataFrame(rows[4 * k : 4 * k + 4], P))
+        want += [(x["payment_id"], x["invoice_id"], x["amount"]) for x in r.allocations.collect()]
+        left = {x["invoice_id"]: x["open_balance"] for x in r.invoice_states.collect() if x["open_balance"] > 0}
+        now = spark.createDataFrame([(*x[:6], left[x[0]], x[7]) for x in invoices if x[0] in left], I)
+    assert sorted(x for y in got.values() for x in y) == sorted(want) and want
+    again = OpenLedger(i, f"file://{tmp_path}/ledger", deliver=deliver)
+    assert again.last == 2
+    again.apply(spark.createDataFrame(rows[:4], P), 2)
+    assert results == {0: 4, 1: 4, 2: 4}
     face = {x[0]: x[6] for x in invoices}
+    paid = {}
+    for _, k, x in want:
+        paid[k] = paid.get(k, 0) + x
     assert all(v <= face[k] for k, v in paid.items())
 
 
@@ -225,6 +303,12 @@ def test_rest_stands_without_llm(tmp_path):
             (tmp_path / "quittance" / x.name).symlink_to(x)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), 'op1_quality_qda' in e.queries(), set(e.oracle_sql()) <= set(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True).stdout
     assert said.split()[1:] == ["False", "True"]
+    # a package that is there but cannot be imported is told about, and takes nothing else with it
+    (tmp_path / "quittance" / "llm").mkdir()
+    (tmp_path / "quittance" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "quittance" / "llm" / "queries.py").write_text("import a_module_that_is_not_there")
+    broken = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
+    assert broken.stdout.split()[0] == said.split()[0] and "cannot be imported" in broken.stderr
 
 
 def test_command_line(spark, tmp_path, capsys):
@@ -245,7 +329,7 @@ def test_command_line(spark, tmp_path, capsys):
         execute(spark, str(tmp_path / "i.csv"), str(tmp_path / "b.csv"), f"{tmp_path}/out3", max_rows=0)
 
 
-def test_quality_bench(spark):
+def test_quality_bench(spark, tmp_path):
     from quittance.plans import quality_bench
 
     names = [s[0] for s in quality_bench.scenarios()]
@@ -255,3 +339,10 @@ def test_quality_bench(spark):
     assert m.first()["precision"] == 1.0
     assert quality_bench.differences(m, m).count() == 0
     assert quality_bench.differences(m, m.withColumn("recall", F.col("recall") - 0.1)).count() == 1
+    with pytest.raises(LedgerError, match="no benchmark"):
+        quality_bench.read_results(spark, f"file://{tmp_path}/none")
+    quality_bench.write_results(spark, m, f"file://{tmp_path}/bench", seeds=1, invoices=60)
+    assert quality_bench.check(spark, f"file://{tmp_path}/bench", m) == []
+    assert "recall was" in quality_bench.check(spark, f"file://{tmp_path}/bench", m.withColumn("recall", F.lit(0.5)))[0]
+    assert len(quality_bench.check(spark, f"file://{tmp_path}/bench", m.filter("false"))) == 5
+    assert any("overall | 0.0" in x["value"] for x in spark.read.text(f"file://{tmp_path}/bench/results.md").collect())
