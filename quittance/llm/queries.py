@@ -119,7 +119,7 @@ FROM d LEFT JOIN m USING (g)""",
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
            UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 o AS (SELECT *, row_number() OVER w AS nth, coalesce(lag(role) OVER w, '') AS was FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, t)),
-x AS (SELECT *, len('### ') + len(CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '?' || role END) + len(': ')
+x AS (SELECT *, len('### ') + len(CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant' ELSE '?' || url_encode(role) END) + len(': ')
              + len(regexp_replace(t, '(\\|###|</turn>)', '\\\1', 'g')) + len('</turn>') + 1 AS size,
              (was || '>' || role) IN ('>system', '>user', 'system>user', 'user>assistant', 'assistant>user') AS fits FROM o)
 SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY nth)) AS turns_sha256, coalesce(sum(len(t)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,

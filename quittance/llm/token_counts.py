@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD_START = "▁"
 CACHE = 1 << 19
+#: Largest vocabulary that is sent to the executors unless the caller allows more.
 MOST_PIECES = 2_000_000
 
 
@@ -35,8 +36,6 @@ class Automaton:
     def __init__(self, pieces: Iterable[str], mark: str = WORD_START) -> None:
         self.mark = mark
         vocabulary = {p for p in pieces if p}
-        if len(vocabulary) > MOST_PIECES:
-            raise ValueError(f"a vocabulary of {len(vocabulary)} pieces is over the bound of {MOST_PIECES}")
         edges: list[dict[str, int]] = [{}]
         cost: list[int] = [0]  # of ending here; 0: not a piece
         for piece in sorted(vocabulary | {c for p in vocabulary for c in p}):
@@ -108,8 +107,10 @@ def pieces_of(path: str) -> list[str]:
     return [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
 
 
-def count_tokens(docs: DataFrame, pieces: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_words, n_tokens of every row.  The vocabulary is sent to the executors; its size is bounded by MOST_PIECES."""
+def count_tokens(docs: DataFrame, pieces: list[str], doc_id: str = "doc_id", text: str = "text", most_pieces: int = MOST_PIECES) -> DataFrame:
+    """doc_id, n_words, n_tokens of every row.  The vocabulary is sent to the executors; one of more than most_pieces is refused."""
+    if len(pieces) > most_pieces:
+        raise ValueError(f"a vocabulary of {len(pieces)} pieces is over the bound of {most_pieces}")
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -594,6 +594,8 @@ def test_tokens(odd, small):
             want[i, len(w), sum(map(greedy, w))] += k
         assert Counter(tuple(r) for r in token_counts.count_tokens(df, pieces).collect()) == want
     assert token_counts.count_tokens(empty(odd), pieces).count() == 0
+    with pytest.raises(ValueError, match="over the bound"):
+        token_counts.count_tokens(odd, pieces, most_pieces=100)
 
 
 def test_automaton_random():

@@ -219,3 +219,17 @@ def test_chat_tables(spark):
     for r in df.orderBy("conv_id", "turn").collect():
         by.setdefault(r["conv_id"], []).append((r["role"], r["text"] or ""))
     assert {k: tuple(v)[1:5] for k, v in got.items()} == {k: digest(v) for k, v in by.items()}
+
+
+def test_chat_sql_on_unknown_roles(tmp_path):
+    """The SQL's lengths for roles that the template quotes."""
+    duckdb = pytest.importorskip("duckdb")
+    from quittance.llm.queries import ORACLE_SQL
+
+    roles = ["tool: x", "é/#", "", "plain-role_1.~"]
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+        db.executemany("INSERT INTO conversations VALUES (?, 0, ?, 'a')", [(k, r) for k, r in enumerate(roles)])
+        got = {r[0]: r[5] for r in db.execute(ORACLE_SQL["op8_chat_format"]).fetchall()}
+    for k, r in enumerate(roles):
+        assert got[k] == sum(len(x) for x, _ in chat.TEMPLATE.segments(r, "a")), r
