@@ -18,6 +18,7 @@ from quittance.functions.confidence import NOTHING_FITS, TIED, TOO_LOW, filled,
 from quittance.functions.money import MONEY, cents, fee_tolerance, from_cents
 from quittance.functions.subsets import find_subsets
 from quittance.plans.policy import Policy
+from quittance.plans.scratch import written
 
 #: pairs need payment_id, paid, amount, invoice_id, issue_date, balance, hit, customer (bool).
 
@@ -141,11 +142,11 @@ def scored(candidates: DataFrame) -> DataFrame:
 
 
 def all_candidates(counted: DataFrame, policy: Policy) -> DataFrame:
-    """Scored singles and combinations."""
-    one = singles(counted, policy)
+    """Scored singles and combinations; the pairs are written once, as both read them."""
     if not policy.allow_combinations:
-        return scored(one)
-    return scored(one.unionByName(combinations(counted, policy).drop("items", "fees")))
+        return scored(singles(counted, policy))
+    counted = written(counted, "counted-pairs")
+    return scored(singles(counted, policy).unionByName(combinations(counted, policy).drop("items", "fees")))
 
 
 def ranked(candidates: DataFrame) -> DataFrame:

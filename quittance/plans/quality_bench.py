@@ -15,7 +15,7 @@ from quittance.operators.report import quality
 from quittance.plans.engine import reconcile
 from quittance.plans.policy import DEFAULT, Policy
 from quittance.plans.scratch import there
-from quittance.sources.generate import Noise, generate
+from quittance.sources.generate import KINDS, Noise, generate, noise_at
 
 SCORES = ("precision", "recall", "f1", "review_rate")
 SCHEMA = "scenario string, level double, seed int, precision double, recall double, f1 double, review_rate double, runtime_ms double, payments bigint"
@@ -23,9 +23,9 @@ SCHEMA = "scenario string, level double, seed int, precision double, recall doub
 
 def scenarios(levels: Iterable[float] = (0.0, 0.1, 0.2, 0.3, 0.4, 0.5), most: float = 0.5) -> list[tuple[str, float, Noise]]:
     """All noise together at each level, then each kind alone and the reference kind with each other at the highest."""
-    out = [("overall", x, Noise.uniform(x)) for x in levels]
-    out += [(f"only:{d}", most, Noise.only(d, most)) for d in ("reference", "amount", "structure", "collision")]
-    return out + [(f"reference+{d}", most, Noise(**{"reference": most, d: most})) for d in ("amount", "structure", "collision")]
+    out = [("overall", x, noise_at(x)) for x in levels]
+    out += [(f"only:{d}", most, noise_at(most, d)) for d in KINDS]
+    return out + [(f"reference+{d}", most, noise_at(most, "reference", d)) for d in KINDS if d != "reference"]
 
 
 def run(spark: SparkSession, cases: list[tuple[str, float, Noise]], seeds: Iterable[int] = range(5), invoices: int = 400, policy: Policy = DEFAULT) -> DataFrame:

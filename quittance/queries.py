@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quittance.functions.confidence import HEADLINE, NOTHING_FITS, TIED, TOO_LOW
 from quittance.functions.money import MONEY, cents
 from quittance.operators import candidates, invariants, pairs, report, resolve, validate
 from quittance.plans.engine import reconcile
@@ -132,8 +133,7 @@ sp AS (
   SELECT *, CASE WHEN fee > 0 THEN (tolerance * 100)::hugeint ELSE 1::hugeint END AS t, (fee * 100)::hugeint AS f, {_POINTS} AS whole FROM cd),
 sc AS (
   SELECT *, least(greatest((2 * (whole * n * t + CASE WHEN named > 0 AND named < n THEN 1600 * named * t ELSE 0 END - 600 * f * n) + n * t) // (2 * n * t), 0), 9900)::int AS points,
-         CASE strategy WHEN 'exact_single' THEN 'exact amount' WHEN 'fee_tolerance' THEN 'amount within fee tolerance' WHEN 'combination' THEN 'combination of ' || n || ' invoices'
-              WHEN 'partial' THEN 'part payment, invoice stays open' ELSE 'pays the invoice in full and leaves a residual' END
+         CASE strategy {" ".join(f"WHEN '{k}' THEN '{v.format(n="' || n || '")}'" for k, v in HEADLINE.items())} END
          || CASE WHEN named >= n AND n = 1 THEN ' and reference' WHEN named >= n THEN ', reference matched all ' || n
                  WHEN named > 0 THEN ', reference matched ' || CASE WHEN named * 3 = n THEN 0 ELSE named END || ' of ' || n ELSE ', no reference' END AS headline
   FROM sp),
@@ -141,15 +141,17 @@ rk AS (
   SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY points DESC, n, tie, invoice_ids) AS rank,
          count(*) FILTER (points = top) OVER (PARTITION BY payment_id) AS tied
   FROM (SELECT *, max(points) OVER (PARTITION BY payment_id) AS top FROM sc))"""
-_DECIDED = """
+#: The confidence inside a phrase.
+_SQL_CONFIDENCE = "' || (points::decimal(10,4) / 10000)::decimal(5,4) || '"
+_DECIDED = f"""
 dc AS (
   SELECT o.id AS payment_id, o.amount AS came, r.* EXCLUDE (payment_id), CASE WHEN r.strategy IS NULL THEN 'no_candidate' WHEN r.tied > 1 THEN 'ambiguous' WHEN r.points < 8000 THEN 'below_threshold' END AS why
   FROM one o LEFT JOIN (SELECT * FROM rk WHERE rank = 1) r ON o.id = r.payment_id),
 rs AS (
   SELECT payment_id, CASE WHEN why = 'no_candidate' THEN 'unmatched' WHEN why IS NOT NULL THEN 'review' WHEN residual > 0 THEN 'partially_matched' ELSE 'matched' END AS status, why AS review_reason,
-         CASE why WHEN 'no_candidate' THEN 'no open invoice matches this payment'
-              WHEN 'ambiguous' THEN tied || ' allocations explain this payment equally well (confidence ' || (points::decimal(10,4) / 10000)::decimal(5,4) || '); the engine will not choose between them'
-              WHEN 'below_threshold' THEN 'best explanation scored ' || (points::decimal(10,4) / 10000)::decimal(5,4) || ', below the 0.80 threshold: ' || headline END AS message,
+         CASE why WHEN 'no_candidate' THEN '{NOTHING_FITS}'
+              WHEN 'ambiguous' THEN '{TIED.format(n="' || tied || '", confidence=_SQL_CONFIDENCE)}'
+              WHEN 'below_threshold' THEN '{TOO_LOW.format(confidence=_SQL_CONFIDENCE, threshold=DEFAULT.confidence_threshold, reason="' || headline || '")}' END AS message,
          CASE WHEN why IS NULL THEN strategy END AS strategy, CASE WHEN why IS NULL THEN invoice_ids END AS invoice_ids,
          CASE WHEN why IS NULL THEN (points::decimal(10,4) / 10000)::decimal(5,4) END AS confidence,
          CASE WHEN why IS NULL THEN allocated ELSE 0 END::decimal(18,2) AS allocated, CASE WHEN why IS NULL THEN fee ELSE 0 END::decimal(18,2) AS fee,

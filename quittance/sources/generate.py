@@ -6,7 +6,7 @@ the same in every run and needs no shared random state.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -19,6 +19,10 @@ COMPANIES = ("Kormoran Kft", "Talgrund GmbH", "Wexbury Ltd", "Duna Vas Zrt", "Fe
 JUNK = ("bank transfer", "for services", "with thanks", "march settlement", "their mark 7719034")
 
 
+# The kinds of noise and how a label shortens them.
+KINDS = {"reference": "ref", "amount": "amt", "structure": "struct", "collision": "coll"}
+
+
 @dataclass(frozen=True)
 class Noise:
     """Chances, 0 to 1, of each kind of mess."""
@@ -28,19 +32,18 @@ class Noise:
     structure: float = 0.0
     collision: float = 0.0
 
-    @classmethod
-    def uniform(cls, level: float) -> Noise:
-        return cls(level, level, level, level)
+    @property
+    def label(self) -> str:
+        """What there is of it, in short."""
+        there = [f"{short}={chance:.2f}" for kind, short in KINDS.items() if (chance := getattr(self, kind)) > 0]
+        return ", ".join(there) if there else "clean"
 
-    @classmethod
-    def only(cls, dimension: str, level: float) -> Noise:
-        if dimension not in {f.name for f in fields(cls)}:
-            raise ValueError(f"unknown noise dimension: {dimension}")
-        return cls(**{dimension: level})
 
-    def describe(self) -> str:
-        short = {"reference": "ref", "amount": "amt", "structure": "struct", "collision": "coll"}
-        return ", ".join(f"{s}={getattr(self, n):.2f}" for n, s in short.items() if getattr(self, n)) or "clean"
+def noise_at(level: float, *kinds: str) -> Noise:
+    """Noise of that level in the kinds named, or in all of them."""
+    if strange := set(kinds) - set(KINDS):
+        raise ValueError(f"no such kind of noise: {', '.join(sorted(strange))}")
+    return replace(Noise(), **dict.fromkeys(kinds or KINDS, level))
 
 
 @dataclass
@@ -75,6 +78,7 @@ def generate(spark: SparkSession, seed: int = 0, invoice_count: int = 240, custo
         F.concat(F.element_at(names, F.col("c") % len(COMPANIES) + 1), F.when(F.col("c") >= len(COMPANIES), F.concat(F.lit(" "), F.floor(F.col("c") / len(COMPANIES)).cast("string"))).otherwise("")).alias("customer_name"),
         F.concat(F.lit("INV-2026-"), F.lpad(k.cast("string"), 4, "0")).alias("number"), "issue_date", F.lit(None).cast("date").alias("due_date"), "amount", F.lit("EUR").alias("currency"), k.alias("k"), "c",
     )
+    # Fixed values from here on: shares of split payments, sizes of fees and of what is paid too much, forms of mistyped numbers.
     # groups: a chain of merges starts where the chance says so and takes one or two more invoices of the customer
     roll = _chance(seed, "structure", k)
     order = W.partitionBy("c").orderBy("k")

@@ -245,14 +245,14 @@ def test_generated_cases(spark):
     r = reconcile(clean.invoices, clean.payments)
     q = report.quality(r.allocations, clean.truth, r.results).first()
     assert q["precision"] == 1.0 and q["recall"] >= 0.99
-    noisy = generate.generate(spark, seed=3, invoice_count=200, noise=generate.Noise.uniform(0.3))
-    again = generate.generate(spark, seed=3, invoice_count=200, noise=generate.Noise.uniform(0.3))
+    noisy = generate.generate(spark, seed=3, invoice_count=200, noise=generate.noise_at(0.3))
+    again = generate.generate(spark, seed=3, invoice_count=200, noise=generate.noise_at(0.3))
     assert sorted(noisy.payments.collect()) == sorted(again.payments.collect())
     r = reconcile(noisy.invoices, noisy.payments)
     q = report.quality(r.allocations, noisy.truth, r.results).first()
     assert q["precision"] > 0.9 and 0.5 < q["recall"] < 1
     assert generate.truth_rows(noisy).count() == noisy.payments.count()
-    assert generate.Noise.only("amount", 0.2).describe() == "amt=0.20" and generate.Noise().describe() == "clean"
+    assert generate.noise_at(0.2, "amount").label == "amt=0.20" and generate.Noise().label == "clean"
 
 
 def test_stream_survives_a_restart(spark, tmp_path):
