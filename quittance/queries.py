@@ -328,7 +328,22 @@ def ref_evidence_exact(spark: SparkSession, d: str) -> DataFrame:
     return pairs.exact_evidence(pairs.by_customer(*_ready(spark, d, DEFAULT), DEFAULT)).select("payment_id", "invoice_id", "token_hit", "any_hit")
 
 
-@query("ref_evidence_fuzzy")
+_MISTYPED = """
+fz AS (SELECT id AS payment_id, date, currency, counterparty, CASE WHEN reference = '' THEN '' ELSE substr(reference, 1, 14) || ((substr(reference, 15, 1)::int + 1) % 10) END AS typed FROM pay WHERE counterparty <> ''),
+fp AS (
+  SELECT payment_id, i.id AS invoice_id, replace(i.number, '-', '') AS a, replace(typed, '-', '') AS b, typed <> '' AND coalesce(try_cast(substr(typed, 10) AS bigint) = i.k, false) AND substr(typed, 5, 4) = year(i.issue_date)::varchar AS exact
+  FROM fz JOIN inv i ON fz.counterparty = i.customer_name AND fz.currency = i.currency AND i.issue_date BETWEEN fz.date - 120 AND fz.date + 5),
+fn AS (SELECT DISTINCT a AS needle, b AS hay FROM fp WHERE b <> '' UNION SELECT DISTINCT b, a FROM fp WHERE b <> ''),
+fm AS (SELECT needle, hay, map_from_entries(list_transform(list_distinct(string_split(needle, '')), lambda c: {'k': c, 'v': list_sum(list_transform(range(0, 13), lambda i: CASE WHEN needle[(i + 1)::int] = c THEN (1::bigint << i::int) ELSE 0 END))::bigint})) AS masks FROM fn),
+fw AS (SELECT needle, hay, masks, substr(hay, greatest(o, 0) + 1, least(o + 13, 13) - greatest(o, 0)) AS w FROM fm, (SELECT unnest(range(-2, 3)) AS o)),
+fl AS (SELECT needle, hay, max(200 * (13 - bit_count(list_reduce(list_transform(string_split(w, ''), lambda c: coalesce(masks[c], 0)::bigint), lambda s, m: ((s + (s & m)) | (s - (s & m))) & 8191, 8191::bigint))) // (13 + len(w))) AS score FROM fw GROUP BY ALL),
+fs AS (
+  SELECT payment_id, invoice_id, exact, bool_or(exact) OVER (PARTITION BY payment_id) AS any_exact, greatest(coalesce(x.score, 0), coalesce(y.score, 0)) AS score
+  FROM fp LEFT JOIN fl x ON x.needle = a AND x.hay = b LEFT JOIN fl y ON y.needle = b AND y.hay = a),
+fh AS (SELECT payment_id, invoice_id, CASE WHEN any_exact THEN exact ELSE score >= 88 END AS hit, any_exact FROM fs)"""
+
+
+@query("ref_evidence_fuzzy", "SELECT payment_id, invoice_id, hit, any_exact AS any_hit FROM fh", (_MISTYPED,))
 def ref_evidence_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     """References with one digit mistyped: nothing is named exactly, the near misses count."""
     p, i = _ready(spark, d, DEFAULT)
