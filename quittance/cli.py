@@ -1,4 +1,4 @@
-"""python -m quittance.cli run INVOICES BANK --out FOLDER [--config JSON] | version"""
+"""python -m quittance.cli run INVOICES BANK --out FOLDER [--config JSON] | sample FOLDER | version"""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 from quittance import __version__
 from quittance.errors import InvariantViolation, LedgerError
 from quittance.plans.policy import Policy
-from quittance.sources import ledger
+from quittance.sources import generate, ledger
 from quittance.sources.runner import execute
 
 BAD_INPUT, BROKEN_LAW = 2, 3
@@ -31,6 +31,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quittance", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("version")
+    commands.add_parser("sample").add_argument("folder")
     run = commands.add_parser("run")
     run.add_argument("invoices")
     run.add_argument("bank")
@@ -42,6 +43,9 @@ def main(arguments: list[str] | None = None) -> int:
         print(__version__)
         return 0
     spark = SparkSession.builder.appName("quittance").getOrCreate()
+    if given.command == "sample":
+        print("\n".join(generate.write_case(generate.sample(spark), given.folder)))
+        return 0
     try:
         policy = Policy.from_json(open(given.config, encoding="utf-8").read()) if given.config else Policy()
         done = execute(spark, given.invoices, given.bank, given.out, policy, max_rows=given.max_rows)

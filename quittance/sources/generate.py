@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quittance.functions.money import MONEY
+from quittance.sources import ledger
 
 #: Payer names, and references that say nothing.
 COMPANIES = ("Kormoran Kft", "Talgrund GmbH", "Wexbury Ltd", "Duna Vas Zrt", "Fenyves Bt", "Aubépine SA", "Rautatie Oy", "Lindehof NV", "Silberhorn AG", "Montesole SpA")
@@ -131,3 +132,17 @@ def _corrupt(number: Column, k: Column, seed: int, part: Column) -> Column:
 def truth_rows(case: Case) -> DataFrame:
     """payment_id, invoice_ids (sorted, parted by spaces)."""
     return case.truth.groupBy("payment_id").agg(F.array_join(F.array_sort(F.collect_set("invoice_id")), " ").alias("invoice_ids"))
+
+
+def write_case(case: Case, folder: str) -> list[str]:
+    """invoices.csv, bank.csv and truth.csv of a case under folder, each a folder of parts with a header."""
+    paths = [f"{folder.rstrip('/')}/{n}" for n in ("invoices.csv", "bank.csv", "truth.csv")]
+    ledger.write_invoices(case.invoices, paths[0])
+    ledger.write_payments(case.payments, paths[1])
+    truth_rows(case).write.mode("overwrite").csv(paths[2], header=True)
+    return paths
+
+
+def sample(spark: SparkSession) -> Case:
+    """A small case to try the library with: 60 invoices, a little of every noise."""
+    return generate(spark, seed=20, invoice_count=60, noise=noise_at(0.1))

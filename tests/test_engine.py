@@ -329,6 +329,16 @@ def test_command_line(spark, tmp_path, capsys):
         execute(spark, str(tmp_path / "i.csv"), str(tmp_path / "b.csv"), f"{tmp_path}/out3", max_rows=0)
 
 
+def test_sample_case_runs_from_its_files(spark, tmp_path, capsys):
+    from quittance.cli import main
+
+    assert main(["sample", str(tmp_path / "case")]) == 0
+    assert main(["run", str(tmp_path / "case" / "invoices.csv"), str(tmp_path / "case" / "bank.csv"), "--out", str(tmp_path / "out")]) == 0
+    assert "invoices  60:" in capsys.readouterr().out
+    truth = spark.read.csv(str(tmp_path / "case" / "truth.csv"), header=True)
+    assert truth.columns == ["payment_id", "invoice_ids"] and truth.count() == generate.sample(spark).payments.count()
+
+
 def test_quality_bench(spark, tmp_path):
     from quittance.plans import quality_bench
 
