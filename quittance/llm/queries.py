@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quittance.llm import chat, decontam, html_gbt, line_rules, mixing, near_dup, quality_qda, suffix_dedup, token_counts, warc
+from quittance.llm import chat, decontam, html_gbt, importance, line_rules, mixing, near_dup, quality_qda, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), orders=(1,))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_qda": op1_quality_qda,
     "op2_line_rules": op2_line_rules,
@@ -71,10 +76,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_near_dup": op9_near_dup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op13_importance": op13_importance,
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _GAP = r"[\x20\x09-\x0D]+"
+_LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: crc32 of a string's UTF-8 bytes: a table of the polynomial's remainders, then a step per byte.
+_CRC_TABLE = "crc AS (SELECT list(list_reduce(list_prepend(i::bigint, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM range(256) AS t(i))"
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, 2 * octet_length(encode({0})) + 1, 2), lambda i: ('0x' || substr(hex(encode({0})), i::int, 2))::bigint)),
+            lambda c, b: xor(c >> 8, crc.steps[(xor(c, b) & 255)::int + 1])), 4294967295)"""
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_rules": rf"""
@@ -125,4 +136,18 @@ x AS (SELECT *, len('### ') + len(CASE role WHEN 'system' THEN 'System' WHEN 'us
 SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY nth)) AS turns_sha256, coalesce(sum(len(t)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
        sha256(coalesce(string_agg(t, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::bigint AS formatted_chars, bool_and(fits) AS valid
 FROM x GROUP BY conv_id""",
+    "op13_importance": rf"""
+WITH {_CRC_TABLE},
+d AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY ALL),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark) GROUP BY ALL),
+h AS (SELECT w, ({_CRC.format("w")} % 10000)::int AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc),
+s AS (SELECT b, sum(n)::double AS s FROM dw JOIN h USING (w) GROUP BY b),
+t AS (SELECT b, sum(n)::double AS t FROM bw JOIN h USING (w) GROUP BY b),
+g AS (SELECT b, floor(1000.0::double * ln((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM s) + 10000) / ((s + 1) * (coalesce((SELECT sum(t) FROM t), 0) + 10000))))::bigint AS gain FROM s LEFT JOIN t USING (b)),
+x AS (SELECT doc_id, sum(n * gain)::bigint AS weight FROM dw JOIN h USING (w) JOIN g USING (b) GROUP BY doc_id),
+y AS (SELECT doc_id, len(ws)::bigint AS n_features, coalesce(weight, 0) AS weight,
+      (coalesce(weight, 0) + floor(-1000.0::double * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296.0::double)))::bigint)::bigint AS score FROM d LEFT JOIN x USING (doc_id)),
+r AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place, count(*) FILTER (n_features >= 20) OVER () AS n FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM r""",
 }
