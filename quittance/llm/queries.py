@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quittance.llm import chat, decontam, html_gbt, importance, line_rules, mixing, near_dup, quality_qda, suffix_dedup, token_counts, warc
+from quittance.llm import chat, decontam, html_gbt, importance, line_rules, mixing, near_dup, piece_bpe, quality_qda, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +61,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    model = piece_bpe.read_model(path("piece_bpe_32k.model"))
+    out = piece_bpe.decode(piece_bpe.encode(_table(spark, sf_dir, "documents"), model), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), orders=(1,))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
@@ -76,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_near_dup": op9_near_dup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op12_piece_bpe": op12_piece_bpe,
     "op13_importance": op13_importance,
 }
 
