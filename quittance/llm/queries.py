@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quittance.llm import chat, decontam, html_gbt, importance, line_rules, mixing, near_dup, piece_bpe, quality_qda, suffix_dedup, token_counts, warc
+from quittance.llm import chat, decontam, html_gbt, importance, line_rules, mixing, near_dup, piece_bpe, quality_qda, spelling, suffix_dedup, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), every=31)
+
+
 def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_near_dup": op9_near_dup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_spelling": op11_spelling,
     "op12_piece_bpe": op12_piece_bpe,
     "op13_importance": op13_importance,
 }
@@ -147,6 +152,18 @@ x AS (SELECT *, len('### ') + len(CASE role WHEN 'system' THEN 'System' WHEN 'us
 SELECT conv_id, count(*)::bigint AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY nth)) AS turns_sha256, coalesce(sum(len(t)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
        sha256(coalesce(string_agg(t, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(size)::bigint AS formatted_chars, bool_and(fits) AS valid
 FROM x GROUP BY conv_id""",
+    "op11_spelling": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, {_LOWERED.format("w")} AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS w FROM documents) WHERE len(w) >= 7 GROUP BY ALL),
+h AS (SELECT w, n, {_CRC.format("(coalesce(doc_id::varchar, '') || ':' || w)")} AS h FROM r, crc),
+v AS (SELECT w, sum(n)::bigint AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % len(w))::int) || substr(w, (h % len(w))::int + 2) ELSE w END AS w, n FROM h) WHERE len(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+cut AS (SELECT w, n, k, left(w, k::int - 1) || substr(w, k::int + 1) AS c FROM (SELECT w, n, unnest(range(1, len(w) + 1)) AS k FROM v)),
+near AS (SELECT a.w, b.w AS o, b.n FROM cut a JOIN cut b ON a.c = b.c AND a.k = b.k AND a.w <> b.w UNION SELECT a.w, b.w, b.n FROM cut a JOIN v b ON a.c = b.w UNION SELECT b.w, a.w, a.n FROM cut a JOIN v b ON a.c = b.w),
+best AS (SELECT w, count(*) AS n_near, max(n) AS best_n, min(o) FILTER (n = m) AS best FROM (SELECT *, max(n) OVER (PARTITION BY w) AS m FROM near) GROUP BY w),
+f AS (SELECT v.w, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n FROM v LEFT JOIN best USING (w)),
+way AS (SELECT w, form AS last FROM f WHERE form IS NOT NULL UNION ALL SELECT way.w, f.form FROM way JOIN f ON way.last = f.w WHERE f.form IS NOT NULL),
+root AS (SELECT w, arg_max(last, n) AS root FROM (SELECT way.w, way.last, v.n FROM way JOIN v ON way.last = v.w) GROUP BY w)
+SELECT f.w AS word, form, coalesce(root, f.w) AS root, n, n_near, form_n FROM f LEFT JOIN root USING (w)""",
     "op13_importance": rf"""
 WITH {_CRC_TABLE},
 d AS (SELECT doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
