@@ -149,11 +149,6 @@ def _invoice_token(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"seq": pd.array([t and t[0] for t in found], "Int64"), "year": pd.array([t and t[1] for t in found], "Int32")})
 
 
-@F.pandas_udf(T.IntegerType())
-def similarity_of(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
-
-
 def is_ascii(c: Column) -> Column:
     return F.octet_length(c) == F.char_length(c)
 

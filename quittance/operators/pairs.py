@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quittance.functions.text import invoice_token_of, refs_of, similarity_of
+from quittance.functions.similar import similarity_above
+from quittance.functions.text import invoice_token_of, refs_of
 from quittance.plans.policy import Policy
 
 
@@ -78,5 +79,5 @@ def evidence(pairs: DataFrame, policy: Policy, fuzzy: bool = True) -> DataFrame:
     if not fuzzy:
         return d.withColumn("hit", F.col("token_hit"))
     rest = d.filter("not any_hit and reference <> ''").select("payment_id", "invoice_id", "number", "reference")
-    close = rest.withColumn("close", similarity_of("number", "reference") >= policy.fuzzy_ref_threshold).filter("close").select("payment_id", "invoice_id", "close")
+    close = rest.withColumn("close", similarity_above(policy.fuzzy_ref_threshold)("number", "reference") >= policy.fuzzy_ref_threshold).filter("close").select("payment_id", "invoice_id", "close")
     return d.join(close, ["payment_id", "invoice_id"], "left").withColumn("hit", F.col("token_hit") | F.coalesce("close", F.lit(False))).drop("close")
