@@ -52,9 +52,19 @@ def by_token(payments: DataFrame, invoices: DataFrame, policy: Policy) -> DataFr
 
 
 def by_currency(payments: DataFrame, invoices: DataFrame, policy: Policy) -> DataFrame:
-    """Pairs of every payment with all invoices of its currency in the window, customers ignored."""
+    """Pairs of every payment with all invoices of its currency in the window, customers ignored.
+
+    Days are cut into stretches as wide as the window: an invoice lies in one and a window
+    meets two at most, so rows meet by currency and stretch, never by currency alone.
+    """
+    wide = policy.date_window_days_after + policy.date_window_days_before + 1
+    stretch = lambda day: F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / wide)
     p, i = _payment_side(payments), _invoice_side(invoices)
-    return p.join(i, (p["currency"] == i["invoice_currency"]) & in_window(i["issue_date"], p["paid"], policy))
+    first, last = stretch(F.date_sub("paid", policy.date_window_days_after)), stretch(F.date_add("paid", policy.date_window_days_before))
+    p = p.withColumn("stretch", F.explode(F.sequence(first, last)))
+    i = i.withColumn("stretch", stretch(F.col("issue_date")))
+    met = (p["currency"] == i["invoice_currency"]) & (p["stretch"] == i["stretch"]) & in_window(i["issue_date"], p["paid"], policy)
+    return p.join(i, met).drop("stretch")
 
 
 def eligible(payments: DataFrame, invoices: DataFrame, policy: Policy) -> DataFrame:
