@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quittance.functions.confidence import NOTHING_FITS, TIED, TOO_LOW, filled, headline_of, points_of
+from quittance.functions.confidence import BUDGET_SPENT, NOTHING_FITS, TIED, TOO_LOW, filled, headline_of, points_of
 from quittance.functions.money import MONEY, cents, fee_tolerance, from_cents
 from quittance.functions.subsets import find_subsets
 from quittance.plans.policy import Policy
@@ -77,12 +77,14 @@ def widest_total(amount: Column, policy: Policy) -> Column:
     return F.least(upper, amount + F.lit(policy.fee_tolerance_cap)) if policy.fee_tolerance_cap is not None else upper
 
 
-def sums(width: DataFrame, policy: Policy) -> DataFrame:
-    """Subsets of 2 to max_combination_size pairs whose balances sum up to the amount or, for payments without any, to at most a fee more.
+def search(width: DataFrame, policy: Policy) -> DataFrame:
+    """payment_id, amount, customer, items, picks, cut of the payments that sums of invoices may explain: a written table.
 
-    A payment's pairs, at most max_combination_candidates, are one row; its subsets are searched
-    depth first in a kernel over batches of rows, and the first max_combinations_returned stay.
-    The pairs are dealt by payment already, so this adds no exchange.
+    picks are the subsets of 2 to max_combination_size pairs whose balances sum up to the amount or, if
+    there are none, to at most a fee more; cut says that the search ran out of its budget.  A payment's
+    pairs, at most max_combination_candidates, are one row; its subsets are searched depth first in a
+    kernel over batches of rows, and the first max_combinations_returned stay.  The pairs are dealt by
+    payment already, so this adds no exchange.
     """
     item = F.struct(F.col("pos"), F.col("invoice_id"), cents(F.col("balance")).alias("cents"), F.col("hit"), F.col("tie"))
     one = width.groupBy("payment_id").agg(F.first("amount").alias("amount"), F.first("customer").alias("customer"), F.sort_array(F.collect_list(item)).alias("items"))
@@ -93,15 +95,24 @@ def sums(width: DataFrame, policy: Policy) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            picks = []
+            picks, cuts = [], []
             for owed, least, most in zip(*(b.column(c).to_pylist() for c in ("owed", "least", "most")), strict=True):
-                found, _ = find_subsets(owed, least, least, **bounds)
-                picks.append(found or find_subsets(owed, least, most, **bounds)[0])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(picks, pa.list_(pa.list_(pa.int32())))], [*b.schema.names, "picks"])
-
-    schema = T.StructType([*one.schema.fields, T.StructField("picks", T.ArrayType(T.ArrayType(T.IntegerType())))])
-    each = one.mapInArrow(run, schema).select("payment_id", "amount", "customer", "items", F.size("picks").cast("long").alias("found"), F.explode("picks").alias("pick"))
-    each = each.select("payment_id", "amount", "customer", "found", F.transform("pick", lambda k: F.get(F.col("items"), k)).alias("items"))
+                found, cut = find_subsets(owed, least, least, **bounds)
+                if not found:
+                    found, more = find_subsets(owed, least, most, **bounds)
+                    cut = cut or more
+                picks.append(found)
+                cuts.append(cut)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(picks, pa.list_(pa.list_(pa.int32()))), pa.array(cuts, pa.bool_())], [*b.schema.names, "picks", "cut"])
+
+    schema = T.StructType([*one.schema.fields, T.StructField("picks", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("cut", T.BooleanType())])
+    return written(one.mapInArrow(run, schema).filter("cut or size(picks) > 0").drop("owed", "least", "most"), "subset-sums")
+
+
+def sums(searched: DataFrame) -> DataFrame:
+    """The subsets that a search found, a row each, with their items and total, how many their payment has, and cut."""
+    each = searched.select("payment_id", "amount", "customer", "items", "cut", F.size("picks").cast("long").alias("found"), F.explode("picks").alias("pick"))
+    each = each.select("payment_id", "amount", "customer", "cut", "found", F.transform("pick", lambda k: F.get(F.col("items"), k)).alias("items"))
     total = F.aggregate("items", F.lit(0).cast("long"), lambda a, x: a + x["cents"])
     return each.withColumn("total", from_cents(total).cast("decimal(20,2)"))
 
@@ -118,9 +129,9 @@ def apportioned(amount: Column, weights: Column) -> Column:
     return F.transform(floors, lambda x, i: x + F.when(F.array_contains(lucky, i), 1).otherwise(0))
 
 
-def combinations(counted: DataFrame, policy: Policy) -> DataFrame:
-    """Candidates of several invoices: exact sums or, for payments without any, sums within the fee tolerance."""
-    d = sums(ranked_width(counted, policy), policy)
+def combinations(searched: DataFrame, policy: Policy) -> DataFrame:
+    """Candidates of several invoices: exact sums or, for payments without any, sums within the fee tolerance.  A search that was cut proves none unique."""
+    d = sums(searched)
     d = d.withColumn("fee", (F.col("total") - F.col("amount")).cast(MONEY)).withColumn("tolerance", fee_tolerance(F.col("total"), policy))
     weights = F.transform("items", lambda x: x["cents"])
     d = d.withColumn("fees", F.when(F.col("fee") > 0, apportioned(cents(F.col("fee")), weights)).otherwise(F.transform("items", lambda x: F.lit(0).cast("long"))))
@@ -128,7 +139,7 @@ def combinations(counted: DataFrame, policy: Policy) -> DataFrame:
     named = F.size(F.filter("items", lambda x: x["hit"]))
     return d.select(
         "payment_id", F.lit("combination").alias("strategy"), F.array_join(F.transform("items", lambda x: x["invoice_id"]), "+").alias("invoice_ids"), F.size("items").alias("n"), named.alias("named"), "customer",
-        (F.col("found") == 1).alias("unique"), F.lit(False).alias("sole"), F.col("amount").cast(MONEY).alias("allocated"), "fee", F.lit(0).cast(MONEY).alias("residual"),
+        ((F.col("found") == 1) & ~F.col("cut")).alias("unique"), F.lit(False).alias("sole"), F.col("amount").cast(MONEY).alias("allocated"), "fee", F.lit(0).cast(MONEY).alias("residual"),
         F.when(F.col("fee") > 0, F.col("tolerance")).otherwise(F.lit(0)).cast(MONEY).alias("tolerance"), F.array_min(F.transform("items", lambda x: F.struct(x["tie"].alias("tie"), x["invoice_id"].alias("id"))))["tie"].alias("tie"),
         F.col("items"), F.col("fees"),
     )
@@ -141,12 +152,13 @@ def scored(candidates: DataFrame) -> DataFrame:
     return d.withColumn("confidence", (F.col("points").cast("decimal(10,4)") / 10000).cast("decimal(5,4)")).withColumn("headline", headline_of(F.col("strategy"), F.col("n"), F.col("named")))
 
 
-def all_candidates(counted: DataFrame, policy: Policy) -> DataFrame:
-    """Scored singles and combinations; the pairs are written once, as both read them."""
+def all_candidates(counted: DataFrame, policy: Policy) -> tuple[DataFrame, DataFrame | None]:
+    """Scored singles and combinations, and the payments (payment_id) whose search was cut; the pairs are written once, as both read them."""
     if not policy.allow_combinations:
-        return scored(singles(counted, policy))
+        return scored(singles(counted, policy)), None
     counted = written(counted, "counted-pairs")
-    return scored(singles(counted, policy).unionByName(combinations(counted, policy).drop("items", "fees")))
+    searched = search(ranked_width(counted, policy), policy)
+    return scored(singles(counted, policy).unionByName(combinations(searched, policy).drop("items", "fees"))), searched.filter("cut").select("payment_id")
 
 
 def ranked(candidates: DataFrame) -> DataFrame:
@@ -157,19 +169,23 @@ def ranked(candidates: DataFrame) -> DataFrame:
     return d.withColumn("tied", F.count_if(F.col("level") == 1).over(W.partitionBy("payment_id"))).drop("level")
 
 
-def decide(payments: DataFrame, ranks: DataFrame, policy: Policy) -> DataFrame:
-    """A row per payment: status, review reason and message, and what was applied."""
+def decide(payments: DataFrame, ranks: DataFrame, policy: Policy, cuts: DataFrame | None = None) -> DataFrame:
+    """A row per payment: status, review reason and message, what was applied, and whether its search is among cuts."""
     top = ranks.filter("rank = 1").drop("rank")
     d = payments.select(F.col("id").alias("payment_id"), "amount").join(top, "payment_id", "left")
+    cut = F.lit(False)
+    if cuts is not None:
+        d, cut = d.join(cuts.select("payment_id", F.lit(True).alias("cut")), "payment_id", "left"), F.coalesce("cut", F.lit(False))
     ambiguous = (F.col("tied") > 1) if policy.ambiguity_policy == "review" else F.lit(False)
     low = F.col("points") < F.lit(policy.threshold_points)
-    why = F.when(F.col("strategy").isNull(), "no_candidate").when(ambiguous, "ambiguous").when(low, "below_threshold")
+    why = F.when(F.col("strategy").isNull() & cut, "search_truncated").when(F.col("strategy").isNull(), "no_candidate").when(ambiguous, "ambiguous").when(low, "below_threshold")
     d = d.withColumn("review_reason", why)
     applied = F.col("review_reason").isNull()
     status = F.when(F.col("strategy").isNull(), "unmatched").when(~applied, "review").when(F.col("residual") > 0, "partially_matched").otherwise("matched")
     reason, confidence = F.col("review_reason"), F.col("confidence")
     message = (
         F.when(reason == "no_candidate", NOTHING_FITS)
+        .when(reason == "search_truncated", BUDGET_SPENT)
         .when(reason == "ambiguous", filled(TIED, n=F.col("tied"), confidence=confidence))
         .when(reason == "below_threshold", filled(TOO_LOW, confidence=confidence, threshold=F.lit(str(policy.confidence_threshold)), reason=F.col("headline")))
     )
@@ -178,8 +194,22 @@ def decide(payments: DataFrame, ranks: DataFrame, policy: Policy) -> DataFrame:
     return d.select(
         "payment_id", status.alias("status"), "review_reason", message.alias("message"), kept("strategy").alias("strategy"), kept("invoice_ids").alias("invoice_ids"), kept("confidence").alias("confidence"),
         used.cast(MONEY).alias("allocated"), F.when(applied, F.col("fee")).otherwise(F.lit(0)).cast(MONEY).alias("fee"), (F.col("amount") - used).cast(MONEY).alias("left_over"),
-        F.coalesce(F.col("tied"), F.lit(0)).cast("long").alias("tied"),
+        F.coalesce(F.col("tied"), F.lit(0)).cast("long").alias("tied"), cut.alias("search_truncated"),
     )
 
 
-__all__ = ["all_candidates", "apportioned", "combinations", "decide", "from_cents", "ranked", "ranked_width", "scored", "singles", "sums", "tie_key", "with_counts"]
+def applied_parts(decided: DataFrame, invoices: DataFrame) -> DataFrame:
+    """(payment_id, invoice_id, amount, fee) of the decisions that move money; a sum's parts are its invoices' balances less their shares of the fee."""
+    moved = decided.filter("strategy is not null")
+    one = moved.filter("strategy <> 'combination'").select("payment_id", F.col("invoice_ids").alias("invoice_id"), F.col("allocated").alias("amount"), "fee")
+    each = moved.filter("strategy = 'combination'").select("payment_id", F.col("fee").alias("short"), F.posexplode(F.split("invoice_ids", r"\+")).alias("pos", "invoice_id"))
+    each = each.join(invoices.select(F.col("id").alias("invoice_id"), cents(F.col("amount")).alias("owed")), "invoice_id")
+    sums_ = each.groupBy("payment_id", "short").agg(F.sort_array(F.collect_list(F.struct("pos", "invoice_id", "owed"))).alias("items"))
+    owed = F.transform("items", lambda x: x["owed"])
+    shares = F.when(F.col("short") > 0, apportioned(cents(F.col("short")), owed)).otherwise(F.transform("items", lambda x: F.lit(0).cast("long")))
+    parts = sums_.select("payment_id", F.explode(F.arrays_zip("items", shares.alias("share"))).alias("x"))
+    several = parts.select("payment_id", F.col("x.items.invoice_id").alias("invoice_id"), from_cents(F.col("x.items.owed") - F.col("x.share")).alias("amount"), from_cents(F.col("x.share")).alias("fee"))
+    return one.unionByName(several)
+
+
+__all__ = ["all_candidates", "applied_parts", "apportioned", "combinations", "decide", "from_cents", "ranked", "ranked_width", "scored", "search", "singles", "sums", "tie_key", "with_counts"]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from quittance.functions.confidence import HEADLINE, NOTHING_FITS, TIED, TOO_LOW
 from quittance.functions.money import MONEY, cents
 from quittance.operators import candidates, invariants, pairs, report, resolve, validate
-from quittance.plans.engine import reconcile
+from quittance.plans.engine import Reconciliation, reconcile
 from quittance.plans.policy import Policy
 from quittance.plans.scratch import root, written
 from quittance.sources import derived, history, mapping
@@ -175,10 +176,10 @@ def _ledger(spark: SparkSession, d: str) -> DataFrame:
     return derived.invoices(spark, d)
 
 
-def _counted(spark: SparkSession, d: str, policy: Policy, single: bool = False, collide: bool = False) -> DataFrame:
+def _counted(spark: SparkSession, d: str, policy: Policy) -> DataFrame:
     """Counted pairs of payments with a known customer.  References name their invoices exactly, so no fuzzy tier is needed."""
-    p = derived.single_payments(spark, d, collide) if single else derived.payments(spark, d)
-    i = derived.invoices(spark, d, collide)
+    p = derived.payments(spark, d)
+    i = derived.invoices(spark, d)
     known = resolve.resolve(pairs.with_refs(p), i, policy.fuzzy_ref_threshold, fuzzy=False)
     found = pairs.evidence(pairs.by_customer(known, pairs.with_token(i), policy), policy, fuzzy=False)
     return candidates.with_counts(found.withColumn("customer", F.lit(True)), policy)
@@ -371,14 +372,18 @@ for _name in ("exact_single", "fee_tolerance", "partial", "overpayment"):
     _strategy(_name)
 
 
+def _searched(spark: SparkSession, d: str, policy: Policy) -> DataFrame:
+    return candidates.search(candidates.ranked_width(_counted(spark, d, policy), policy), policy)
+
+
 @query("combos_exact", f"SELECT {', '.join(_CANDIDATE)} FROM cb WHERE fee = 0", (_sql_pairs("pay", 900, 5), _COMBOS))
 def combos_exact(spark: SparkSession, d: str) -> DataFrame:
-    return _shape(candidates.combinations(_counted(spark, d, WIDE), WIDE)).filter("fee = 0")
+    return _shape(candidates.combinations(_searched(spark, d, WIDE), WIDE)).filter("fee = 0")
 
 
 @query("combos_fee", f"SELECT {', '.join(_CANDIDATE)} FROM cb WHERE fee > 0", (_sql_pairs("pay", 900, 5), _COMBOS))
 def combos_fee(spark: SparkSession, d: str) -> DataFrame:
-    return _shape(candidates.combinations(_counted(spark, d, WIDE), WIDE)).filter("fee > 0")
+    return _shape(candidates.combinations(_searched(spark, d, WIDE), WIDE)).filter("fee > 0")
 
 
 @query(
@@ -391,8 +396,7 @@ def combos_fee(spark: SparkSession, d: str) -> DataFrame:
 )
 def apportion_fee(spark: SparkSession, d: str) -> DataFrame:
     """The fee of every sum above the payment, shared among its invoices, whether or not it is small enough to be one."""
-    loose = Policy(date_window_days_after=900)
-    near = candidates.sums(candidates.ranked_width(_counted(spark, d, loose), loose), loose).filter("total > amount")
+    near = candidates.sums(_searched(spark, d, WIDE)).filter("total > amount")
     fees = candidates.apportioned(cents((F.col("total") - F.col("amount")).cast(MONEY)), F.transform("items", lambda x: x["cents"]))
     named = F.array_join(F.transform("items", lambda x: x["invoice_id"]), "+")
     return near.select("payment_id", named.alias("invoice_ids"), F.posexplode(fees).alias("place", "cents")).select("payment_id", "invoice_ids", (F.col("place") + 1).cast("int").alias("place"), "cents")
@@ -403,14 +407,6 @@ _SNAPSHOT = (_sql_pairs("one", 120, 5), _COMBOS.lstrip(), _ALL, _SCORED)
 _WIDE_SNAPSHOT = (_sql_pairs("one", 900, 5), _COMBOS.lstrip(), _ALL, _SCORED)
 
 
-def _ranks(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> DataFrame:
-    return candidates.ranked(candidates.all_candidates(_counted(spark, d, policy, single=True, collide=collide), policy))
-
-
-def _decided(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> DataFrame:
-    return candidates.decide(derived.single_payments(spark, d, collide), _ranks(spark, d, policy, collide), policy)
-
-
 # --- scores, ranks and decisions of every payment of the statement, rivals and strangers included, at opening balances ---------
 
 _STRANGERS = """
@@ -425,8 +421,8 @@ _WIDE_EVERY = (_sql_pairs("pay", 900, 5).replace("),\nct AS (", _STRANGERS.forma
 _EVERY_DECIDED = _DECIDED.replace("FROM one o", "FROM pay o")
 
 
-def _every(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> DataFrame:
-    """Candidates of all payments: with a known customer by customer, else by the invoices their reference names."""
+def _every(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Candidates of all payments, and those whose search was cut: with a known customer by customer, else by the invoices their reference names."""
     i = derived.invoices(spark, d, collide)
     known = resolve.resolve(pairs.with_refs(derived.payments(spark, d, collide)), i, policy.fuzzy_ref_threshold, fuzzy=False)
     found = pairs.evidence(pairs.eligible(known, pairs.with_token(i), policy), policy, fuzzy=False)
@@ -434,29 +430,30 @@ def _every(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool
 
 
 def _every_decided(spark: SparkSession, d: str, policy: Policy = DEFAULT, collide: bool = False) -> DataFrame:
-    return candidates.decide(derived.payments(spark, d, collide), candidates.ranked(_every(spark, d, policy, collide)), policy)
+    found, cuts = _every(spark, d, policy, collide)
+    return candidates.decide(derived.payments(spark, d, collide), candidates.ranked(found), policy, cuts)
 
 
 @query("score_every_payment", "SELECT payment_id, strategy, invoice_ids, points, headline, (points::decimal(10,4) / 10000)::decimal(5,4) AS confidence FROM sc", _EVERY)
 def score_every_payment(spark: SparkSession, d: str) -> DataFrame:
-    return _every(spark, d).select("payment_id", "strategy", "invoice_ids", "points", "headline", "confidence")
+    return _every(spark, d)[0].select("payment_id", "strategy", "invoice_ids", "points", "headline", "confidence")
 
 
 @query("rank_every_payment", "SELECT payment_id, invoice_ids, strategy, points, rank::int AS rank FROM rk", _EVERY)
 def rank_every_payment(spark: SparkSession, d: str) -> DataFrame:
-    return candidates.ranked(_every(spark, d)).select("payment_id", "invoice_ids", "strategy", "points", F.col("rank").cast("int"))
+    return candidates.ranked(_every(spark, d)[0]).select("payment_id", "invoice_ids", "strategy", "points", F.col("rank").cast("int"))
 
 
 @query("tied_every_payment", "SELECT payment_id, invoice_ids, points, tied::bigint AS tied FROM rk WHERE points = top AND tied > 1", _WIDE_EVERY, _COLLIDED)
 def tied_every_payment(spark: SparkSession, d: str) -> DataFrame:
     best = F.max("points").over(W.partitionBy("payment_id"))
-    r = candidates.ranked(_every(spark, d, WIDE, collide=True)).withColumn("top", best)
+    r = candidates.ranked(_every(spark, d, WIDE, collide=True)[0]).withColumn("top", best)
     return r.filter("points = top and tied > 1").select("payment_id", "invoice_ids", "points", F.col("tied").cast("long"))
 
 
 @query("decide_every_payment", "SELECT * FROM rs", (*_EVERY, _EVERY_DECIDED))
 def decide_every_payment(spark: SparkSession, d: str) -> DataFrame:
-    return _every_decided(spark, d)
+    return _every_decided(spark, d).drop("search_truncated")
 
 
 @query("review_every_payment", "SELECT payment_id, review_reason, message FROM rs WHERE review_reason IS NOT NULL", (*_WIDE_EVERY, _EVERY_DECIDED), _COLLIDED)
@@ -464,6 +461,61 @@ def review_every_payment(spark: SparkSession, d: str) -> DataFrame:
     return _every_decided(spark, d, WIDE, collide=True).filter("review_reason is not null").select("payment_id", "review_reason", "message")
 
 
+def _sql_search(name: str, upper: str, budget: int, of: str = "vl") -> str:
+    """The bounded search step by step: a row per payment and step, with the places to go on from, those picked, and what was found."""
+    k, last = "stack[len(stack)]", "list_slice(stack, 1, len(stack) - 1)"
+    pop = "CASE WHEN len(picked) > 0 THEN total - v[picked[len(picked)]] ELSE total END"
+    less = "CASE WHEN len(picked) > 0 THEN list_slice(picked, 1, len(picked) - 1) ELSE picked END"
+    return f"""
+{name}0 AS (
+  SELECT payment_id, v, n, reach, amount, {upper} AS upper, [1]::int[] AS stack, []::int[] AS picked, 0::decimal(20,2) AS total, 0 AS spent, []::int[][] AS found, false AS cut FROM {of}
+  UNION ALL
+  SELECT payment_id, v, n, reach, amount, upper,
+         CASE kind WHEN 'pop' THEN {last} WHEN 'skip' THEN list_append({last}, {k} + 1) WHEN 'push' THEN list_append(list_append({last}, {k} + 1), {k} + 1) WHEN 'take' THEN list_append({last}, {k} + 1) ELSE []::int[] END,
+         CASE kind WHEN 'pop' THEN {less} WHEN 'push' THEN list_append(picked, {k}) ELSE picked END,
+         (CASE kind WHEN 'pop' THEN {pop} WHEN 'push' THEN total + v[{k}] ELSE total END)::decimal(20,2),
+         CASE WHEN free THEN spent ELSE spent + 1 END,
+         CASE WHEN kind IN ('push', 'take') AND len(picked) >= 1 AND total + v[{k}] >= amount THEN list_append(found, list_append(picked, {k})) ELSE found END, kind = 'cut'
+  FROM (SELECT *, {k} > n OR len(picked) >= 4 AS free,
+               CASE WHEN {k} > n OR len(picked) >= 4 THEN 'pop' WHEN spent + 1 > {budget} THEN 'cut' WHEN total + reach[{k}] < amount THEN 'pop' WHEN total + v[{k}] > upper THEN 'skip'
+                    WHEN len(picked) < 3 AND {k} < n AND total + v[{k}] + reach[{k} + 1] >= amount THEN 'push' ELSE 'take' END AS kind
+        FROM {name}0 WHERE len(stack) > 0)),
+{name} AS (SELECT payment_id, amount, found, cut FROM {name}0 WHERE len(stack) = 0)"""
+
+
+_FEW = 5
+_FEW_COMBOS = (
+    _COMBOS[: _COMBOS.index("\nex AS")].lstrip()
+    + """
+vl0 AS (SELECT payment_id, any_value(amount) AS amount, list(balance ORDER BY dfs) AS v, count(*)::int AS n FROM wd WHERE pos <= 24 GROUP BY payment_id),
+vl AS (SELECT *, list_append(list_transform(range(1, n + 1), lambda i: list_sum(list_slice(v, i, n))), 0) AS reach FROM vl0),"""
+    + _sql_search("sx", "amount", _FEW)
+    + ",\nvn AS (SELECT * FROM vl WHERE payment_id NOT IN (SELECT payment_id FROM sx WHERE len(found) > 0)),"
+    + _sql_search("sn", _UPPER.replace("t0.amount", "amount"), _FEW, "vn")
+    + """,
+sa AS (SELECT sx.payment_id, sx.amount, coalesce(sn.found, sx.found) AS found, sx.cut OR coalesce(sn.cut, false) AS cut FROM sx LEFT JOIN sn USING (payment_id)),
+su AS (SELECT payment_id, amount, len(found) AS found, cut, generate_subscripts(found, 1) AS nth, unnest(found) AS pick FROM sa),
+al AS (SELECT u.payment_id, u.amount, u.found, u.cut, string_agg(invoice_id, '+' ORDER BY pos) AS invoice_ids, count(*) AS n, sum(hit::int) AS named, sum(balance)::decimal(18,2) AS total, min(issue_date) AS tie
+       FROM (SELECT *, unnest(pick) AS place FROM su) u JOIN wd ON wd.payment_id = u.payment_id AND wd.dfs = place GROUP BY u.payment_id, u.amount, u.found, u.cut, u.nth),
+"""
+    + _COMBOS[_COMBOS.index("cb AS (") :].replace("found = 1 AS uniq", "found = 1 AND NOT cut AS uniq")
+)
+
+
+@query(
+    "decide_small_budget",
+    """SELECT payment_id, CASE WHEN status = 'unmatched' AND coalesce(cut, false) THEN 'search_truncated' ELSE review_reason END AS review_reason, status, strategy, invoice_ids, confidence, coalesce(cut, false) AS search_truncated
+       FROM rs LEFT JOIN sa USING (payment_id)""",
+    (_sql_pairs("pay", 900, 5).replace("),\nct AS (", _STRANGERS.format(900)), _FEW_COMBOS, _ALL, _EVERY_SCORED, _EVERY_DECIDED),
+)
+def decide_small_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Every payment where the search for sums ends after five steps: what is found then proves nothing unique, and the payment says so."""
+    return _every_decided(spark, d, replace(WIDE, search_node_budget=_FEW)).select("payment_id", "review_reason", "status", "strategy", "invoice_ids", "confidence", "search_truncated")
+
+
+ORACLE_SQL["decide_small_budget"] = ORACLE_SQL["decide_small_budget"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 #: Operator, and the query that applies it to every payment; both names are registered.
 for _operator, _query in (
     ("score_candidates", "score_every_payment"), ("rank_candidates", "rank_every_payment"), ("tied_candidates", "tied_every_payment"),
@@ -472,25 +524,30 @@ for _operator, _query in (
     QUERIES[_operator], ORACLE_SQL[_operator] = QUERIES[_query], ORACLE_SQL[_query]
 
 
-# --- results of a snapshot: allocations of single-invoice decisions ------------------------------------------
+# --- results of all decisions at opening balances: allocations, fees, states, report ------------------------------------------
 
 _MOVED = """
-ac AS (SELECT payment_id, invoice_ids AS invoice_id, allocated AS amount FROM rs WHERE strategy IS NOT NULL AND strategy <> 'combination'),
-fe AS (SELECT payment_id, invoice_ids AS invoice_id, fee AS amount FROM rs WHERE fee > 0 AND strategy <> 'combination'),
+sp0 AS (SELECT payment_id, (fee * 100)::hugeint AS s, string_split(invoice_ids, '+') AS ids FROM rs WHERE strategy = 'combination'),
+sp1 AS (SELECT sp0.*, i, inv.id AS invoice_id, (inv.amount * 100)::hugeint AS w FROM (SELECT payment_id, s, generate_subscripts(ids, 1) AS i, unnest(ids) AS id FROM sp0) sp0 JOIN inv ON inv.id = sp0.id),
+sp2 AS (SELECT *, (s * w) // sum(w) OVER p AS part, (s * w) % sum(w) OVER p AS rem FROM sp1 WINDOW p AS (PARTITION BY payment_id)),
+sp3 AS (SELECT *, row_number() OVER (PARTITION BY payment_id ORDER BY rem DESC, w DESC, i) AS nth, s - sum(part) OVER (PARTITION BY payment_id) AS spare FROM sp2),
+sp4 AS (SELECT payment_id, invoice_id, w, part + CASE WHEN nth <= spare THEN 1 ELSE 0 END AS f FROM sp3),
+ac AS (SELECT payment_id, invoice_ids AS invoice_id, allocated AS amount FROM rs WHERE strategy IS NOT NULL AND strategy <> 'combination' UNION ALL SELECT payment_id, invoice_id, ((w - f)::decimal(20,0) / 100)::decimal(18,2) FROM sp4),
+fe AS (SELECT payment_id, invoice_ids AS invoice_id, fee AS amount FROM rs WHERE fee > 0 AND strategy <> 'combination' UNION ALL SELECT payment_id, invoice_id, (f::decimal(20,0) / 100)::decimal(18,2) FROM sp4 WHERE f > 0),
 st0 AS (SELECT i.id AS invoice_id, i.amount AS face_value, coalesce(a.x, 0)::decimal(18,2) AS allocated, coalesce(f.x, 0)::decimal(18,2) AS fee_written_off
         FROM inv i LEFT JOIN (SELECT invoice_id, sum(amount) AS x FROM ac GROUP BY 1) a ON a.invoice_id = i.id LEFT JOIN (SELECT invoice_id, sum(amount) AS x FROM fe GROUP BY 1) f ON f.invoice_id = i.id),
 st AS (SELECT invoice_id, CASE WHEN face_value = allocated + fee_written_off AND fee_written_off > 0 THEN 'settled_with_fee' WHEN face_value = allocated + fee_written_off THEN 'paid' WHEN allocated > 0 THEN 'partially_paid' ELSE 'open' END AS status,
               face_value, allocated, fee_written_off, (face_value - allocated - fee_written_off)::decimal(18,2) AS open_balance FROM st0),
-re AS (SELECT o.id AS payment_id, (o.amount - coalesce(a.x, 0))::decimal(18,2) AS amount FROM one o LEFT JOIN (SELECT payment_id, sum(amount) AS x FROM ac GROUP BY 1) a ON a.payment_id = o.id WHERE coalesce(a.x, 0) < o.amount)"""
-_RESULT = (*_SNAPSHOT, _DECIDED, _MOVED)
+re AS (SELECT o.id AS payment_id, (o.amount - coalesce(a.x, 0))::decimal(18,2) AS amount FROM pay o LEFT JOIN (SELECT payment_id, sum(amount) AS x FROM ac GROUP BY 1) a ON a.payment_id = o.id WHERE coalesce(a.x, 0) < o.amount)"""
+_RESULT = (*_EVERY, _EVERY_DECIDED, _MOVED)
 
 
 def _moved(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    r = written(_decided(spark, d), "decided")  # what follows reads it several times
-    one = r.filter("strategy is not null and strategy <> 'combination'")
-    a = one.select("payment_id", F.col("invoice_ids").alias("invoice_id"), F.col("allocated").alias("amount"))
-    f = one.filter("fee > 0").select("payment_id", F.col("invoice_ids").alias("invoice_id"), F.col("fee").alias("amount"))
-    i, p = _ledger(spark, d), derived.single_payments(spark, d)
+    """What all payments move if each sees opening balances: rivals then take an invoice twice, as the bounds of the invariants tell."""
+    r = written(_every_decided(spark, d), "decided")  # what follows reads it several times
+    i, p = _ledger(spark, d), derived.payments(spark, d)
+    parts = written(candidates.applied_parts(r, i), "applied-parts")
+    a, f = parts.select("payment_id", "invoice_id", "amount"), parts.filter("fee > 0").select("payment_id", "invoice_id", F.col("fee").alias("amount"))
     return {"results": r, "allocations": a, "fees": f, "invoices": i, "payments": p, "states": report.invoice_states(i, a, f), "residuals": report.residuals(p, a)}
 
 
@@ -506,17 +563,18 @@ def invoice_states(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "run_report",
-    """SELECT (SELECT count(*) FROM one) AS payments_total, (SELECT count(*) FROM rs WHERE status = 'matched') AS payments_matched, (SELECT count(*) FROM rs WHERE status = 'partially_matched') AS payments_partially_matched,
+    """SELECT (SELECT count(*) FROM pay) AS payments_total, (SELECT count(*) FROM rs WHERE status = 'matched') AS payments_matched, (SELECT count(*) FROM rs WHERE status = 'partially_matched') AS payments_partially_matched,
        (SELECT count(*) FROM rs WHERE status = 'review') AS payments_in_review, (SELECT count(*) FROM rs WHERE status = 'unmatched') AS payments_unmatched, (SELECT count(*) FROM st) AS invoices_total,
        (SELECT count(*) FROM st WHERE status = 'paid') AS invoices_paid, (SELECT count(*) FROM st WHERE status = 'settled_with_fee') AS invoices_settled_with_fee, (SELECT count(*) FROM st WHERE status = 'partially_paid') AS invoices_partially_paid,
-       (SELECT count(*) FROM st WHERE status = 'open') AS invoices_open, (SELECT sum(amount) FROM one)::decimal(18,2) AS money_in, (SELECT sum(amount) FROM ac)::decimal(18,2) AS money_allocated,
-       (SELECT sum(amount) FROM fe)::decimal(18,2) AS money_fees, (SELECT sum(amount) FROM re)::decimal(18,2) AS money_residual""",
+       (SELECT count(*) FROM st WHERE status = 'open') AS invoices_open, (SELECT sum(amount) FROM pay)::decimal(18,2) AS money_in, (SELECT sum(amount) FROM ac)::decimal(18,2) AS money_allocated,
+       (SELECT sum(amount) FROM fe)::decimal(18,2) AS money_fees, (SELECT sum(amount) FROM re)::decimal(18,2) AS money_residual,
+       (SELECT count(*) FILTER (status = 'review')::double / count(*) FROM rs) AS review_rate, 0::bigint AS search_truncations, 0::bigint AS model_parser_calls""",
     _RESULT,
 )
 def run_report(spark: SparkSession, d: str) -> DataFrame:
     m = _moved(spark, d)
     r = report.run_report(m["payments"], m["results"], m["allocations"], m["fees"], m["residuals"], m["states"])
-    return r.drop("review_rate", "engine_version", "search_truncations", "model_parser_calls")
+    return r.drop("engine_version")
 
 
 # --- invariants: the result with faults put in on purpose --------------------------------------------------------
@@ -545,7 +603,7 @@ def inv_references(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "inv_payment_conservation",
-    """SELECT 'payment_conservation' AS check, o.id AS key FROM one o LEFT JOIN (SELECT payment_id, sum(amount) AS x FROM ba GROUP BY 1) a ON a.payment_id = o.id LEFT JOIN re ON re.payment_id = o.id
+    """SELECT 'payment_conservation' AS check, o.id AS key FROM pay o LEFT JOIN (SELECT payment_id, sum(amount) AS x FROM ba GROUP BY 1) a ON a.payment_id = o.id LEFT JOIN re ON re.payment_id = o.id
        WHERE coalesce(a.x, 0) + coalesce(re.amount, 0) <> o.amount""",
     _BROKEN,
 )
@@ -567,7 +625,9 @@ def inv_invoice_bounds(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "inv_states",
-    """SELECT 'invoice_states' AS check, invoice_id AS key FROM st WHERE right(invoice_id, 2) = '07' OR (right(invoice_id, 2) = '11' AND (allocated <> face_value OR fee_written_off <> 0))""",
+    """SELECT 'invoice_states' AS check, invoice_id AS key FROM (SELECT *, CASE WHEN right(invoice_id, 2) = '11' THEN 'paid' ELSE status END AS said FROM st)
+       WHERE right(invoice_id, 2) = '07' OR open_balance < 0 OR (said = 'paid' AND (allocated <> face_value OR fee_written_off <> 0)) OR (said = 'settled_with_fee' AND (fee_written_off <= 0 OR open_balance <> 0))
+          OR (said = 'partially_paid' AND NOT (allocated > 0 AND allocated < face_value)) OR (said = 'open' AND (allocated <> 0 OR fee_written_off <> 0))""",
     _BROKEN,
 )
 def inv_states(spark: SparkSession, d: str) -> DataFrame:
@@ -587,7 +647,7 @@ def inv_currency(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "inv_global",
-    "SELECT 'global_conservation' AS check, 'run' AS key WHERE (SELECT sum(amount) FROM ba) + (SELECT sum(amount) FROM re) <> (SELECT sum(amount) FROM one)",
+    "SELECT 'global_conservation' AS check, 'run' AS key WHERE (SELECT sum(amount) FROM ba) + (SELECT sum(amount) FROM re) <> (SELECT sum(amount) FROM pay)",
     _BROKEN,
 )
 def inv_global(spark: SparkSession, d: str) -> DataFrame:
@@ -602,7 +662,7 @@ def inv_global(spark: SparkSession, d: str) -> DataFrame:
     "allocation_view",
     """SELECT ac.payment_id, ac.invoice_id, ac.amount, coalesce(fe.amount::varchar, '') AS fee, coalesce(rs.strategy, '') AS strategy, coalesce(rs.confidence::varchar, '') AS confidence,
        coalesce(i.number, '') AS number, coalesce(i.customer_name, '') AS customer_name, coalesce(o.reference, '') AS reference, coalesce(o.counterparty, '') AS counterparty
-       FROM ac LEFT JOIN fe USING (payment_id, invoice_id) LEFT JOIN rs USING (payment_id) LEFT JOIN inv i ON i.id = ac.invoice_id LEFT JOIN one o ON o.id = ac.payment_id""",
+       FROM ac LEFT JOIN fe USING (payment_id, invoice_id) LEFT JOIN rs USING (payment_id) LEFT JOIN inv i ON i.id = ac.invoice_id LEFT JOIN pay o ON o.id = ac.payment_id""",
     _RESULT,
 )
 def allocation_view(spark: SparkSession, d: str) -> DataFrame:
@@ -613,12 +673,12 @@ def allocation_view(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "review_view",
     """SELECT rs.payment_id, review_reason, message, coalesce(o.amount::varchar, '') AS payment_amount, coalesce(o.reference, '') AS reference, coalesce(o.counterparty, '') AS counterparty
-       FROM rs LEFT JOIN one o ON o.id = rs.payment_id WHERE review_reason IS NOT NULL""",
-    (*_WIDE_SNAPSHOT, _DECIDED),
+       FROM rs LEFT JOIN pay o ON o.id = rs.payment_id WHERE review_reason IS NOT NULL""",
+    (*_WIDE_EVERY, _EVERY_DECIDED),
     _COLLIDED,
 )
 def review_view(spark: SparkSession, d: str) -> DataFrame:
-    return report.review_view(_decided(spark, d, WIDE, collide=True), derived.single_payments(spark, d, collide=True))
+    return report.review_view(_every_decided(spark, d, WIDE, collide=True), derived.payments(spark, d, collide=True))
 
 
 @query("state_view", "SELECT st.invoice_id, status, face_value, open_balance, coalesce(i.number, '') AS number, coalesce(i.customer_name, '') AS customer_name FROM st LEFT JOIN inv i ON i.id = st.invoice_id", _RESULT)
@@ -629,7 +689,7 @@ def state_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "metrics_pr",
-    """, tr AS (SELECT 'p' || lpad(k::varchar, 9, '0') AS payment_id, 'i' || lpad(k::varchar, 9, '0') AS invoice_id FROM one), n AS (SELECT (SELECT count(*) FROM ac) AS predicted, (SELECT count(*) FROM tr) AS expected, (SELECT count(*) FROM (SELECT payment_id, invoice_id FROM ac INTERSECT SELECT * FROM tr)) AS hits)
+    """, tr AS (SELECT 'p' || lpad(k::varchar, 9, '0') AS payment_id, 'i' || lpad(k::varchar, 9, '0') AS invoice_id FROM pay), n AS (SELECT (SELECT count(*) FROM ac) AS predicted, (SELECT count(*) FROM tr) AS expected, (SELECT count(*) FROM (SELECT payment_id, invoice_id FROM ac INTERSECT SELECT * FROM tr)) AS hits)
     SELECT predicted, expected, hits, hits::double / predicted AS precision, hits::double / expected AS recall, 2 * (hits::double / predicted) * (hits::double / expected) / ((hits::double / predicted) + (hits::double / expected)) AS f1,
     (SELECT count(*) FILTER (status IN ('review', 'unmatched'))::double / count(*) FROM rs) AS review_rate FROM n""".lstrip(),
     _RESULT,
@@ -749,3 +809,25 @@ def streamed_payments(spark: SparkSession, d: str) -> DataFrame:
     book = OpenLedger(_ledger(spark, d), folder=f"{at}/ledger", deliver=lambda r, epoch: r.results.select("payment_id", "status", "review_reason", "strategy", "confidence", "message").write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}"))
     start(spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), book, f"{at}/checkpoint", once=True).awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("epoch")
+
+
+@query(
+    "streamed_rivals",
+    """SELECT 'p' || lpad(k::varchar, 9, '0') || '-' || nth AS payment_id, CASE WHEN balance = 0 THEN 'unmatched' WHEN paid > balance THEN 'partially_matched' ELSE 'matched' END AS status,
+       CASE WHEN balance = 0 THEN 'no_candidate' END AS review_reason, CASE WHEN balance > 0 THEN invoice_id END AS invoice_id, CASE WHEN balance > 0 THEN least(paid, balance) END::decimal(18,2) AS amount FROM rb""",
+    (_RIVALS,),
+)
+def streamed_rivals(spark: SparkSession, d: str) -> DataFrame:
+    """Payments that compete for an invoice arrive in three micro-batches: each batch sees what those before it left."""
+    at = f"{root(spark)}/stream-{uuid.uuid4().hex}"
+    i, p = _rivals(spark, d)
+    p = written(p.withColumn("turn", F.substring_index("id", "-", -1).cast("int")), "rivals")
+    for turn in range(3):  # a file for each batch, in order of their times
+        p.filter(F.col("turn") == turn).drop("turn").repartition(1).write.mode("append").parquet(f"{at}/in")
+
+    def deliver(r: Reconciliation, epoch: int) -> None:
+        r.results.join(r.allocations.select("payment_id", "invoice_id", "amount"), "payment_id", "left").select("payment_id", "status", "review_reason", "invoice_id", "amount").write.mode("overwrite").parquet(f"{at}/out/epoch={epoch}")
+
+    book = OpenLedger(i, folder=f"{at}/ledger", deliver=deliver)
+    start(spark.readStream.schema(p.drop("turn").schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), book, f"{at}/checkpoint", once=True).awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("epoch")
