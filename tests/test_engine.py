@@ -275,7 +275,7 @@ def test_stream_survives_a_restart(spark, tmp_path):
     # the same batches one after another, without a stream
     want, now = [], i
     for k in range(3):
-        r = reconcile(now, spark.createDataFrame(rows[4 * k : 4 * k + 4], P))
+        r = reconcile(now, spark.createDataFrame(rows[4 * k : 4 * k + 4], P), customers=i)
         want += [(x["payment_id"], x["invoice_id"], x["amount"]) for x in r.allocations.collect()]
         left = {x["invoice_id"]: x["open_balance"] for x in r.invoice_states.collect() if x["open_balance"] > 0}
         now = spark.createDataFrame([(*x[:6], left[x[0]], x[7]) for x in invoices if x[0] in left], I)
