@@ -13,17 +13,17 @@ driver hold of it.  For a block:
    sketch Z = At (A W) is summed up over partitions, and Z (Wt Z)^-1 Zt, whose
    factors the driver decomposes, stands for At A.  Its leading singular vectors are
    the latent space.  The driver holds terms x sketch numbers, bounded by the block.
-4. Sliding passages of two widths are candidates for an item if the stretch around
-   them can share the least number of words that step 5 asks for: it must hold some
-   of the item's rarest places, then enough of its places at all.  Both bounds are
-   exact, as they speak of the words that are compared and of no weights.
+4. Sliding passages of two widths are projected to the latent space, as sums of blocks of
+   words, and held against all items' passages at once: those whose cosine reaches
+   ``cosine`` are candidates.  Verbatim copies have a bound of their own beside it, exact
+   for any rank: the stretch around a passage must hold some of the item's rarest
+   places, then enough of its places at all, to share what makes a verbatim copy.
 5. Candidates are checked by the longest common subsequence of words between item
-   and stretch.  A verbatim share of the item is a leak by itself, whatever the cosine.
-   A smaller share is one if the cosine of passage and item's passages, in the latent
-   space or of the plain TF-IDF rows where the rank loses words, and the common
-   subsequence with the item's answer (its last sentence) are large, so paraphrases
-   need a shared order and a shared answer.  Sentences in another order are compared
-   one by one, and must then share more.  The larger cosine is reported.
+   and stretch.  A verbatim share of the item is a leak by itself.  Of latent candidates a
+   smaller share is one if most of the words in common stand in the item's order, more than
+   in a shuffled text of them, and some of its answer (its last sentence) does: a
+   paraphrase has other words, but the order of those it keeps, and the answer.  Sentences
+   in another order are compared one by one, and must then share more.
 6. Items of fewer than ``min_words`` words say too little for a share: they are leaks
    where all their words follow one another in the text, and nowhere else.
 
@@ -37,6 +37,7 @@ an empty table of documents or an empty benchmark gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,6 +54,7 @@ RANK, EXTRA = 96, 16
 #: Different words, and words, of a block of the benchmark: a sketch takes TERMS * 112 * 4 bytes.
 TERMS, WORDS = 1 << 17, 1 << 21
 ROWS, HITS = 256, 1 << 20  # rows, and occurrences of rare words, looked at together
+CHUNK = 1 << 13  # passages, or blocks of words, whose vectors are held together
 SCHEMA = "doc_id long, item_id long, cosine double, lcs_ratio double, answer_ratio double, place long"
 #: The same with a hash of the text, which tells rows apart whose doc_id is null or repeated.
 ROW_SCHEMA = "doc_id long, text_hash long, item_id long, cosine double, lcs_ratio double, answer_ratio double, place long"
@@ -60,14 +62,24 @@ ROW_SCHEMA = "doc_id long, text_hash long, item_id long, cosine double, lcs_rati
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.45
+    cosine: float = 0.6
     verbatim: float = 0.75
-    paraphrase: float = 0.55
+    paraphrase: float = 0.36
+    least_order: int = 11
+    in_order: float = 0.6
     reordered: float = 0.7
     reordered_answer: float = 0.6
-    answer: float = 0.8
+    answer: float = 0.2
     min_words: int = 5
 
+    def reworded(self, n: int, both: int, order: int) -> bool:
+        """Whether a text that has both of an item's n words, order of them in its order, says the item in other words.
+
+        A shuffled text of the words has them all, but no more than about twice their root in order;
+        a few words are in order by chance, so there must be least_order, or a verbatim share.
+        """
+        return order >= max(self.paraphrase * n, min(self.least_order, self.verbatim * n)) and order >= max(self.in_order * both, 2 * both**0.5)
+
 
 #: Bytes that part words: white space and ASCII marks.
 _PART = bk.SPACE.copy()
@@ -403,39 +415,44 @@ def _mix(columns: list[np.ndarray]) -> np.ndarray:
 
 def search(posted: DataFrame, block, idf: np.ndarray, df: np.ndarray, space: np.ndarray, limits: Limits) -> DataFrame:
     """Leaks of the block's items: the best checked passage of each document and item."""
-    shared = posted.sparkSession.sparkContext.broadcast((idf, space, Rare.of(block.value, df, limits.paraphrase)))
+    shared = posted.sparkSession.sparkContext.broadcast((idf, space, Rare.of(block.value, df, limits.verbatim)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, basis, rare = shared.value
         items = block.value
         rows = basis * weights[:, None].astype(np.float32)
-        own: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in items.words]
-        for k, t in items.passages():
-            own[k].append((np.unique(t), _unit(rows, np.unique(t))))
+        own = items.passages()
+        asked = np.array([_unit(rows, np.unique(t)) for _, t in own], np.float32).reshape(len(own), rows.shape[1])
+        asked_of = np.array([k for k, _ in own], np.int64)
         sizes, often, brief = np.array([len(w) for w in items.words], np.int64), Often.of(items), Brief.of(items)
         masks, answers = [_masks(w) for w in items.words], [_masks(w) for w in items.answers]
-        parts = [[_masks(x) for x in said] for said in items.parts]
+        parts, bags = [[_masks(x) for x in said] for said in items.parts], [Counter(w.tolist()) for w in items.words]
         below = np.nextafter(limits.verbatim, 0)  # sentences in another order are no verbatim copy
         for b in batches:
             found: dict[tuple, tuple] = {}
             ids, hashes = b.column("doc_id").to_pylist(), b.column("text_hash").to_pylist()
             out = [(ids[r], hashes[r], items.brief[k][0], 1.0, 1.0, 1.0, place) for r, k, place in brief.find(b)]
             for first in range(0, b.num_rows if len(sizes) else 0, ROWS):
-                for row, k, place, terms, around in _windows(b.slice(first, ROWS), sizes, often, rare):
+                some = b.slice(first, ROWS)
+                for row, k, place, terms, around in _windows(some, sizes, often, rare):
                     words = around.tolist()
-                    shared_words, asked = common_subsequence(*masks[k], words) / len(items.words[k]), limits.answer
-                    if shared_words < limits.verbatim and len(parts[k]) > 1:
-                        apart = sum(common_subsequence(*m, words) for m in parts[k]) / len(items.words[k])
-                        if apart >= limits.reordered:
-                            shared_words, asked = min(apart, below), limits.reordered_answer
-                    if shared_words < limits.paraphrase:
-                        continue
-                    held = np.unique(terms)
-                    x = _unit(rows, held)
-                    c = max(max(float(q @ x), _plain(weights, t, held)) for t, q in own[k])
+                    kept = common_subsequence(*masks[k], words) / len(items.words[k])
+                    if kept >= limits.verbatim:
+                        x = _unit(rows, np.unique(terms))
+                        c = max(float(q @ x) for q in asked[asked_of == k])
+                        best = (kept, c, common_subsequence(*answers[k], words) / max(len(items.answers[k]), 1), place)
+                        found[first + row, k] = max(found.get((first + row, k), best), best)
+                for row, k, place, c, around in _nearest(some, sizes, rows, asked, asked_of, limits.cosine):
+                    words = around.tolist()
+                    kept = common_subsequence(*masks[k], words) / len(items.words[k])
                     answer = common_subsequence(*answers[k], words) / max(len(items.answers[k]), 1)
-                    if shared_words >= limits.verbatim or (c >= limits.cosine and answer >= asked):
-                        best = (shared_words, c, answer, place)
+                    order = round(kept * len(items.words[k]))
+                    leak = kept >= limits.verbatim or (answer >= limits.answer and limits.reworded(len(items.words[k]), (bags[k] & Counter(words)).total(), order))
+                    if not leak and len(parts[k]) > 1 and answer >= limits.reordered_answer:
+                        apart = sum(common_subsequence(*m, words) for m in parts[k]) / len(items.words[k])
+                        leak, kept = apart >= limits.reordered, max(kept, min(apart, below))
+                    if leak:
+                        best = (kept, c, answer, place)
                         found[first + row, k] = max(found.get((first + row, k), best), best)
             out += [(ids[r], hashes[r], items.ids[k], c, lcs, ans, place) for (r, k), (lcs, c, ans, place) in found.items()]
             columns = list(zip(*out, strict=True)) or [()] * 7
@@ -445,18 +462,66 @@ def search(posted: DataFrame, block, idf: np.ndarray, df: np.ndarray, space: np.
     return posted.mapInArrow(bk.tidied(run), ROW_SCHEMA)
 
 
+def _reach(sizes: np.ndarray, width: int) -> np.ndarray:
+    """How far from a window's middle the stretch goes that is compared with each item."""
+    return np.maximum(sizes, width) // 2 + sizes // 4 + 4
+
+
+def _nearest(b: pa.RecordBatch, sizes: np.ndarray, rows: np.ndarray, asked: np.ndarray, asked_of: np.ndarray, floor: float) -> Iterator[tuple]:
+    """(row, item, place, cosine, terms of the stretch around) of the passages whose cosine with an item's passage in the latent space is floor or more.
+
+    Where passages follow one another closely, the nearest stands for them: the stretch holds them all.
+    """
+    edge, terms, places, n = _flat(b)
+    if not len(terms) or not len(asked):
+        return
+    step, most = WIDTHS[0] // 3, max(WIDTHS)
+    room = -(-n // step) + most // step  # blocks of each row, with empty ones behind it
+    first = np.concatenate([[0], np.cumsum(room)])
+    block = np.repeat(first[:-1], np.diff(edge)) + places // step
+    head = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    sums = np.zeros((int(first[-1]), rows.shape[1]), np.float32)
+    for k in range(0, len(head), CHUNK):
+        end = int(head[k + CHUNK]) if k + CHUNK < len(head) else len(terms)
+        sums[block[head[k : k + CHUNK]]] = np.add.reduceat(rows[terms[head[k] : end]], head[k : k + CHUNK] - head[k], axis=0)
+    for width in WIDTHS:
+        across = width // step
+        slide = sums[: len(sums) - across + 1].copy()
+        for k in range(1, across):
+            slide += sums[k : len(sums) - across + 1 + k]
+        count = np.maximum(1, -(-(n - width) // (width // 3)) + 1)
+        of, k = _ranges(np.zeros(len(n), np.int64), count)
+        at = first[of] + k * (width // 3 // step)
+        hits = []
+        for j in range(0, len(at), CHUNK):
+            x = slide[at[j : j + CHUNK]]
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            cosine = x @ asked.T
+            w, q = np.nonzero(cosine >= floor)
+            hits.append((w + j, asked_of[q], cosine[w, q]))
+        w, item, c = (np.concatenate([h[k] for h in hits]) for k in range(3))
+        order = np.lexsort((w, item))
+        w, item, c = w[order], item[order], c[order]
+        if not len(w):
+            continue
+        near = (item[1:] == item[:-1]) & (of[w[1:]] == of[w[:-1]]) & (w[1:] - w[:-1] <= 2)
+        group = np.concatenate([[0], np.cumsum(~near)])
+        group = group * (len(w) + 1) + (np.arange(len(w)) - np.searchsorted(group, group)) // 4  # long runs have one each four passages
+        order = np.lexsort((-c, group))
+        best = order[np.append(True, group[order][1:] != group[order][:-1])]
+        for j in best.tolist():
+            row, place = int(of[w[j]]), int(k[w[j]] * (width // 3))
+            reach = int(_reach(sizes[item[j]], width))
+            lo, hi = edge[row] + np.searchsorted(places[edge[row] : edge[row + 1]], [place + width // 2 - reach, place + width // 2 + reach])
+            yield row, int(item[j]), place, float(c[j]), terms[lo:hi]
+
+
 def _unit(rows: np.ndarray, terms: np.ndarray) -> np.ndarray:
     """A passage's place in the latent space, of unit length."""
     x = rows[terms].sum(0)
     return x / max(np.linalg.norm(x), 1e-9)
 
 
-def _plain(weights: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
-    """Cosine of two passages' TF-IDF rows, which no rank cuts."""
-    both = np.intersect1d(a, b, assume_unique=True)
-    return float((weights[both] ** 2).sum() / max(np.linalg.norm(weights[a]) * np.linalg.norm(weights[b]), 1e-9))
-
-
 def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(range, member) of all members of the ranges that begin at first."""
     of = np.repeat(np.arange(len(first)), count)
@@ -479,7 +544,7 @@ def _windows(b: pa.RecordBatch, sizes: np.ndarray, often: Often, rare: Rare) ->
     edge, terms, places, n = _flat(b)
     if not len(terms):
         return
-    reach = {w: np.maximum(sizes, w) // 2 + sizes // 4 + 4 for w in WIDTHS}
+    reach = {w: _reach(sizes, w) for w in WIDTHS}
     # postings of all rows on one line, rows farther apart than any stretch reaches
     gap = int(n.max()) + 2 * max(int(r.max()) for r in reach.values()) + max(WIDTHS)
     line = np.repeat(np.arange(len(n), dtype=np.int64), np.diff(edge)) * gap + places
