@@ -12,6 +12,8 @@ from quittance.errors import LedgerError
 from quittance.operators import validate
 from quittance.plans.engine import Reconciliation, confidence_of, reconcile
 from quittance.plans.policy import Policy
+from quittance.sources import split_csv
+from quittance.sources.split_csv import PLACE
 
 
 def read_table(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
@@ -23,12 +25,12 @@ def read_table(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
     if kind != "csv":
         raise ValueError(f"unknown kind of table: {kind}")
     try:
-        df = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8")
+        df = split_csv.read(spark, path)
+    except LedgerError:
+        raise
     except Exception as e:  # Spark names a missing or headless file in many ways
         raise LedgerError(f"{path}: cannot be read: {str(e).splitlines()[0]}") from e
-    if not df.columns:
-        raise LedgerError(f"{path}: the file has no header row")
-    return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
+    return df.toDF(*[c.strip() for c in df.columns])
 
 
 def accept_rows(raw: DataFrame, rows, required: tuple[str, ...], path: str) -> DataFrame:
@@ -38,14 +40,15 @@ def accept_rows(raw: DataFrame, rows, required: tuple[str, ...], path: str) -> D
     if checked.filter(F.size("errors") > 0).limit(1).count():
         line, faults = _first_bad_line(checked)
         raise LedgerError(f"{path}:{line}: {'; '.join(faults)}")
-    return checked.drop("errors")
+    return checked.drop("errors", PLACE)
 
 
 def _first_bad_line(checked: DataFrame) -> tuple[int, list[str]]:
-    """Line (the header is 1) and faults of the first bad row.  Only run when there is one; partitions follow the file's order."""
-    one = checked.select("errors").coalesce(1).withColumn("line", F.monotonically_increasing_id() + 2)
-    first = one.filter(F.size("errors") > 0).orderBy("line").first()
-    return first["line"], first["errors"]
+    """Number (the header is 1) and faults of the first bad row.  Rows that come from no file are numbered as their partitions follow one another."""
+    if PLACE not in checked.columns:
+        checked = checked.select("errors").coalesce(1).withColumn(PLACE, F.struct(F.lit("").alias("file"), (F.monotonically_increasing_id() + 2).alias("nth")))
+    first = checked.filter(F.size("errors") > 0).select("errors", PLACE).orderBy(PLACE).first()
+    return first[PLACE]["nth"], first["errors"]
 
 
 def read_invoices(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
