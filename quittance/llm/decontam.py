@@ -50,8 +50,8 @@ from quittance.llm import bytes_kernel as bk
 from quittance.llm.common import drop, save, small
 
 PASSAGE, WIDTHS = 48, (24, 48)
-RANK, EXTRA = 96, 16
-#: Different words, and words, of a block of the benchmark: a sketch takes TERMS * 112 * 4 bytes.
+RANK, EXTRA = 64, 16
+#: Different words, and words, of a block of the benchmark: a sketch takes TERMS * 80 * 4 bytes.
 TERMS, WORDS = 1 << 17, 1 << 21
 ROWS, HITS = 256, 1 << 20  # rows, and occurrences of rare words, looked at together
 CHUNK = 1 << 13  # passages, or blocks of words, whose vectors are held together
@@ -484,11 +484,11 @@ def _nearest(b: pa.RecordBatch, sizes: np.ndarray, rows: np.ndarray, asked: np.n
     for k in range(0, len(head), CHUNK):
         end = int(head[k + CHUNK]) if k + CHUNK < len(head) else len(terms)
         sums[block[head[k : k + CHUNK]]] = np.add.reduceat(rows[terms[head[k] : end]], head[k : k + CHUNK] - head[k], axis=0)
-    for width in WIDTHS:
-        across = width // step
-        slide = sums[: len(sums) - across + 1].copy()
-        for k in range(1, across):
-            slide += sums[k : len(sums) - across + 1 + k]
+    slide, across = sums, 1
+    for width in WIDTHS:  # each some of the one before, end to end
+        times, own = width // step // across, len(sums) - width // step + 1
+        slide = sum((slide[k * across : k * across + own] for k in range(1, times)), slide[:own])
+        across *= times
         count = np.maximum(1, -(-(n - width) // (width // 3)) + 1)
         of, k = _ranges(np.zeros(len(n), np.int64), count)
         at = first[of] + k * (width // 3 // step)
