@@ -507,10 +507,11 @@ al AS (SELECT u.payment_id, u.amount, u.found, u.cut, string_agg(invoice_id, '+'
     """SELECT payment_id, CASE WHEN status = 'unmatched' AND coalesce(cut, false) THEN 'search_truncated' ELSE review_reason END AS review_reason, status, strategy, invoice_ids, confidence, coalesce(cut, false) AS search_truncated
        FROM rs LEFT JOIN sa USING (payment_id)""",
     (_sql_pairs("pay", 900, 5).replace("),\nct AS (", _STRANGERS.format(900)), _FEW_COMBOS, _ALL, _EVERY_SCORED, _EVERY_DECIDED),
+    _COLLIDED,
 )
 def decide_small_budget(spark: SparkSession, d: str) -> DataFrame:
     """Every payment where the search for sums ends after five steps: what is found then proves nothing unique, and the payment says so."""
-    return _every_decided(spark, d, replace(WIDE, search_node_budget=_FEW)).select("payment_id", "review_reason", "status", "strategy", "invoice_ids", "confidence", "search_truncated")
+    return _every_decided(spark, d, replace(WIDE, search_node_budget=_FEW), collide=True).select("payment_id", "review_reason", "status", "strategy", "invoice_ids", "confidence", "search_truncated")
 
 
 ORACLE_SQL["decide_small_budget"] = ORACLE_SQL["decide_small_budget"].replace("WITH ", "WITH RECURSIVE ", 1)

@@ -221,7 +221,7 @@ def test_history_before_its_first_run_and_of_other_formats(spark, tmp_path):
 
 
 def test_sweep_deletes_files_then_records(spark, tmp_path):
-    from quittance.sources.runner import Artifacts, sweep
+    from quittance.sources.runner import artifact, artifacts, create_folder, sweep
 
     h, now = history.RunHistory(spark, f"file://{tmp_path}/h"), datetime.datetime(2026, 6, 1)
     ids = {name: f"{k:032x}" for k, name in enumerate(("old", "stale", "fresh", "draft"))}
@@ -231,13 +231,21 @@ def test_sweep_deletes_files_then_records(spark, tmp_path):
         (tmp_path / "runs" / ids[name] / "result.json" / "part").write_text("x" * 10)
     for name in ("old", "fresh"):
         h.mark_complete(ids[name])
-    a = Artifacts(spark, f"file://{tmp_path}/runs")
-    assert a.available(ids["old"]) == ["result.json"] and a.size_bytes(ids["old"]) == 10
-    assert a.path(ids["old"], "../x") is None and a.path("../runs", "result.json") is None and a.path(ids["old"], "allocations.csv") is None
-    assert sweep(h, a, retention_days=30, now=now) == {"expired": 1, "abandoned": 1}
+    root = f"file://{tmp_path}/runs"
+    (tmp_path / "runs" / ids["old"] / "notes.txt").write_text("x")
+    assert artifacts(spark, root, ids["old"]) == {"result.json": 10} and artifacts(spark, root, "f" * 32) == {}
+    assert artifact(spark, root, ids["old"], "result.json") == f"{root}/{ids['old']}/result.json"
+    for run, name in ((ids["old"], "../x"), ("../runs", "result.json"), (ids["old"], "allocations.csv"), (ids["old"], "notes.txt")):
+        with pytest.raises(LedgerError):
+            artifact(spark, root, run, name)
+    with pytest.raises(LedgerError, match="not the id of a run"):
+        create_folder(spark, root, "../elsewhere")
+    assert artifacts(spark, root, create_folder(spark, root, "e" * 32).rpartition("/")[2]) == {}
+    (tmp_path / "runs" / ("e" * 32)).rmdir()
+    assert sweep(h, root, retention_days=30, now=now) == {"expired": 1, "abandoned": 1}
     assert {r["run_id"] for r in h.runs().collect()} == {ids["fresh"], ids["draft"]}
     assert sorted(x.name for x in (tmp_path / "runs").iterdir()) == sorted([ids["fresh"], ids["draft"]])
-    assert sweep(h, a, retention_days=None, now=now) == {"expired": 0, "abandoned": 0}
+    assert sweep(h, root, retention_days=None, now=now) == {"expired": 0, "abandoned": 0}
 
 
 def test_generated_cases(spark):

@@ -14,7 +14,7 @@ from quittance.functions.subsets import apportion, find_subsets
 from quittance.functions.text import canonical, extract_refs, invoice_token, similarity, tokens_meet
 from quittance.plans.parsers import ChainParser, ModelParser, RuleParser, sane_tokens
 from quittance.plans.policy import Policy
-from quittance.sources.mapping import apply_overrides, fill_gaps, normalise, propose, sorted_ratio
+from quittance.sources.mapping import corrected, fill_gaps, normalise, propose, sorted_ratio
 
 
 @pytest.mark.parametrize(
@@ -129,16 +129,18 @@ def test_parsers():
 def test_mapping():
     assert normalise("InvoiceDate") == "invoice date" and normalise("Számla_szám") == "szamla szam" and normalise("ID") == "id"
     p = propose(["ContactName", "Invoice Number", "InvoiceDate", "DueDate", "Total", "Currency", "AccountCode", "Reference", "Sent"], "invoice")
-    assert p.as_dict() == {"id": "Reference", "customer_id": "AccountCode", "customer_name": "ContactName", "number": "Invoice Number", "issue_date": "InvoiceDate", "due_date": "DueDate", "amount": "Total", "currency": "Currency"}
-    assert p.is_complete and not p.needs_attention
+    assert p.filled() == {"id": "Reference", "customer_id": "AccountCode", "customer_name": "ContactName", "number": "Invoice Number", "issue_date": "InvoiceDate", "due_date": "DueDate", "amount": "Total", "currency": "Currency"}
+    assert not p.gaps() and not p.doubtful()
     q = propose(["Transaction ID", "Booking Date", "Credit Amount", "Ccy", "Remittance Information", "Payer Name"], "payment")
-    assert q.as_dict()["reference"] == "Remittance Information" and q.as_dict()["counterparty"] == "Payer Name"
+    assert q.filled()["reference"] == "Remittance Information" and q.filled()["counterparty"] == "Payer Name"
     near = propose(["id", "date", "amuont", "currency"], "payment")
-    assert near.needs_attention == ("amount" not in near.unresolved_required) or near.unresolved_required == ("amount",)
-    changed = apply_overrides(p, {"amount": "Sent", "number": "Nowhere", "due_date": "Sent"})
-    assert changed.as_dict()["due_date"] == "Sent" and "amount" not in changed.as_dict() and "number" not in changed.as_dict()
+    assert near.doubtful() and (near.gaps() == ["amount"] or near.sources["amount"] == ("amuont", "fuzzy"))
+    changed = corrected(p, {"amount": "Sent", "number": "Nowhere", "due_date": " Sent "})
+    assert changed.sources["due_date"] == ("Sent", "manual") and changed.gaps() == ["number", "amount"] and changed.sources["id"] == ("Reference", "alias")
+    assert corrected(p, {}) == p
     gap = propose(["ident", "when", "how much", "cur"], "payment")
-    filled = fill_gaps(gap, lambda kind, wanted, free: {"id": "ident", "date": "when", "amount": "how much", "reference": "cur"})
-    assert filled.is_complete and {c.origin for c in filled.choices if c.target in ("id", "date", "amount")} == {"model"}
-    assert fill_gaps(gap, lambda *a: 1 / 0) == gap
+    filled = fill_gaps(gap, lambda kind, wanted, free: {"id": "ident", "date": "when", "amount": "how much", "reference": "cur", "currency": "cur"})
+    assert not filled.gaps() and {how for t, (_, how) in filled.sources.items() if t in ("id", "date", "amount")} == {"model"} and "reference" not in filled.filled()
+    assert fill_gaps(gap, lambda *a: 1 / 0) == gap == fill_gaps(gap, lambda *a: {"id": "elsewhere"})
+    assert set(fill_gaps(gap, lambda *a: dict.fromkeys(gap.gaps(), "cur")).filled()) >= set(gap.filled())
     assert sorted_ratio("a b", "b a") == 100.0

@@ -13,7 +13,7 @@ from quittance.sources import derived
 SMALL = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["score_every_payment", "rank_every_payment", "tied_every_payment", "decide_every_payment", "review_every_payment"])
+@pytest.mark.parametrize("name", ["score_every_payment", "rank_every_payment", "tied_every_payment", "decide_every_payment", "review_every_payment", "decide_small_budget", "invoice_states", "run_report", "residuals", "inv_states", "inv_invoice_bounds", "allocation_view"])
 def test_every_payment(spark, name):
     duckdb = pytest.importorskip("duckdb")
     with duckdb.connect() as db:
@@ -27,6 +27,16 @@ def test_every_payment(spark, name):
     assert want and Counter(tuple(r) for r in out.select(*columns).collect()) == want
 
 
+def test_results_hold_every_payment_and_sums(spark):
+    asked = derived.payments(spark, SMALL).count()
+    report = QUERIES["run_report"](spark, SMALL).first()
+    assert report["payments_total"] == asked and report["review_rate"] == report["payments_in_review"] / asked
+    parts = Counter(r["payment_id"] for r in QUERIES["allocation_view"](spark, SMALL).select("payment_id").collect())
+    assert max(parts.values()) > 1, "a sum of several invoices"
+    cut = QUERIES["decide_small_budget"](spark, SMALL).filter("search_truncated").collect()
+    assert cut and any(r["review_reason"] == "search_truncated" for r in QUERIES["decide_small_budget"](spark, SMALL).collect())
+
+
 def test_no_payment_is_left_out(spark):
     asked = {r["id"] for r in derived.payments(spark, SMALL).select("id").collect()}
     decided = [r["payment_id"] for r in QUERIES["decide_every_payment"](spark, SMALL).select("payment_id").collect()]
