@@ -62,7 +62,7 @@ ROW_SCHEMA = "doc_id long, text_hash long, item_id long, cosine double, lcs_rati
 
 @dataclass(frozen=True)
 class Limits:
-    cosine: float = 0.6
+    cosine: float = 0.65
     verbatim: float = 0.75
     paraphrase: float = 0.36
     least_order: int = 11
