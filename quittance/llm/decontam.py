@@ -249,6 +249,20 @@ def _random(n_terms: int, width: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(5)).standard_normal((n_terms, width), dtype=np.float32)
 
 
+def _row_sums(rows: np.ndarray, at: np.ndarray, head: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Sums of rows[at], times weight, over the short runs that begin at head: a step for each place in a run, for all runs at once."""
+    size = np.diff(np.append(head, len(at)))
+    order = np.argsort(-size, kind="stable")  # runs that go on are always the first ones
+    begin, count = head[order], np.searchsorted(np.sort(-size), -np.arange(1, int(size.max(initial=0)) + 1), "right")
+    out = np.zeros((len(head), rows.shape[1]), np.float32)
+    for k, n in enumerate(count.tolist()):
+        i = begin[:n] + k
+        out[:n] += rows[at[i]] if weight is None else rows[at[i]] * weight[i, None]
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
 def _add_sketch(z: np.ndarray, passage: np.ndarray, term: np.ndarray, words: np.ndarray, idf: np.ndarray, w: np.ndarray, scale: float = 1.0) -> None:
     """z += At (A w) over the cells of a batch; rows of A have unit length, each unknown word as long as the row's known ones on average."""
     if not len(term):
@@ -259,7 +273,7 @@ def _add_sketch(z: np.ndarray, passage: np.ndarray, term: np.ndarray, words: np.
     known = np.add.reduceat(weight**2, head)
     length = np.sqrt(known * words[passage[head]] / size)
     weight = (weight / np.repeat(length, size)).astype(np.float32)
-    y = np.add.reduceat(w[term] * weight[:, None], head, axis=0) * np.float32(scale)
+    y = _row_sums(w, term, head, weight) * np.float32(scale)
     order = np.argsort(term, kind="stable")
     t = term[order]
     at = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
@@ -483,7 +497,7 @@ def _nearest(b: pa.RecordBatch, sizes: np.ndarray, rows: np.ndarray, asked: np.n
     sums = np.zeros((int(first[-1]), rows.shape[1]), np.float32)
     for k in range(0, len(head), CHUNK):
         end = int(head[k + CHUNK]) if k + CHUNK < len(head) else len(terms)
-        sums[block[head[k : k + CHUNK]]] = np.add.reduceat(rows[terms[head[k] : end]], head[k : k + CHUNK] - head[k], axis=0)
+        sums[block[head[k : k + CHUNK]]] = _row_sums(rows, terms[head[k] : end], head[k : k + CHUNK] - head[k])
     slide, across = sums, 1
     for width in WIDTHS:  # each some of the one before, end to end
         times, own = width // step // across, len(sums) - width // step + 1

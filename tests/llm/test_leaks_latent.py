@@ -145,3 +145,14 @@ def test_paraphrases_against_brute_force(spark):
                     if order >= limits.verbatim * len(w) or (q @ x / max(np.linalg.norm(x), 1e-9) >= limits.cosine and answer >= limits.answer and limits.reworded(len(w), both, order)):
                         want.add((n, i))
     assert len(want) > 30 and found <= want and len(found) >= 0.97 * len(want)
+
+
+def test_row_sums():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        n = int(r.integers(1, 200))
+        head, at = np.unique(np.append(0, r.integers(0, n, int(r.integers(0, 40))))), r.integers(0, 40, n)
+        rows, weight = r.standard_normal((40, 5)).astype(np.float32), r.random(n).astype(np.float32)
+        assert np.allclose(decontam._row_sums(rows, at, head, weight), np.add.reduceat(rows[at] * weight[:, None], head, axis=0), atol=1e-4)
+        assert np.allclose(decontam._row_sums(rows, at, head), np.add.reduceat(rows[at], head, axis=0), atol=1e-4)
+    assert decontam._row_sums(rows, np.zeros(0, np.int64), np.zeros(0, np.int64)).shape == (0, 5)
