@@ -54,3 +54,20 @@ def test_any_customer_in_the_whole_window(spark):
     want = Counter((x["id"], y["id"]) for x in p for y in i if x["currency"] == y["currency"] and x["date"] - first <= y["issue_date"] <= x["date"] + last)
     assert Counter(tuple(r) for r in QUERIES["eligible_any_customer_whole"](spark, SMALL).collect()) == want
     assert len(want) > QUERIES["eligible_any_customer"](spark, SMALL).count()
+
+
+@pytest.mark.parametrize("name", ["invoice_tokens", "ref_tokens", "ref_evidence_exact", "ref_evidence_fuzzy", "eligible_by_token", "score_every_payment", "rank_every_payment", "decide_small_budget"])
+def test_keys_beyond_six_digits(spark, tmp_path, name):
+    """Orders whose keys are far apart but begin with the same six digits, others of six digits: each number names one invoice."""
+    duckdb = pytest.importorskip("duckdb")
+    with duckdb.connect() as db:
+        key = "CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey + 998500 ELSE 30000000 + o_orderkey END"
+        db.execute(f"COPY (SELECT * REPLACE ({key} AS o_orderkey) FROM '{SMALL}/orders.parquet') TO '{tmp_path}/orders.parquet'")
+        db.execute(f"COPY (FROM '{SMALL}/customer.parquet') TO '{tmp_path}/customer.parquet'")
+        for t in ("orders", "customer"):
+            db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+        said = db.execute(ORACLE_SQL[name])
+        columns = [c[0] for c in said.description]
+        want = Counter(said.fetchall())
+    out = QUERIES[name](spark, str(tmp_path))
+    assert want and Counter(tuple(r) for r in out.select(*columns).collect()) == want
