@@ -52,11 +52,20 @@ def test_any_customer_in_the_whole_window(spark):
     i = derived.invoices(spark, SMALL).select("id", "issue_date", "currency").collect()
     first, last = timedelta(days=120), timedelta(days=5)
     want = Counter((x["id"], y["id"]) for x in p for y in i if x["currency"] == y["currency"] and x["date"] - first <= y["issue_date"] <= x["date"] + last)
-    assert Counter(tuple(r) for r in QUERIES["eligible_any_customer_whole"](spark, SMALL).collect()) == want
-    assert len(want) > QUERIES["eligible_any_customer"](spark, SMALL).count()
+    rows = QUERIES["eligible_any_customer_whole"](spark, SMALL).collect()
+    of = {kind: {r["id"]: r["of"] for r in rows if r["kind"] == kind} for kind in ("payment", "invoice")}
+    inside = {kind: {c: [x for x, y in held.items() if y == c] for c in set(held.values())} for kind, held in of.items()}
+    found = Counter((x, y) for r in rows if r["kind"] == "pair" for x in inside["payment"][r["id"]] for y in inside["invoice"][r["of"]])
+    assert found == want
+    for kind, place in (("payment", 0), ("invoice", 1)):
+        own = Counter(pair[place] for pair in want)
+        assert {r["id"]: r["links"] for r in rows if r["kind"] == kind} == {x["id"]: own[x["id"]] for x in (p, i)[place]}
+    assert sum(r["links"] for r in rows if r["kind"] == "pair") == len(want)
+    narrow = QUERIES["eligible_any_customer"](spark, SMALL).filter("kind = 'pair'").collect()
+    assert 0 < sum(r["links"] for r in narrow) < len(want)
 
 
-@pytest.mark.parametrize("name", ["invoice_tokens", "ref_tokens", "ref_evidence_exact", "ref_evidence_fuzzy", "eligible_by_token", "score_every_payment", "rank_every_payment", "decide_small_budget"])
+@pytest.mark.parametrize("name", ["invoice_tokens", "ref_tokens", "ref_evidence_exact", "ref_evidence_fuzzy", "eligible_by_token", "score_every_payment", "rank_every_payment", "decide_small_budget", "eligible_any_customer", "eligible_any_customer_whole"])
 def test_keys_beyond_six_digits(spark, tmp_path, name):
     """Orders whose keys are far apart but begin with the same six digits, others of six digits: each number names one invoice."""
     duckdb = pytest.importorskip("duckdb")
