@@ -144,3 +144,28 @@ def test_mapping():
     assert fill_gaps(gap, lambda *a: 1 / 0) == gap == fill_gaps(gap, lambda *a: {"id": "elsewhere"})
     assert set(fill_gaps(gap, lambda *a: dict.fromkeys(gap.gaps(), "cur")).filled()) >= set(gap.filled())
     assert sorted_ratio("a b", "b a") == 100.0
+
+
+def test_plain_references_are_read_alike(spark):
+    """What built-in functions read of references and numbers is what the parser reads, years at their bounds, long runs and other letters included."""
+    from quittance.functions.text import YEARS, extract_refs, invoice_token, invoice_token_of, refs_of
+
+    years = [1989, YEARS[0], 1999, 2000, 2024, 2099, YEARS[-1], 2101, 9999]
+    runs = ["0", "7", "1990", "2100", "2101", "0199", "1999", "19991", "123456", "2024123", "12345678", "20240001", "123456789"]
+    texts = [f"{a}{y}-{r}{b}" for a in ("", "INV-", "paid\n no ", "re: szamla, see the letter ", "ár ", "x١") for y in years for r in runs for b in ("", " thanks\n", "-", " ű")]
+    texts += ["", " ", "none", "é", "INV-2024-1 INV-2024-2", "2024-1 2", "2024/17", "a1990b", None, "٣", "INV-1995-000001 INV-1995-000001"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(3)
+    got = {r["i"]: r for r in df.select("i", refs_of(df["t"]).alias("refs"), invoice_token_of(df["t"]).alias("own")).collect()}
+    for i, t in enumerate(texts):
+        assert [tuple(x) for x in got[i]["refs"]] == extract_refs(t), t
+        own = invoice_token(t)
+        assert (got[i]["own"] and tuple(got[i]["own"])) == (own and own[:2]), t
+
+
+def test_nobody_is_looked_for_by_similar_name_when_all_are_known(spark, monkeypatch):
+    from quittance.operators import resolve
+
+    monkeypatch.setattr(resolve, "similar_pairs", lambda *a, **k: pytest.fail("names were compared"))
+    i = spark.createDataFrame([("c1", "Alpha Trade"), ("c2", "Beta Works"), ("c3", "Twin"), ("c4", "Twin")], "customer_id string, customer_name string")
+    p = spark.createDataFrame([("p1", "ALPHA TRADE", None), ("p2", "", "c2"), ("p3", "", None), ("p4", None, ""), ("p5", "beta works", "c1")], "id string, counterparty string, customer_id string")
+    assert {r["id"]: r["resolved"] for r in resolve.resolve(p, i, 88).collect()} == {"p1": "c1", "p2": "c2", "p3": None, "p4": None, "p5": "c1"}
