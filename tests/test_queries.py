@@ -6,7 +6,10 @@ from collections import Counter
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from quittance.operators import pairs
+from quittance.plans.policy import Policy
 from quittance.queries import ORACLE_SQL, QUERIES
 from quittance.sources import derived
 
@@ -52,17 +55,28 @@ def test_any_customer_in_the_whole_window(spark):
     i = derived.invoices(spark, SMALL).select("id", "issue_date", "currency").collect()
     first, last = timedelta(days=120), timedelta(days=5)
     want = Counter((x["id"], y["id"]) for x in p for y in i if x["currency"] == y["currency"] and x["date"] - first <= y["issue_date"] <= x["date"] + last)
-    rows = QUERIES["eligible_any_customer_whole"](spark, SMALL).collect()
+    whole = QUERIES["eligible_any_customer_whole"](spark, SMALL)
+    assert whole.columns == ["payment_id", "invoice_id"] and Counter(tuple(r) for r in whole.collect()) == want
+    near = Counter((x["id"], y["id"]) for x in p for y in i if x["currency"] == y["currency"] and x["date"] - timedelta(days=1) <= y["issue_date"] <= x["date"])
+    assert Counter(tuple(r) for r in QUERIES["eligible_any_customer"](spark, SMALL).collect()) == near
+    # few rows make the pairs, but no task makes most of them
+    tasks = [r["count"] for r in whole.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert max(tasks) < sum(tasks) / 4
+
+
+def test_classes_of_any_customer(spark):
+    p = derived.payments(spark, SMALL)
+    i = derived.invoices(spark, SMALL)
+    want = Counter(tuple(r) for r in QUERIES["eligible_any_customer_whole"](spark, SMALL).collect())
+    rows = pairs.by_currency_classes(p, i, Policy(require_customer_match=False)).collect()
     of = {kind: {r["id"]: r["of"] for r in rows if r["kind"] == kind} for kind in ("payment", "invoice")}
     inside = {kind: {c: [x for x, y in held.items() if y == c] for c in set(held.values())} for kind, held in of.items()}
     found = Counter((x, y) for r in rows if r["kind"] == "pair" for x in inside["payment"][r["id"]] for y in inside["invoice"][r["of"]])
     assert found == want
-    for kind, place in (("payment", 0), ("invoice", 1)):
+    for kind, place, side in (("payment", 0, p), ("invoice", 1, i)):
         own = Counter(pair[place] for pair in want)
-        assert {r["id"]: r["links"] for r in rows if r["kind"] == kind} == {x["id"]: own[x["id"]] for x in (p, i)[place]}
+        assert {r["id"]: r["links"] for r in rows if r["kind"] == kind} == {r["id"]: own[r["id"]] for r in side.select("id").collect()}
     assert sum(r["links"] for r in rows if r["kind"] == "pair") == len(want)
-    narrow = QUERIES["eligible_any_customer"](spark, SMALL).filter("kind = 'pair'").collect()
-    assert 0 < sum(r["links"] for r in narrow) < len(want)
 
 
 @pytest.mark.parametrize("name", ["invoice_tokens", "ref_tokens", "ref_evidence_exact", "ref_evidence_fuzzy", "eligible_by_token", "score_every_payment", "rank_every_payment", "decide_small_budget", "eligible_any_customer", "eligible_any_customer_whole"])
